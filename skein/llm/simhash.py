@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, table
+from .common import arrow_map, cut, partitions, table
 from .components import components
 
 BLOCK = 1 << 17
@@ -54,11 +54,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return arrow_map(slim, batch, "id long, fp long")
 
 
-def _cells(fp: Column, half: int) -> Column:
-    """Codes of the cells at Manhattan distance 1 at most in one half of the bit counts."""
+def _counts(fp: Column, half: int) -> Column:
+    """Bit counts of one half's sixteen segments, two bits each."""
     bits = F.shiftrightunsigned(fp, 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
     low = F.lit(0x55555555)
-    own = F.shiftrightunsigned(bits, 1).bitwiseAND(low) + bits.bitwiseAND(low)
+    return F.shiftrightunsigned(bits, 1).bitwiseAND(low) + bits.bitwiseAND(low)
+
+
+def _cells(fp: Column, half: int) -> Column:
+    """Codes of the cells at Manhattan distance 1 at most in one half of the bit counts."""
+    own = _counts(fp, half)
     moved = [F.array(own)]
     for j in range(0, 32, 2):
         n = F.shiftright(own, j).bitwiseAND(F.lit(3))
@@ -70,21 +75,28 @@ def _cells(fp: Column, half: int) -> Column:
 
 def links(fps: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints at Hamming distance 4 or less, all of them
-    (a pair may come more than once).
+    (a pair may come twice).
 
     Of two such fingerprints one 32-bit half differs in 2 bits at most, so its bit counts
-    differ by 2 at most in Manhattan distance and a cell lies within 1 of both.
+    differ by 2 at most in Manhattan distance and a cell lies within 1 of both. A pair is
+    taken in the low half if that differs in 2 bits at most, else in the high one. Where its
+    counts are equal it is taken in their own cell, where they differ by 1 in the cell of a's
+    counts, else in each cell between them (two at most).
     """
-    halves = [
-        fps.select("fp", F.explode(_cells(F.col("fp"), half)).alias("c")).select(
-            "fp", (F.col("c") * 2 + half).alias("cell")
-        )
-        for half in (0, 1)
-    ]
-    grid = halves[0].union(halves[1])
-    a, b = grid.select("cell", F.col("fp").alias("a")), grid.select("cell", F.col("fp").alias("b"))
-    verify = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 4)
-    return a.join(b, "cell").where(verify).select("a", "b")
+    n = partitions(fps)
+    fps = fps.repartition(n, "fp")
+    found = None
+    for half in (0, 1):
+        grid = fps.select("fp", F.explode(_cells(F.col("fp"), half)).alias("cell"))
+        a, b = grid.select("cell", F.col("fp").alias("a")), grid.select("cell", F.col("fp").alias("b"))
+        differ = F.col("a").bitwiseXOR(F.col("b"))
+        low = F.bit_count(differ.bitwiseAND(F.lit(0xFFFFFFFF))) <= 2
+        own_a, own_b = _counts(F.col("a"), half), _counts(F.col("b"), half)
+        once = (own_a == F.col("cell")) | ((own_b != F.col("cell")) & (own_a != own_b))
+        verify = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= 4) & (low if half == 0 else ~low) & once
+        pairs = a.join(b, "cell").where(verify).select("a", "b")
+        found = pairs if found is None else found.union(pairs)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .mixing import op3_mixing
+from .sharding import op5_sharding
 from .simhash import op9_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
+    "op5_sharding": op5_sharding,
     "op9_simhash": op9_simhash,
 }
 

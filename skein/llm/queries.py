@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .lattice import op1_lattice
 from .mixing import op3_mixing
 from .sharding import op5_sharding
 from .simhash import op9_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lattice": op1_lattice,
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
     "op5_sharding": op5_sharding,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
 from .lattice import op1_lattice
+from .linededup import op7_lines
 from .mixing import op3_mixing
 from .quality import op10_quality
 from .sharding import op5_sharding
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
     "op5_sharding": op5_sharding,
+    "op7_lines": op7_lines,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .langid import op6_langid
 from .lattice import op1_lattice
 from .linededup import op7_lines
 from .mixing import op3_mixing
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
     "op5_sharding": op5_sharding,
+    "op6_langid": op6_langid,
     "op7_lines": op7_lines,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,

@@ -14,9 +14,11 @@ from .mixing import op3_mixing
 from .quality import op10_quality
 from .sharding import op5_sharding
 from .simhash import op9_simhash
+from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": op1_lattice,
+    "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
     "op5_sharding": op5_sharding,

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, word_count
+from .common import cut, stored, table, word_count
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,7 @@ def removals(docs: DataFrame, how: Chunking | None = None) -> DataFrame:
     # A hash that occurs once needs no text; of the others each task sends one row a text.
     twice = cut(each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
     texts = each.select("doc_id", "_doc", "lo", "hi", "words", "hash", _text("lo", "hi").alias("chunk"))
-    again = texts.join(twice, "hash", "left_semi")
+    again = stored(texts.join(twice, "hash", "left_semi"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_doc", "lo")
     firsts = again.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     marked = again.alias("a").join(firsts.select("hash", "chunk", "first"), ["hash", "chunk"])

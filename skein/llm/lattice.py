@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, octets, remainder, table
+from .common import cut, octets, remainder, stored, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK_BYTES = 8 << 20
@@ -262,7 +262,7 @@ def lattice_scores(
     learn = f"coalesce({learn}, false)"
     blocks = _blocks(docs, id_col, text_col, learn, n_blocks)
     entries = blocks.groupBy("block").applyInArrow(_dictionary, "block int, word binary, n long")
-    entries = cut(entries)
+    entries = stored(entries)
     words = cut(entries.groupBy("word").agg(F.sum("n").alias("c")))
     ends = docs.where(learn).count()
     got = words.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()

@@ -15,6 +15,7 @@ from .quality import op10_quality
 from .sharding import op5_sharding
 from .simhash import op9_simhash
 from .toxicity import op2_toxicity
+from .vectors import op8_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": op1_lattice,
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_langid": op6_langid,
     "op7_lines": op7_lines,
+    "op8_vectors": op8_vectors,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }

@@ -79,7 +79,7 @@ def _grouped(names: DataFrame, graph: DataFrame, f, schema: str) -> DataFrame:
         e = pdf[pdf.dst.notna()].sort_values(["src", "dst"])
         return f(every, e.src.map(at).to_numpy(), e.dst.map(at).to_numpy(), e.weight.to_numpy())
 
-    return rows.groupBy(F.lit(0)).applyInPandas(run, schema)
+    return rows.groupBy().applyInPandas(run, schema)
 
 
 def components(names: DataFrame, graph: DataFrame) -> DataFrame:

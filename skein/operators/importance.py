@@ -67,4 +67,4 @@ def stationary(matrix: DataFrame, iterations: int = 50, tolerance: float | None
                 break
         return pd.DataFrame({"table_name": names, "share": share})
 
-    return matrix.groupBy(F.lit(0)).applyInPandas(walk, "table_name string, share double")
+    return matrix.groupBy().applyInPandas(walk, "table_name string, share double")

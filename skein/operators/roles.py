@@ -43,7 +43,7 @@ def entity_tables(ranked: DataFrame, references: DataFrame, neighbours: DataFram
                 gone.update(r.near, [r.table_name])
         return pd.DataFrame({"table_name": taken})
 
-    return rows.select("table_name", "position", "near").groupBy(F.lit(0)).applyInPandas(run, "table_name string")
+    return rows.select("table_name", "position", "near").groupBy().applyInPandas(run, "table_name string")
 
 
 def detail_tables(entities: DataFrame, references: DataFrame, foreign_keys: DataFrame, primary: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def constrained_triplets(pairs: DataFrame, sims: DataFrame, margin: float = 0.3,
                 out.append((r.anchor, r.positive, pick))
         return pd.DataFrame(out, columns=["anchor", "positive", "negative"])
 
-    return rows.groupBy(F.lit(0)).applyInPandas(run, "anchor string, positive string, negative string")
+    return rows.groupBy().applyInPandas(run, "anchor string, positive string, negative string")
 
 
 def low_similarity_triplets(pairs: DataFrame, sims: DataFrame, k: int = 5, seed: int = 43) -> DataFrame:

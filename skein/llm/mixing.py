@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, cut, table, word_count
+from .common import SPACE_CLASS, cut, partitions, table, word_count
 
 CHUNK = 4096
 
@@ -130,12 +130,12 @@ def slots(planned: DataFrame, mix: Mix) -> DataFrame:
     parts = planned.where("quota > 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(mix.buckets - 1))))
     lo = F.expr(f"quota * part div {mix.buckets}")
     hi = F.expr(f"quota * (part + 1) div {mix.buckets}")
-    parts = parts.select("key", lo.alias("lo"), (hi - lo).alias("n")).repartition("key", "lo")
+    parts = parts.select("key", lo.alias("lo"), (hi - lo).alias("n")).repartition(partitions(planned), "key", "lo")
     draw = F.pmod(F.xxhash64(F.lit(mix.seed), F.lit("shard"), "key", "r"), F.lit(mix.shards)).cast("int")
     counts = _counted(parts, "lo", "n", "r").groupBy("key", draw.alias("shard")).agg(F.count("*").alias("c"))
     through = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("base", F.coalesce(F.sum("c").over(through), F.lit(0)))
-    counts = counts.join(planned.select("key", "n_blocks"), "key").repartition("key", "shard")
+    counts = counts.join(planned.select("key", "n_blocks"), "key").repartition(partitions(planned), "key", "shard")
     ranked = _counted(counts, "base", "c", "r")
     block = permuted(F.pmod("r", "n_blocks"), F.col("n_blocks"), F.col("key"), mix)
     return ranked.select("key", "shard", (F.col("r") - F.col("base")).alias("slot"), block.alias("block"))
@@ -206,14 +206,15 @@ def mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     )
     joined = joined.where(F.size("_p") > 0)
     total = F.aggregate("_p", F.lit(0).cast("long"), lambda a, p: a + p["words"])
-    words = F.regexp_extract_all("text", F.lit(WORD_CLASS), F.lit(0))
+    words = F.array_remove(F.split("text", SPACE_CLASS), "")
     some = F.array_join(
         F.flatten(F.transform("_p", lambda p: F.slice(F.col("_w"), (p["at"] + 1).cast("int"), p["words"].cast("int")))), " "
     )
     joined = joined.withColumn("_whole", total == F.col("size")).withColumn(
         "_w", F.when(~F.col("_whole"), words)
     )
-    text = F.when(F.col("_whole"), F.col("text")).otherwise(some)
+    # Named twice, so that the words are not split anew for every piece.
+    text = F.when(F.col("_whole"), F.col("text")).when(F.size("_w") > 0, some)
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))

@@ -21,6 +21,19 @@ class Encoder(Protocol):
         """An encoder adapted to (anchor, positive, negative) names."""
 
 
+def hashed_tfidf(docs: DataFrame, key: str, tokens, size: int) -> DataFrame:
+    """(key, embedding): TF-IDF weights of the tokens, summed with hashed signs in hashed slots."""
+    from ..operators.similarity import tfidf
+
+    terms = tfidf(docs, tokens, key)
+    slot = F.pmod(F.xxhash64("term"), F.lit(size)).cast("int")
+    sign = F.when(F.xxhash64(F.lit("sign"), "term").bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
+    sums = terms.groupBy(key, slot.alias("slot")).agg(F.sum(F.col("tfidf") * sign).alias("x"))
+    packed = docs.select(key).join(sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m")), key, "left")
+    values = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return packed.select(key, values.alias("embedding"))
+
+
 class HashedTfidf:
     """TF-IDF of identifier tokens, hashed with signs to ``size`` dimensions, unit length; and,
     after fine-tuning, a linear map learned with a triplet hinge loss."""
@@ -29,15 +42,7 @@ class HashedTfidf:
         self.size, self.matrix = size, matrix
 
     def encode(self, docs: DataFrame) -> DataFrame:
-        from ..operators.similarity import tfidf
-
-        terms = tfidf(docs, T.identifier_tokens(F.col("doc")))
-        slot = F.pmod(F.xxhash64("term"), F.lit(self.size)).cast("int")
-        sign = F.when(F.xxhash64(F.lit("sign"), "term").bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
-        sums = terms.groupBy("table_name", slot.alias("slot")).agg(F.sum(F.col("tfidf") * sign).alias("x"))
-        packed = docs.select("table_name").join(sums.groupBy("table_name").agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m")), "table_name", "left")
-        values = F.transform(F.sequence(F.lit(0), F.lit(self.size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-        out = packed.select("table_name", values.alias("embedding"))
+        out = hashed_tfidf(docs, "table_name", T.identifier_tokens(F.col("doc")), self.size)
         return out if self.matrix is None else self._mapped(out)
 
     def _mapped(self, vectors: DataFrame) -> DataFrame:

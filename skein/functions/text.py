@@ -15,8 +15,8 @@ def identifier_tokens(name: Column) -> Column:
 
 
 def word_tokens(text: Column) -> Column:
-    """Lower-cased runs of two or more word characters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\b(\w\w+)\b"), F.lit(1))
+    """Lower-cased runs of two or more ASCII word characters."""
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]{2,})"), F.lit(1))
 
 
 def name_documents(columns: DataFrame) -> DataFrame:

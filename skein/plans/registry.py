@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +15,13 @@ from ..operators import graph as G
 from ..operators import importance as I
 from ..operators import metrics as M
 from ..operators import profile as P
+from ..operators import records as N
 from ..operators import roles as R
 from ..operators import similarity as S
 from ..operators import tables_etl as Z
 from ..operators import triplets as X
 from ..sources import catalog as K
-from ..sources.files import flatten_truth, table_lines, truth
+from ..sources.files import table_lines, truth
 from . import systems as Y
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -394,10 +394,11 @@ def tfidf_terms(s, d):
 
 
 @query("document_terms", """WITH w AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM documents)
-SELECT source, term, count(*) AS tf FROM w WHERE length(term) = 3 GROUP BY ALL""")
+SELECT source, count(*) AS words, count(DISTINCT term) AS terms FROM w GROUP BY source""")
 def document_terms(s, d):
-    words = _table(s, d, "documents").select("source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]{2,})"), F.lit(1))).alias("term"))
-    return words.where(F.length("term") == 3).groupBy("source", "term").agg(F.count("*").alias("tf"))
+    words = _table(s, d, "documents").select("source", F.explode(T.word_tokens(F.col("text"))).alias("term"))
+    counts = words.groupBy("source", "term").agg(F.count("*").alias("n"))
+    return counts.groupBy("source").agg(F.sum("n").alias("words"), F.count("*").alias("terms"))
 
 
 @query("tfidf_cosine_pairs", f"WITH {ALL_SIMS} SELECT a, b, round(sim, 6) AS sim FROM sims")
@@ -941,4 +942,11 @@ def pooled_vectors(s, d):
     return _r(Z.pooled(e, "sum").select(F.col("indicator").alias("label"), F.posexplode("vector").alias("pos", "m")), "m", digits=4)
 
 
-__all__ = ["QUERIES", "ORACLE_SQL", "flatten_truth", "reduce"]
+@query("representative_records")
+def representative_records(s, d):
+    return N.representative(_table(s, d, "part"))
+
+
+@query("projected_vectors")
+def projected_vectors(s, d):
+    return _r(N.projected(_table(s, d, "embeddings"), "vec_id"), "x0", "x1", digits=4)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, table
 
 RANKS = "byte_bpe_50k.tiktoken"
-CACHE = 300_000
+CACHE = 150_000
 SCAN = 128
 PART = 1 << 20
 LONG = 96

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space as the contracts define it: space, tab, \n, \v, \f, \r. Fixed value.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -77,6 +78,20 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def arrow_batches(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
+) -> DataFrame:
+    """``mapInArrow`` on rows that hold whole texts: the session's batch size is lowered to 1000
+    rows (unless it was set), as a batch exists in several copies on either side."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH) == "10000":
+        conf.set(BATCH, "1000")
+    return df.mapInArrow(run, schema)
+
+
 def arrow_map(
     df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
 ) -> DataFrame:
@@ -87,4 +102,4 @@ def arrow_map(
             if batch.num_rows and (out := f(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return arrow_batches(df, run, schema)

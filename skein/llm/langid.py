@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, remainder, table
+from .common import arrow_batches, arrow_map, remainder, table
 
 UNKNOWN = "und"
 FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -228,7 +228,7 @@ def identified(docs: DataFrame, learn: str, net: Net | None = None) -> DataFrame
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.expr(f"coalesce({learn}, false)").alias("learned"), F.col("text").cast("binary").alias("t")
     )
-    return slim.mapInArrow(predict, "doc_id long, learned boolean, lang_pred string, score double")
+    return arrow_batches(slim, predict, "doc_id long, learned boolean, lang_pred string, score double")
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

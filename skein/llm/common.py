@@ -53,10 +53,10 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    if not spark.sparkContext._jsc.sc().isStopped():
-        jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    sc = spark.sparkContext
+    if sc._jsc is not None and not sc._jsc.sc().isStopped():
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def partitions(df: DataFrame, most: int = 20_000) -> int:

@@ -44,14 +44,16 @@ def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp): the fingerprint of each whole text as a signed long; rows are kept as they are."""
+    """(id, key, fp): the fingerprint of each whole text as a signed long, and a hash of id and
+    text; rows are kept as they are."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.fromiter((fingerprint(x.as_py(), width) for x in b.column(1)), np.uint64, b.num_rows)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], ["id", "key", "fp"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return arrow_map(slim, batch, "id long, fp long")
+    key = F.xxhash64(id_col, text_col).alias("key")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"), key)
+    return arrow_map(slim, batch, "id long, key long, fp long")
 
 
 def _counts(fp: Column, half: int) -> Column:
@@ -100,7 +102,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp, root, component_id), one row per row of ``docs``.
+    """(id, key, fp, root, component_id), one row per row of ``docs``.
 
     ``component_id`` is the smallest id among the documents that links reach (links: 4 bits or
     fewer), ``root`` the smallest fingerprint of that component. A null text counts as empty
@@ -118,21 +120,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(ids, "root").select(F.col("fp").alias("f"), "root", "component_id")
-    return rows.join(named, F.col("fp") == F.col("f")).select("id", "fp", "root", "component_id")
+    return rows.join(named, F.col("fp") == F.col("f")).select("id", "key", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` (with doc_id, text) without all but one document of each near-duplicate group:
-    the one with the smallest doc_id stays; of rows that repeat that id, one."""
+    the one with the smallest doc_id stays (null ids come last; of several texts with that id
+    the one of least hash, of rows that repeat it one)."""
     found = near_duplicates(docs)
-    keep = (
-        found.where("id = component_id OR (component_id IS NULL AND fp = root)")
-        .select("id")
-        .distinct()
-        .withColumnRenamed("id", "_id")
-    )
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("f")
+    keep = found.groupBy("root").agg(first).select(F.col("f.key").alias("_key"))
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    # The join's partitioning serves the removal of repeated rows as well.
+    return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key", "doc_id"]).drop("_key")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

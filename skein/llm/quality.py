@@ -117,4 +117,4 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents")).select("doc_id", *BASE, "lost")
+    return judged(table(spark, sf_dir, "documents")).select("doc_id", *BASE, F.round("lost", 6).alias("lost"))

@@ -11,6 +11,7 @@ from .langid import op6_langid
 from .lattice import op1_lattice
 from .linededup import op7_lines
 from .mixing import op3_mixing
+from .oracles import ORACLE_SQL
 from .quality import op10_quality
 from .sharding import op5_sharding
 from .simhash import op9_simhash
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from .common import cut, stored, table, word_count
 
 
+HOT = 200
+SALTS = 32
+
+
 @dataclass(frozen=True)
 class Chunking:
     divisor: int = 3
@@ -71,13 +75,16 @@ def removals(docs: DataFrame, how: Chunking | None = None) -> DataFrame:
     counted = F.filter("_chunks", lambda c: ((c["hi"] - c["lo"] >= 2) & (c["words"] > 0)) | (c["words"] >= how.long_line))
     each = cut_up.select("doc_id", "_doc", "_l", F.explode(counted).alias("c")).select("doc_id", "_doc", "_l", "c.*")
     # A hash that occurs once needs no text; of the others each task sends one row a text.
-    twice = cut(each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+    twice = cut(each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
     texts = each.select("doc_id", "_doc", "lo", "hi", "words", "hash", _text("lo", "hi").alias("chunk"))
-    again = stored(texts.join(twice, "hash", "left_semi"))
+    again = stored(texts.join(twice, "hash"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_doc", "lo")
-    firsts = again.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    marked = again.alias("a").join(firsts.select("hash", "chunk", "first"), ["hash", "chunk"])
-    gone = marked.where(place != F.col("first"))
+    firsts = again.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("k"), F.max("n").alias("n"))
+    # The places of a chunk that occurs very often are dealt over several tasks.
+    salts = F.when(F.col("n") > HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    firsts = firsts.where("k > 1").select("hash", "chunk", "first", F.explode(salts).alias("salt"))
+    salted = again.withColumn("salt", F.when(F.col("n") > HOT, F.pmod("_doc", F.lit(SALTS))).otherwise(0).cast("int"))
+    gone = salted.join(firsts, ["hash", "chunk", "salt"]).where(place != F.col("first"))
     cuts = gone.groupBy("doc_id", "_doc").agg(F.array_sort(F.collect_set(F.struct("lo", "hi", "words"))).alias("cuts"))
     return cuts.withColumnRenamed("_doc", "hash")
 

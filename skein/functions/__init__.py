@@ -1 +1 @@
-"""skein.functions"""
+"""Column functions and encoders."""

@@ -1 +1 @@
-"""skein.operators"""
+"""Operators on tables of a catalog and on their contents."""

@@ -1 +1 @@
-"""skein.plans"""
+"""Systems composed of operators, their runner, and the registry of queries."""

@@ -1 +1 @@
-"""skein.sources"""
+"""Where tables, truths and other inputs come from."""

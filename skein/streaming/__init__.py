@@ -1 +1 @@
-"""skein.streaming"""
+"""Streaming forms of batch operators."""

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -376,6 +377,29 @@ def test_vectors(spark):
     assert vectors.linked(df.where("false")).count() == 0
 
 
+def test_vectors_of_a_dense_third(spark):
+    rng = np.random.default_rng(4)
+    n, hot, d = 30_000, 10_000, 64
+    x = vectors.unit(rng.normal(size=(n, d)))
+    x[:hot] = vectors.unit(x[0] + rng.normal(0, 0.19 / math.sqrt(d), (hot, d)))  # cosines of about 0.965
+    x[hot : hot + 5000] = vectors.unit(np.repeat(x[-250:], 20, axis=0) + rng.normal(0, 0.15 / math.sqrt(d), (5000, d)))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)}))
+    found = vectors.cut(vectors.linked(df))
+    got = np.zeros(n)
+    for r in found.collect():
+        got[r.id] = r.n_links
+    true = np.concatenate([(x[k : k + 1000] @ x.T >= 0.95).sum(axis=1) for k in range(0, n, 1000)]) - 1
+    assert (got <= true).all()
+    assert got[:hot].sum() >= 0.9 * true[:hot].sum() and got[hot:].sum() >= 0.9 * true[hot:].sum()
+    assert vectors.audited(df, found) >= 0.9
+
+
+def test_vectors_audit_raises(spark):
+    df = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(9)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError):
+        vectors.audited(df, df.select(F.col("vec_id").alias("id"), F.lit(1).alias("n_links")))
+
+
 # 9
 
 

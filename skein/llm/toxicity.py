@@ -51,7 +51,7 @@ def shape(text: str, words: list[str], distinct: int) -> list[float]:
     """Figures on the look of a text."""
     n, size = max(1, len(words)), max(1, len(text))
     marks = sum(map(text.count, "!#*$%&|<>"))
-    upper = sum(map(str.isupper, text[:: max(1, size // 4096)])) / min(size, 4096 + 4096)
+    upper = sum(map(str.isupper, text)) / size
     return [np.log1p(len(words)), distinct / n, size / n / 10, marks / size, upper, text.count("\n") / n]
 
 

@@ -139,6 +139,13 @@ def test_toxicity_odd_rows(spark, odd):
     assert toxicity.scored(odd.where("false"), labels).count() == 0
 
 
+def test_upper_case_is_counted_over_whole_texts():
+    upper = lambda text: toxicity.shape(text, text.split(), 1)[4]
+    assert all(upper("A" * n) == 1 for n in (1, 4096, 8191, 8192, 12_287, 12_288, 100_000))
+    assert all(upper("aA" * (n // 2)) == 0.5 for n in (4096, 8192, 12_288, 100_000))
+    assert upper("Ж" + "x" * 9999) == 1e-4 and upper("") == 0
+
+
 def test_chain_feeds_out_of_fold():
     x = [np.array([1, i % 2 + 2], np.uint32) for i in range(200)]
     y = np.array([[i % 2, i % 2] for i in range(200)], float)

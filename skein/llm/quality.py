@@ -106,7 +106,7 @@ def judged(docs: DataFrame, rules: Rules | None = None, text_col: str = "text")
         ),
     )
     clean = F.when(F.size("_bad") == 0, F.col(text_col)).otherwise(
-        F.array_join(F.array_except(F.split("_t", "\n"), "_bad"), "\n")
+        F.expr("array_join(filter(split(_t, '\\n'), x -> NOT array_contains(_bad, x)), '\\n')")
     )
     df = df.withColumn("clean_text", clean)
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= rules.most_lost))

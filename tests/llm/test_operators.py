@@ -486,6 +486,13 @@ def test_quality_lines(spark):
     assert found[2].clean_text == good and found[4].clean_text == good and found[1].clean_text == rows[0][1]
 
 
+def test_clean_text_keeps_repeated_good_lines(spark):
+    good, nav = "This is a line of plain prose that ends as it should.", "Home | News | Sport | Weather | Travel"
+    text = "\n".join([good, "", nav, good, "", "", nav, "Another good line.", good, ""])
+    want = "\n".join([good, "", good, "", "", "Another good line.", good, ""])
+    assert quality.judged(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().clean_text == want
+
+
 def test_quality_odd_rows(odd):
     found = quality.judged(clashing(odd)).collect()
     assert len(found) == len(ODD)

@@ -36,15 +36,16 @@ def _shared(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget its lineage; Spark removes the files
-    when the result is no longer used."""
+    """Materialise ``df`` in the shared folder and forget its lineage. For slim results: the
+    files are uncompressed, and Spark removes them only if the session was started with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
     _shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """As ``cut``, for larger results: a compressed Parquet table in the shared folder, which
-    is removed when the driver ends."""
+    """As ``cut``, for larger results: a compressed Parquet table in the shared folder. It is
+    removed by ``dropped``, or when the driver ends with its session still running."""
     spark = df.sparkSession
     path = f"{_shared(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -52,6 +53,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Remove the table behind a result of ``stored``, once nothing reads it any more."""
+    for file in df.inputFiles()[:1]:
+        folder = file.rsplit("/", 1)[0]
+        if folder.rsplit("/", 1)[-1].startswith("table-"):
+            _remove(df.sparkSession, folder)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is not None and not sc._jsc.sc().isStopped():
@@ -59,6 +68,41 @@ def _remove(spark: SparkSession, path: str) -> None:
         place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: A key is hot if it has more than this many rows and more than one in ``MANY`` of all rows, so
+#: there are fewer than ``MANY`` hot keys and their list may be broadcast at any scale.
+HOT = 200
+MANY = 1000
+SALTS = 32
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: list[str], sizes: DataFrame, size: str, total: int, spread: Column) -> DataFrame:
+    """Inner join of ``many`` to ``one``, which has a row a key (no nulls). ``sizes``, best a
+    materialised frame, has each key's number of rows in ``many`` in ``size``; ``total`` is their
+    sum. The rows of a hot key are dealt by ``spread`` (an integer) over several tasks, each with
+    its copy of the row of ``one``; without hot keys it is a plain join."""
+    hot = sizes.where(F.col(size) > max(HOT, total // MANY)).select(*key, F.lit(1).alias("_hot"))
+    if not hot.limit(1).count():
+        return many.join(one, key)
+    hot = F.broadcast(hot)
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(spread, F.lit(SALTS))).cast("int").alias("_salt")
+    salts = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    left = many.join(hot, key, "left").select(*many.columns, salt)
+    right = one.join(hot, key, "left").select(*one.columns, F.explode(salts).alias("_salt"))
+    return left.join(right, [*key, "_salt"]).drop("_salt")
+
+
+def packed(df: DataFrame, *columns: Column) -> DataFrame:
+    """The whole row as one struct ``_row`` beside ``columns``, so that no column of the table
+    can clash with those an operator makes; ``unpacked`` takes it apart again."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *columns)
+
+
+def unpacked(columns: list[str], **new: Column) -> list[Column]:
+    """The columns of a packed row, those in ``new`` replaced in place or put at the end."""
+    kept = [new.get(c, F.col("_row").getField(c)).alias(c) for c in columns]
+    return kept + [v.alias(c) for c, v in new.items() if c not in columns]
+
+
 def partitions(df: DataFrame, most: int = 20_000) -> int:
     """Shuffle partitions of the session, which a cluster sizes to its data."""
     return min(most, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

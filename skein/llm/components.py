@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, salted_join
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,18 +56,18 @@ def components(edges: DataFrame) -> DataFrame:
         forested.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
     both = cut(both.distinct())
-    labels = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("l")))
+    total = both.count()
+    labels = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("l"), F.count("*").alias("d")))
+    degrees = labels.select(F.col("u").alias("v"), "d")
     while True:
-        near = (
-            both.join(labels.select(F.col("u").alias("v"), "l"), "v")
-            .groupBy("u")
-            .agg(F.min("l").alias("m"))
-        )
+        # The edges of a hub are dealt over several tasks.
+        own = labels.select(F.col("u").alias("v"), "l")
+        near = salted_join(both, own, ["v"], degrees, "d", total, F.col("u"))
+        near = near.groupBy("u").agg(F.min("l").alias("m"))
         lower = labels.join(near, "u").select("u", F.col("l").alias("was"), F.least("l", "m").alias("l"))
-        jump = labels.select(F.col("u").alias("l"), F.col("l").alias("j"))
-        new = cut(
-            lower.join(jump, "l", "left").select("u", "was", F.least("l", F.coalesce("j", "l")).alias("l"))
-        )
+        # Many nodes come to have one label: a join of slim rows, split by AQE where it is skewed.
+        jump = own.select(F.col("v").alias("l"), F.col("l").alias("j"))
+        new = cut(lower.join(jump, "l").select("u", "was", F.least("l", "j").alias("l")))
         changed = new.where("l <> was").limit(1).count()
         labels = new.select("u", "l")
         if not changed:

@@ -1,144 +1,186 @@
 """SimHash near-duplicates by a grid over segment bit counts.
 
 A fingerprint is cut in segments of two bits; the vector of their bit counts is an embedding
-in which the Manhattan distance never exceeds the Hamming distance. Fingerprints that differ in
-four bits at most differ by two at most in one half of that vector, so a range join on each
-half finds every pair: both sides go to the grid cells at distance one at most from their
-own, and pairs that meet in a cell are verified by their exact Hamming distance. Of random
-fingerprints about 4 pairs in 100,000 meet.
+in which the Manhattan distance never exceeds the Hamming distance. A range join on each half
+word (sixteen segments) of that vector sends both sides to the grid cells at distance one at
+most from their own, and pairs that meet in a cell are verified by their exact Hamming distance.
+
+Of 64-bit fingerprints that differ in four bits at most, one half differs in two at most, so the
+two joins find every pair. Wider fingerprints (several longs) take a wider limit, that of a given
+similarity of the shingles: the share of differing bits is the angle between the texts' shingle
+vectors over pi. A pair within it is found if any of its halves is close, which has to be
+measured. Of random fingerprints about 4 pairs in 100,000 meet in a half.
 """
 
 from __future__ import annotations
 
+from math import acos, pi
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, partitions, table
+from .common import arrow_map, cut, packed, partitions, salted_join, stored, table, unpacked
 from .components import components
 
 BLOCK = 1 << 17
+#: The pipeline's stage: shingles of five words, alike from a Jaccard similarity of 0.8 on.
+#: Bits are counted with an error, so a few more than expected are let pass.
+WIDTH, LONGS, SIMILARITY, SLACK = 5, 3, 0.8, 3
+U = np.uint64
+
 
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th long of a shingle's hash: the hash itself, or a mix of it that looks unrelated."""
+    if not k:
+        return h
+    x = h + U(k * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
 
-def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text: ASCII case folded, ``width``-word shingles with repeats,
-    XXH64; a bit is set if over half the hashes have it. No words (or null): 0."""
+
+def fingerprint(text: bytes | None, width: int = 4, seed: int = 42, longs: int = 1) -> list[int]:
+    """The SimHash of a text, 64 bits a long: ASCII case folded, ``width``-word shingles with
+    repeats, XXH64; a bit is set if over half the hashes have it. No words (or null): 0."""
     words = (text or b"").lower().split()
     n = len(words)
     if not n:
-        return 0
+        return [0] * longs
     digest = xxhash.xxh64_intdigest
-    if n < width:
-        return digest(b" ".join(words), seed)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: n - width + 1].tolist()
-    stops = ends[width - 1 :].tolist()
-    ones = np.zeros(64, np.int64)
+    if n < width:
+        starts, stops = [0], [len(joined)]
+    else:
+        starts = np.concatenate([[0], ends[:-1] + 1])[: n - width + 1].tolist()
+        stops = ends[width - 1 :].tolist()
+    ones = np.zeros((longs, 64), np.int64)
     for k in range(0, len(starts), BLOCK):
-        h = [digest(joined[a:b], seed) for a, b in zip(starts[k : k + BLOCK], stops[k : k + BLOCK], strict=True)]
-        ones += np.unpackbits(np.array(h, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(starts)).tobytes(), "big")
+        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[k : k + BLOCK], stops[k : k + BLOCK], strict=True)], U)
+        for i in range(longs):
+            bits = np.unpackbits(mixed(h, i).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones[i] += bits.sum(axis=0, dtype=np.int64)
+    packed_bits = np.packbits(ones * 2 > len(starts), axis=1)
+    return [int.from_bytes(row.tobytes(), "big") for row in packed_bits]
+
+
+def _names(longs: int) -> list[str]:
+    return [f"f{i}" for i in range(longs)]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, key, fp): the fingerprint of each whole text as a signed long, and a hash of id and
-    text; rows are kept as they are."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, longs: int = 1
+) -> DataFrame:
+    """(id, key, f0, ...): the fingerprint of each whole text in signed longs, and a hash of id
+    and text; rows are kept as they are."""
+    names = _names(longs)
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.fromiter((fingerprint(x.as_py(), width) for x in b.column(1)), np.uint64, b.num_rows)
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], ["id", "key", "fp"])
+        fps = np.array([fingerprint(x.as_py(), width, longs=longs) for x in b.column(1)], U).view(np.int64)
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), *map(pa.array, fps.T.copy())], ["id", "key", *names])
 
     key = F.xxhash64(id_col, text_col).alias("key")
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"), key)
-    return arrow_map(slim, batch, "id long, key long, fp long")
+    return arrow_map(slim, batch, "id long, key long, " + ", ".join(f"{f} long" for f in names))
 
 
-def _counts(fp: Column, half: int) -> Column:
-    """Bit counts of one half's sixteen segments, two bits each."""
-    bits = F.shiftrightunsigned(fp, 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
-    low = F.lit(0x55555555)
-    return F.shiftrightunsigned(bits, 1).bitwiseAND(low) + bits.bitwiseAND(low)
+def _counts(fp: str, half: int) -> str:
+    """Bit counts of one half's sixteen segments, two bits each, as SQL."""
+    bits = f"(shiftrightunsigned({fp}, {32 * half}) & 4294967295L)"
+    return f"((shiftrightunsigned({bits}, 1) & 1431655765L) + ({bits} & 1431655765L))"
 
 
-def _cells(fp: Column, half: int) -> Column:
-    """Codes of the cells at Manhattan distance 1 at most in one half of the bit counts."""
-    own = _counts(fp, half)
-    moved = [F.array(own)]
-    for j in range(0, 32, 2):
-        n = F.shiftright(own, j).bitwiseAND(F.lit(3))
-        up = F.when(n < 2, own + (1 << j))
-        down = F.when(n > 0, own - (1 << j))
-        moved.append(F.array(up, down))
-    return F.array_compact(F.concat(*moved))
+def _cells(own: str) -> str:
+    """Codes of the cells at Manhattan distance 1 at most from the bit counts ``own``, as SQL."""
+    up = [f"CASE WHEN (shiftright({own}, {j}) & 3) < 2 THEN {own} + {1 << j}L END" for j in range(0, 32, 2)]
+    down = [f"CASE WHEN (shiftright({own}, {j}) & 3) > 0 THEN {own} - {1 << j}L END" for j in range(0, 32, 2)]
+    return f"array_compact(array({own}, {', '.join([*up, *down])}))"
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints at Hamming distance 4 or less, all of them
-    (a pair may come twice).
+def links(fps: DataFrame, limit: int = 4) -> DataFrame:
+    """Pairs (a, b) of ``fps`` (node, f0, ...), a < b, at Hamming distance ``limit`` or less that
+    are close in some half (a pair may come several times). Of one long and four bits: all.
 
-    Of two such fingerprints one 32-bit half differs in 2 bits at most, so its bit counts
-    differ by 2 at most in Manhattan distance and a cell lies within 1 of both. A pair is
-    taken in the low half if that differs in 2 bits at most, else in the high one. Where its
-    counts are equal it is taken in their own cell, where they differ by 1 in the cell of a's
-    counts, else in each cell between them (two at most).
+    Such a pair differs in 2 bits at most in one half, so a cell lies within 1 of the counts of
+    both. Where its counts are equal it is taken in their own cell, where they differ by 1 in the
+    cell of a's counts, else in each cell between them (two at most). Of one long, it is taken
+    in the low half if that differs in 2 bits at most; else the high half differs in one at most,
+    and a needs no cell but its own there.
     """
-    n = partitions(fps)
-    fps = fps.repartition(n, "fp")
+    names = [c for c in fps.columns if c != "node"]
+    fps = fps.repartition(partitions(fps), "node")
+    single = len(names) == 1 and limit == 4
+    distance = " + ".join(f"bit_count(a{f} ^ b{f})" for f in names)
     found = None
-    for half in (0, 1):
-        grid = fps.select("fp", F.explode(_cells(F.col("fp"), half)).alias("cell"))
-        a, b = grid.select("cell", F.col("fp").alias("a")), grid.select("cell", F.col("fp").alias("b"))
-        differ = F.col("a").bitwiseXOR(F.col("b"))
-        low = F.bit_count(differ.bitwiseAND(F.lit(0xFFFFFFFF))) <= 2
-        own_a, own_b = _counts(F.col("a"), half), _counts(F.col("b"), half)
-        once = (own_a == F.col("cell")) | ((own_b != F.col("cell")) & (own_a != own_b))
-        verify = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= 4) & (low if half == 0 else ~low) & once
+    for half in range(2 * len(names)):
+        f, side = names[half // 2], half % 2
+        own = fps.selectExpr("node", *names, f"{_counts(f, side)} AS own")
+        a, b = (
+            own.selectExpr(f"{cells} AS cell", f"node AS {k}", *[f"{x} AS {k}{x}" for x in names])
+            for k, cells in (("a", "own" if single and side else f"explode({_cells('own')})"), ("b", f"explode({_cells('own')})"))
+        )
+        own_a, own_b = _counts(f"a{f}", side), _counts(f"b{f}", side)
+        verify = f"a < b AND {distance} <= {limit} AND ({own_a} = cell OR ({own_b} <> cell AND {own_a} <> {own_b}))"
+        if single:
+            verify += f" AND bit_count((a{f} ^ b{f}) & 4294967295L) {'>' if side else '<='} 2"
         pairs = a.join(b, "cell").where(verify).select("a", "b")
         found = pairs if found is None else found.union(pairs)
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, key, fp, root, component_id), one row per row of ``docs``.
+def limit_of(similarity: float, longs: int) -> int:
+    """Differing bits that shingle vectors of this Jaccard similarity are expected to have."""
+    return int(64 * longs * acos(2 * similarity / (1 + similarity)) / pi)
 
-    ``component_id`` is the smallest id among the documents that links reach (links: 4 bits or
-    fewer), ``root`` the smallest fingerprint of that component. A null text counts as empty
-    and has fingerprint 0, which links like any other; null ids are never chosen as a
-    component's id, unless all are null. Repeated rows come back as often as they came in.
-    An empty table gives an empty result.
-    """
-    rows = cut(fingerprints(docs, id_col, text_col, width))
-    classes = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    joined = components(links(classes.select("fp")))
-    rooted = cut(
-        classes.join(joined, F.col("fp") == F.col("node"), "left").select(
-            "fp", "first", F.coalesce("root", "fp").alias("root")
-        )
-    )
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(ids, "root").select(F.col("fp").alias("f"), "root", "component_id")
-    return rows.join(named, F.col("fp") == F.col("f")).select("id", "key", "fp", "root", "component_id")
 
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, longs: int = 1, limit: int = 4
+) -> DataFrame:
+    """(id, key, f0, ..., root, component_id), one row per row of ``docs``.
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+    ``component_id`` is the smallest id among the documents that links reach (links: ``limit``
+    bits or fewer), ``root`` a number of that component. A null text counts as empty and has
+    fingerprint 0, which links like any other; null ids are never chosen as a component's id,
+    unless all are null. Ids are integers. Repeated rows come back as often as they came in.
+    An empty table gives an empty result.
+    """
+    names = _names(longs)
+    rows = stored(fingerprints(docs, id_col, text_col, width, longs))
+    total = rows.count()
+    # Equal fingerprints are one node; numbers are kept as written, so they are told only once.
+    node = F.col("f0") if longs == 1 else F.monotonically_increasing_id()
+    classes = rows.groupBy(*names).agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    classes = cut(classes.withColumn("node", node))
+    joined = components(links(classes.select("node", *names), limit)).withColumnRenamed("node", "member")
+    rooted = classes.join(joined, F.col("node") == F.col("member"), "left")
+    rooted = cut(rooted.select(*names, "first", "copies", F.coalesce("root", "node").alias("root")))
+    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("kinds"))
+    named = salted_join(rooted, ids, ["root"], ids, "kinds", total, F.xxhash64(*names))
+    named = named.select(*names, "copies", "root", "component_id")
+    return salted_join(rows, named, names, classes, "copies", total, F.col("key")).select("id", "key", *names, "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, longs: int = LONGS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` (with doc_id, text) without all but one document of each near-duplicate group:
     the one with the smallest doc_id stays (null ids come last; of several texts with that id
-    the one of least hash, of rows that repeat it one)."""
-    found = near_duplicates(docs)
+    the one of least hash, of rows that repeat it one). Texts without a word are one group. An
+    empty table gives an empty result; columns of any name stay."""
+    found = near_duplicates(docs, width=width, longs=longs, limit=limit_of(similarity, longs) + SLACK)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("f")
     keep = found.groupBy("root").agg(first).select(F.col("f.key").alias("_key"))
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    keyed = packed(docs, "doc_id", F.xxhash64("doc_id", "text").alias("_key"))
     # The join's partitioning serves the removal of repeated rows as well.
-    return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key", "doc_id"]).drop("_key")
+    kept = keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key", "doc_id"])
+    return kept.select(*unpacked(docs.columns))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
         F.col("id").alias("doc_id"),
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"),
         "component_id",
     )

@@ -1,11 +1,18 @@
 """Line deduplication by content-defined chunks of lines, with DataFrame operations only.
 
-A text is cut in chunks of whole lines. A chunk ends after a line where the rolling hash over
-that line's and its predecessor's hashes is 0 modulo ``divisor``; a line of ``long_line`` words
-or more is a chunk by itself. Both depend on the lines alone, so an insertion shifts no cut
-beyond its neighbours. Chunks of several lines, or of ``long_line`` words, that occur more than
-once in all documents are removed except for the first occurrence (smallest doc_id, then
-place), after their bytes were compared: repeats of a hash are grouped by the text itself.
+Lines without a word are left out of account. A rolling hash over the hashes of a line and its
+predecessor is taken at every line; a boundary lies where it is no larger than one of its two
+neighbours. That depends on nearby lines alone, so an insertion shifts no boundary beyond them,
+and of any three lines in a row that two texts share, one boundary at least is the same in both.
+The two lines at a boundary are the seed of a chunk, and so is a line of ``long_line`` words or
+more. Seeds that occur more than once in all documents are compared by their bytes with the
+first occurrence (smallest doc_id, then place), and widened line by line to both sides as long
+as the lines are equal to those around the first. Neighbouring boundaries are two lines apart
+at most, so two lines on either side reach the next seed and longer chunks arise from several.
+All chunks found are removed, so the first occurrence alone stays.
+
+A repeat of three lines or more, or of one line of ``long_line`` words, is always found whole; one
+of two short lines only where a boundary falls between them in both texts (about half).
 """
 
 from __future__ import annotations
@@ -15,103 +22,133 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, stored, table, word_count
+from .common import HOT, SALTS, cut, packed, salted_join, stored, table, unpacked, word_count
 
-
-HOT = 200
-SALTS = 32
+REACH = 2
 
 
 @dataclass(frozen=True)
 class Chunking:
-    divisor: int = 3
     long_line: int = 40
 
 
-def _lines(text: Column) -> Column:
+def _split(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _ends(lines: Column, hashes: Column, long: Column, divisor: int) -> Column:
-    """Numbers of the lines that end a chunk (from 0)."""
+def _worded(text: Column) -> Column:
+    """The lines that have a word: (x, i, n), the line, its number and its words."""
+    every = F.transform(_split(text), lambda x, i: F.struct(x.alias("x"), i.alias("i"), word_count(x).alias("n")))
+    return F.filter(every, lambda p: p["n"] > 0)
 
-    def last(x: Column, i: Column) -> Column:
-        rolling = F.xxhash64(F.coalesce(F.get(hashes, i - 1), F.lit(0).cast("long")), F.get(hashes, i))
-        cut_here = (F.pmod(rolling, F.lit(divisor)) == 0) | (i == F.size(lines) - 1)
-        return F.struct(i.alias("i"), (cut_here | F.get(long, i) | F.coalesce(F.get(long, i + 1), F.lit(False))).alias("e"))
 
-    return F.transform(F.filter(F.transform(lines, last), lambda p: p["e"]), lambda p: p["i"])
+def seeds(docs: DataFrame, how: Chunking) -> DataFrame:
+    """``docs`` (with text) with ``_lines``, those that have a word, and ``_seeds``: an array of
+    (hash, lo, hi), places in ``_lines``."""
+    df = docs.withColumn("_lines", _worded(F.col("text")))
+    df = df.withColumn("_h", F.transform("_lines", lambda p: F.xxhash64(p["x"])))
+    # Named twice in each step, so that no array is computed anew for every element.
+    pairs = F.transform("_h", lambda x, k: F.when(k > 0, F.xxhash64(F.get("_h", k - 1), x)))
+    df = df.withColumn("_r", pairs)
 
+    def boundary(r: Column, k: Column) -> Column:
+        before, after = F.get("_r", k - 1), F.get("_r", k + 1)
+        lowest = (r <= before) | (r <= after) | (before.isNull() & after.isNull())
+        return F.when(F.coalesce(lowest, F.lit(False)), F.struct(r.alias("hash"), (k - 1).alias("lo"), (k + 1).alias("hi")))
 
-def chunks(docs: DataFrame, how: Chunking) -> DataFrame:
-    """``docs`` with ``_chunks``: an array of (lo, hi, hash, words), each chunk's first line,
-    the line after its last, the hash of its text and its number of words."""
-    df = docs.withColumn("_l", _lines(F.col("text")))
-    df = df.withColumn("_n", F.transform("_l", lambda x: word_count(x)))
-    df = df.withColumn("_h", F.transform("_l", lambda x: F.xxhash64(x)))
-    df = df.withColumn("_long", F.transform("_n", lambda n: n >= how.long_line))
-    df = df.withColumn("_ends", _ends(F.col("_l"), F.col("_h"), F.col("_long"), how.divisor))
+    def long(p: Column, k: Column) -> Column:
+        own = F.xxhash64(F.get("_h", k), F.lit("line"))
+        return F.when((p["n"] >= how.long_line) & (F.size("_h") > 0), F.struct(own.alias("hash"), k.alias("lo"), (k + 1).alias("hi")))
 
-    def chunk(end: Column, k: Column) -> Column:
-        lo = F.coalesce(F.get("_ends", k - 1) + 1, F.lit(0))
-        size = end - lo + 1
-        words = F.aggregate(F.slice("_n", lo + 1, size), F.lit(0).cast("long"), lambda a, n: a + n)
-        return F.struct(
-            lo.alias("lo"), (end + 1).alias("hi"), F.xxhash64(F.slice("_h", lo + 1, size)).alias("hash"), words.alias("words")
-        )
+    found = F.array_compact(F.concat(F.transform("_r", boundary), F.transform("_lines", long)))
+    return df.withColumn("_seeds", found).drop("_h", "_r")
 
-    return df.withColumn("_chunks", F.transform("_ends", chunk)).drop("_n", "_h", "_long", "_ends")
 
+def _texts(lines: Column) -> Column:
+    return F.transform(lines, lambda p: p["x"])
 
-def _text(lo: str, hi: str) -> Column:
-    return F.array_join(F.slice("_l", F.col(lo) + 1, F.col(hi) - F.col(lo)), "\n")
+
+def _alike(a: Column, b: Column) -> Column:
+    """How many leading elements two arrays share."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    end = F.array_position(same, F.lit(False))
+    return F.when(end > 0, end - 1).otherwise(F.size(same)).cast("int")
 
 
 def removals(docs: DataFrame, how: Chunking | None = None) -> DataFrame:
-    """(doc_id, hash, cuts): for documents that lose lines, an array of (lo, hi, words)."""
+    """(doc_id, hash, cuts): for documents that lose lines, the chunks (lo, hi) they lose, as
+    places among the lines that have a word; ``hash`` is that of id and text."""
     how = how or Chunking()
-    slim = docs.select("doc_id", "text")
-    cut_up = chunks(slim, how).withColumn("_doc", F.xxhash64("doc_id", "text"))
-    counted = F.filter("_chunks", lambda c: ((c["hi"] - c["lo"] >= 2) & (c["words"] > 0)) | (c["words"] >= how.long_line))
-    each = cut_up.select("doc_id", "_doc", "_l", F.explode(counted).alias("c")).select("doc_id", "_doc", "_l", "c.*")
-    # A hash that occurs once needs no text; of the others each task sends one row a text.
+    slim = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_doc"))
+    # Outer, as Spark would infer a filter from an inner one and compute all steps within it.
+    each = seeds(slim, how).select("_doc", F.explode_outer("_seeds").alias("s")).where("s IS NOT NULL").select("_doc", "s.*")
+    # A seed that occurs once needs no text: documents are told which of their seeds repeat.
     twice = cut(each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
-    texts = each.select("doc_id", "_doc", "lo", "hi", "words", "hash", _text("lo", "hi").alias("chunk"))
-    again = stored(texts.join(twice, "hash"))
+    total = twice.agg(F.sum("n")).first()[0] or 0
+    mine = salted_join(each, twice, ["hash"], twice, "n", total, F.col("_doc"))
+    mine = mine.groupBy(F.col("_doc").alias("_key")).agg(F.collect_set(F.struct("hash", "n", "lo", "hi")).alias("_again"))
+    known = slim.withColumn("_lines", _texts(_worded(F.col("text")))).join(mine, F.col("_doc") == F.col("_key"))
+
+    def context(s: Column) -> Column:
+        line = F.col("_lines")
+        return F.struct(
+            s["hash"].alias("hash"), s["n"].alias("n"), s["lo"].alias("lo"), s["hi"].alias("hi"),
+            F.array_join(F.slice(line, s["lo"] + 1, s["hi"] - s["lo"]), "\n").alias("seed"),
+            F.reverse(F.slice(line, F.greatest(s["lo"] - REACH, F.lit(0)) + 1, F.least(s["lo"], F.lit(REACH)))).alias("before"),
+            F.slice(line, s["hi"] + 1, F.lit(REACH)).alias("after"),
+        )
+
+    each = F.explode_outer(F.transform("_again", context)).alias("s")
+    context = known.select("doc_id", "_doc", each).where("s IS NOT NULL").select("doc_id", "_doc", "s.*")
+    again = stored(context)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_doc", "lo")
-    firsts = again.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("k"), F.max("n").alias("n"))
-    # The places of a chunk that occurs very often are dealt over several tasks.
+    around = F.struct(F.col("before").alias("before"), F.col("after").alias("after"))
+    firsts = again.groupBy("hash", "seed").agg(
+        F.min(place).alias("first"), F.min_by(around, place).alias("around"), F.count("*").alias("k"), F.max("n").alias("n")
+    )
+    # The places of a seed that occurs very often are dealt over several tasks.
     salts = F.when(F.col("n") > HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    firsts = firsts.where("k > 1").select("hash", "chunk", "first", F.explode(salts).alias("salt"))
+    firsts = firsts.where("k > 1").select("hash", "seed", "first", "around", F.explode(salts).alias("salt"))
     salted = again.withColumn("salt", F.when(F.col("n") > HOT, F.pmod("_doc", F.lit(SALTS))).otherwise(0).cast("int"))
-    gone = salted.join(firsts, ["hash", "chunk", "salt"]).where(place != F.col("first"))
-    cuts = gone.groupBy("doc_id", "_doc").agg(F.array_sort(F.collect_set(F.struct("lo", "hi", "words"))).alias("cuts"))
-    return cuts.withColumnRenamed("_doc", "hash")
+    gone = salted.join(firsts, ["hash", "seed", "salt"]).where(place != F.col("first"))
+    lo = F.col("lo") - _alike(F.col("before"), F.col("around.before"))
+    hi = F.col("hi") + _alike(F.col("after"), F.col("around.after"))
+    cuts = gone.select("doc_id", "_doc", F.struct(lo.alias("lo"), hi.alias("hi")).alias("c"))
+    return cuts.groupBy("doc_id", F.col("_doc").alias("hash")).agg(F.collect_set("c").alias("cuts"))
 
 
 def deduplicated(docs: DataFrame, how: Chunking | None = None) -> DataFrame:
     """``docs`` with ``text`` freed of repeated chunks, and n_removed_lines, n_removed_words.
 
     A null text stays null, an empty one empty. A text that loses all its lines becomes empty.
-    Rows that repeat both id and text count as one document and get the same result; null ids
-    come last. Texts and chunks of any size are compared whole. ``n_chars``, if there is one,
-    is set anew where lines were removed.
+    Lines without a word go with the chunk that they lie in, and stay elsewhere. Rows that
+    repeat both id and text count as one document and get the same result; null ids come last.
+    Texts and chunks of any size are compared whole. An empty table gives an empty result.
+    ``n_chars``, if there is one, is set anew where lines were removed; columns called
+    n_removed_lines or n_removed_words are replaced, others of any name stay as they are.
     """
     gone = removals(docs, how).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("cuts").alias("_cuts"))
-    df = docs.withColumn("_h", F.xxhash64("doc_id", "text"))
+    df = packed(docs, "doc_id", "text", F.xxhash64("doc_id", "text").alias("_h"))
     df = df.join(gone, (F.col("_h") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    lines = F.filter(
-        F.transform(_lines(F.col("text")), lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-        lambda p: ~F.exists("_cuts", lambda c: (p["i"] >= c["lo"]) & (p["i"] < c["hi"])),
-    )
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(F.transform(lines, lambda p: p["x"]), "\n"))
-    zero = F.lit(0).cast("long")
-    total = lambda f: F.coalesce(F.aggregate("_cuts", zero, f), zero)
-    df = df.withColumn("n_removed_lines", total(lambda a, c: a + c["hi"] - c["lo"]))
-    df = df.withColumn("n_removed_words", total(lambda a, c: a + c["words"])).withColumn("text", text)
+    hit = F.col("_cuts").isNotNull()
+    df = df.withColumn("_all", F.when(hit, _split(F.col("text")))).withColumn("_at", F.when(hit, F.transform(_worded(F.col("text")), lambda p: p["i"])))
+    span = F.transform("_cuts", lambda c: F.sequence(F.get("_at", c["lo"]), F.get("_at", c["hi"] - 1) + F.size("_at") * 0))
+    df = df.withColumn("_out", F.array_distinct(F.flatten(span)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), "_out")
+
+    def lines(numbers: Column) -> Column:
+        return F.array_join(F.transform(numbers, lambda i: F.get("_all", i)), "\n")
+
+    df = df.withColumn("_left", F.when(hit & (F.size("_all") > 0), lines(kept))).withColumn("_lost", F.when(hit & (F.size("_all") > 0), lines(F.col("_out"))))
+    new = {
+        "text": F.when(hit, F.col("_left")).otherwise(F.col("text")),
+        "n_removed_lines": F.when(hit, F.size("_out")).otherwise(0).cast("long"),
+        "n_removed_words": word_count(F.col("_lost")),
+    }
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))
-    return df.select(*docs.columns, "n_removed_lines", "n_removed_words")
+        new["n_chars"] = F.when(hit, F.length("_left")).otherwise(F.col("_row").getField("n_chars")).cast("long")
+    columns = [c for c in docs.columns if c not in ("n_removed_lines", "n_removed_words")]
+    return df.select(*unpacked(columns, **new))
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

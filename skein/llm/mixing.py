@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, cut, partitions, table, word_count
+from .common import SPACE_CLASS, cut, packed, partitions, table, unpacked, word_count
 
 CHUNK = 4096
 
@@ -41,9 +41,13 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source.cast("string")))
 
 
+def _hash() -> Column:
+    return F.xxhash64("doc_id", "text", "source")
+
+
 def _sized(docs: DataFrame, mix: Mix) -> DataFrame:
     """(doc_id, hash, source, key, bucket, size) of every row."""
-    h = F.xxhash64("doc_id", "text")
+    h = _hash()
     return docs.select(
         "doc_id",
         h.alias("hash"),
@@ -192,15 +196,25 @@ def mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """``docs`` as the mix takes them: a row for the words taken once or more and a row for
     those taken twice, without the words that it leaves out. Whole texts stay as they are,
     others are the taken words joined by spaces. ``n_chars``, if there is one, is set anew.
+
+    A row without words (a null or empty text) isn't taken. A null source is one of its own.
+    Rows that repeat an id, a text and a source each have their own words in the stream and are
+    taken each by itself, so none comes back more than ``cap`` times; their other columns are
+    those of one of them. An empty table gives an empty result. Columns of any name stay.
     """
     mix = mix or Mix()
     rows, parts = _taken(docs, mix)
     piece = F.struct("at", "words", "times")
-    chosen = parts.groupBy("doc_id", "hash", "size").agg(F.array_sort(F.collect_set(piece)).alias("_pieces"))
-    chosen = chosen.withColumnRenamed("doc_id", "_id").withColumnRenamed("hash", "_hash")
-    joined = docs.withColumn("_h", F.xxhash64("doc_id", "text")).join(
-        chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash"))
+    # Repeated rows are told apart by their start in the source's stream.
+    chosen = parts.groupBy("doc_id", "hash", "start", "size").agg(F.array_sort(F.collect_set(piece)).alias("_pieces"))
+    chosen = chosen.groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).agg(
+        F.array_sort(F.collect_list(F.struct("start", "size", "_pieces"))).alias("_all")
     )
+    whole = packed(docs, "doc_id", "text", _hash().alias("_h"))
+    joined = whole.join(chosen, (F.col("_h") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    # The join's partitioning serves the removal of repeated rows as well.
+    joined = joined.dropDuplicates(["_h", "doc_id"])
+    joined = joined.select("text", "_row", F.explode("_all").alias("_one")).select("text", "_row", "_one.*")
     joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(mix.cap)))).withColumn(
         "_p", F.filter("_pieces", lambda p: p["times"] >= F.col("_copy"))
     )
@@ -215,10 +229,10 @@ def mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     )
     # Named twice, so that the words are not split anew for every piece.
     text = F.when(F.col("_whole"), F.col("text")).when(F.size("_w") > 0, some)
-    out = joined.withColumn("text", text)
+    new = {"text": F.col("_new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("_new").cast("long")
+    return joined.withColumn("_new", text).select(*unpacked(docs.columns, **new))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,7 +115,8 @@ def logistic(x: Design, y: np.ndarray, weight: np.ndarray, chain: Chain) -> Line
 
 @dataclass
 class Model:
-    """A fitted chain: the selected features' columns, scaling, a model and a threshold each."""
+    """A fitted chain: the selected features' columns, scaling, a model and a threshold each, and
+    the out-of-fold probabilities of the sample, which are not sent to executors."""
 
     labels: tuple[str, ...]
     column: dict[int, int]
@@ -123,6 +124,7 @@ class Model:
     scale: np.ndarray
     linear: list[Linear]
     threshold: list[float]
+    outside: np.ndarray | None = None
     cache: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def columns(self, words: set[str]) -> list[int]:
@@ -151,19 +153,38 @@ class Model:
         return out
 
 
-def selected(hashes: list[np.ndarray], y: np.ndarray, n: int) -> list[int]:
-    """The features whose presence tells most about ``y``: by the z-score of the log odds ratio."""
-    every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint32)
-    kinds, at = np.unique(every, return_inverse=True)
-    label = np.repeat(y, [len(h) for h in hashes])
-    pos = np.bincount(at, label, len(kinds)) + 0.5
-    neg = np.bincount(at, 1 - label, len(kinds)) + 0.5
-    n_pos, n_neg = y.sum() + 1, (1 - y).sum() + 1
-    odds = np.log(pos / (n_pos - pos + 0.5)) - np.log(neg / (n_neg - neg + 0.5))
-    z = np.abs(odds) / np.sqrt(1 / pos + 1 / neg)
-    z[pos + neg < 4] = 0
-    best = np.argsort(-z, kind="stable")[:n]
-    return kinds[best[z[best] > 2]].tolist()
+class Features:
+    """Which document has which hashed feature, and which features tell most about a label."""
+
+    def __init__(self, hashes: list[np.ndarray]) -> None:
+        every = np.concatenate([*hashes, np.zeros(0, np.uint32)])
+        self.kinds, self.at = np.unique(every, return_inverse=True)
+        self.sizes = [len(h) for h in hashes]
+        self.row = np.repeat(np.arange(len(hashes)), self.sizes)
+
+    def selected(self, y: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+        """Numbers of the features whose presence in ``rows`` tells most about ``y``: by the
+        z-score of the log odds ratio."""
+        at, label = self.at[rows[self.row]], y[self.row][rows[self.row]]
+        pos = np.bincount(at, label, len(self.kinds)) + 0.5
+        neg = np.bincount(at, 1 - label, len(self.kinds)) + 0.5
+        n_pos, n_neg = y[rows].sum() + 1, (1 - y[rows]).sum() + 1
+        odds = np.log(pos / (n_pos - pos + 0.5)) - np.log(neg / (n_neg - neg + 0.5))
+        z = np.abs(odds) / np.sqrt(1 / pos + 1 / neg)
+        z[pos + neg < 4] = 0
+        best = np.argsort(-z, kind="stable")[:n]
+        return best[z[best] > 2]
+
+    def chosen(self, y: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+        """The features selected for any label, from ``rows`` alone."""
+        return np.unique(np.concatenate([self.selected(y[:, k], rows, n) for k in range(y.shape[1])]))
+
+    def ones(self, chosen: np.ndarray) -> list[np.ndarray]:
+        """For each document the places in ``chosen`` of the features that it has."""
+        place = np.full(len(self.kinds), -1)
+        place[chosen] = np.arange(len(chosen))
+        found = place[self.at]
+        return [x[x >= 0] for x in np.split(found, np.cumsum(self.sizes)[:-1])]
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -182,26 +203,30 @@ def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 def fit(hashes: list[np.ndarray], shapes: np.ndarray, y: np.ndarray, weight: np.ndarray, chain: Chain) -> Model:
     """``y``: (documents, labels) of 0 and 1; ``weight``: what each sampled document stands for."""
     n, n_labels = y.shape
-    chosen = [h for k in range(n_labels) for h in selected(hashes, y[:, k], chain.features)]
-    column = {h: i for i, h in enumerate(dict.fromkeys(chosen))}
-    d = len(column)
-    ones = [np.array([c for v in h.tolist() if (c := column.get(v)) is not None], np.int64) for h in hashes]
+    known = Features(hashes)
     centre, scale = shapes.mean(axis=0), shapes.std(axis=0) + 1e-6
     dense = (shapes - centre) / scale
     fold = np.random.default_rng(chain.seed).permutation(n) % chain.folds
+    # A fold's features are chosen from the other folds, so that its labels stay unseen.
+    outer = [known.chosen(y, fold != f, chain.features) for f in range(chain.folds)]
+    rows = [known.ones(c) for c in outer]
+    every = known.chosen(y, np.ones(n, bool), chain.features)
+    ones = known.ones(every)
     linear, thresholds = [], []
     for k in range(n_labels):
-        part, t = Design(ones, d, dense), y[:, k]
+        t = y[:, k]
         outside = np.full(n, t.mean())
         for f in range(chain.folds):
             test = fold == f
             if test.any() and (~test).any():
+                part = Design(rows[f], len(outer[f]), dense)
                 m = logistic(part.take(~test), t[~test], weight[~test], chain)
                 outside[test] = 1 / (1 + np.exp(-np.clip(m.logit(part.take(test)), -30, 30)))
-        linear.append(logistic(part, t, weight, chain))
+        linear.append(logistic(Design(ones, len(every), dense), t, weight, chain))
         thresholds.append(best_threshold(outside, t, weight))
         dense = np.concatenate([dense, outside[:, None]], axis=1)
-    return Model(chain.labels, column, centre, scale, linear, thresholds)
+    column = {int(h): i for i, h in enumerate(known.kinds[every])}
+    return Model(chain.labels, column, centre, scale, linear, thresholds, dense[:, -n_labels:])
 
 
 def sample(docs: DataFrame, labels: DataFrame, chain: Chain) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -209,6 +234,9 @@ def sample(docs: DataFrame, labels: DataFrame, chain: Chain) -> tuple[list[np.nd
     names = list(chain.labels)
     full = labels.select("doc_id", *[F.col(k).cast("int").alias(k) for k in names]).dropna()
     full = full.where(" AND ".join(f"{k} IN (0, 1)" for k in names))
+    # Rows that repeat an id's labels are one; an id whose labels contradict each other is left out.
+    agree = [c for k in names for c in (F.min(k).alias(k), F.max(k).alias(f"{k}_most"))]
+    full = full.groupBy("doc_id").agg(*agree).where(" AND ".join(f"{k} = {k}_most" for k in names)).select("doc_id", *names)
     counts = {tuple(r[k] for k in names): r["n"] for r in full.groupBy(*names).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], np.zeros((0, N_SHAPE)), np.zeros((0, len(names))), np.zeros(0)
@@ -216,8 +244,10 @@ def sample(docs: DataFrame, labels: DataFrame, chain: Chain) -> tuple[list[np.nd
     code = F.concat_ws(",", *names)
     rates = F.create_map(*[F.lit(x) for c, r in rate.items() for x in (",".join(map(str, c)), r)])
     draw = F.pmod(F.xxhash64(F.lit(chain.seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    some = full.where(draw < rates[code]).dropDuplicates(["doc_id"])
+    some = full.where(draw < rates[code])
     joined = docs.select("doc_id", F.col("text").cast("binary").alias("t")).join(F.broadcast(some), "doc_id")
+    # One text an id, the least of several, so that the sample is bounded whatever repeats.
+    joined = joined.groupBy("doc_id", *names).agg(F.min("t").alias("t"))
 
     def features(b: pa.RecordBatch) -> pa.RecordBatch:
         hashed, shapes = [], []
@@ -241,7 +271,8 @@ def scored(docs: DataFrame, labels: DataFrame, chain: Chain | None = None) -> Da
     """``docs`` (with doc_id, text) and a column p_<label> and is_<label> for each label.
 
     ``labels`` has doc_id and a column of 0 and 1 for each label; rows with other values or
-    nulls are not learned from. A null text counts as empty; empty texts get the probability of
+    nulls are not learned from, nor are ids whose rows contradict each other. Of several texts
+    with one id the least is learned from. A null text counts as empty; empty texts get the probability of
     their shape. If no document is labelled all probabilities are 0 and nothing is flagged.
     Rows are scored alone and whole, repeated rows alike; columns of the same names are
     replaced.
@@ -249,6 +280,8 @@ def scored(docs: DataFrame, labels: DataFrame, chain: Chain | None = None) -> Da
     chain = chain or Chain()
     hashes, shapes, y, weight = sample(docs, labels, chain)
     model = fit(hashes, shapes, y, weight, chain) if len(y) else None
+    if model:
+        model.outside = None
     sent = docs.sparkSession.sparkContext.broadcast(model)
     new = [*(f"p_{k}" for k in chain.labels), *(f"is_{k}" for k in chain.labels)]
     kept = [c for c in docs.columns if c not in new]

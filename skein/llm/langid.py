@@ -6,8 +6,9 @@ taps of a function of one byte, each tap is a table of 256 rows, and two neighbo
 of 65,536: a width of four is two look-ups. All windows of a text are scored and weighted by
 their bytes, so whole texts count.
 
-The network is fitted on the driver on windows of a bounded sample: for each language some
-``docs_per_lang`` training documents by hash, ``windows_per_doc`` windows each.
+Windows overlap by a filter's width less one, so no place of a text is hidden from any filter.
+The network is fitted on the driver on all windows of a bounded sample of rows: for each
+language about ``docs_per_lang`` different training texts, by hash, each of them whole.
 """
 
 from __future__ import annotations
@@ -32,9 +33,8 @@ class Net:
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 12
     embedding: int = 8
-    docs_per_lang: int = 600
-    windows_per_doc: int = 6
-    epochs: int = 8
+    docs_per_lang: int = 250
+    epochs: int = 6
     batch: int = 64
     rate: float = 0.01
     seed: int = 11
@@ -43,15 +43,19 @@ class Net:
 Params = dict[str, np.ndarray]
 
 
-def windows(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The text in rows of ``length`` bytes, zero-padded, and each row's number of bytes."""
+def windows(text: bytes, net: Net) -> tuple[np.ndarray, np.ndarray]:
+    """The text in windows of fixed length that overlap by the widest filter less one byte, the
+    last one zero-padded, and each window's number of bytes that are not in the one before."""
     raw = text.translate(FOLD)
-    rows = max(1, -(-len(raw) // length))
-    grid = np.zeros(rows * length, np.uint8)
-    grid[: len(raw)] = np.frombuffer(raw, np.uint8)
-    sizes = np.full(rows, length)
-    sizes[-1] = len(raw) - (rows - 1) * length
-    return grid.reshape(rows, length), sizes
+    step = net.window - max(net.widths) + 1
+    rows = 1 + max(0, -(-(len(raw) - net.window) // step))
+    flat = np.zeros((rows - 1) * step + net.window, np.uint8)
+    flat[: len(raw)] = np.frombuffer(raw, np.uint8)
+    sizes = np.full(rows, step)
+    sizes[0] = min(len(raw), net.window)
+    if rows > 1:
+        sizes[-1] = len(raw) - net.window - (rows - 2) * step
+    return np.lib.stride_tricks.sliding_window_view(flat, net.window)[::step], sizes
 
 
 def _taps(p: Params, width: int) -> np.ndarray:
@@ -151,7 +155,7 @@ class Classifier:
         held: list[tuple[int, np.ndarray, np.ndarray]] = []
         size = 0
         for i, text in enumerate(raw):
-            grid, sizes = windows(text, self.net.window)
+            grid, sizes = windows(text, self.net)
             for lo in range(0, len(grid), 2048):
                 held.append((i, grid[lo : lo + 2048], sizes[lo : lo + 2048]))
                 size += len(held[-1][1])
@@ -178,18 +182,18 @@ def sample(docs: DataFrame, learn: str, net: Net) -> tuple[np.ndarray, np.ndarra
     langs = [lang for lang, _ in counts]
     if not langs:
         return np.zeros((0, net.window), np.uint8), np.zeros(0, np.int64), []
-    few = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, 1.3 * net.docs_per_lang / n))])
+    few = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, net.docs_per_lang / n))])
     draw = F.pmod(F.xxhash64(F.lit(net.seed), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     some = known.where(draw < few[F.col("lang")]).select("lang", F.col("text").cast("binary").alias("text"))
+    some = some.dropDuplicates(["lang", "text"])  # a row that repeats is learned from once
     place = {lang: i for i, lang in enumerate(langs)}
 
     def pick(b: pa.RecordBatch) -> pa.RecordBatch:
         labels, rows = [], []
         for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            grid, _ = windows(text.as_py(), net.window)
-            at = np.unique(np.linspace(0, len(grid) - 1, net.windows_per_doc).astype(int))
-            rows += [grid[i].tobytes() for i in at]
-            labels += [place[lang]] * len(at)
+            grid, _ = windows(text.as_py(), net)
+            rows += [w.tobytes() for w in grid]
+            labels += [place[lang]] * len(grid)
         return pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(rows, pa.binary())], ["y", "x"])
 
     got = sorted((r["y"], bytes(r["x"])) for r in arrow_map(some, pick, "y int, x binary").collect())
@@ -203,7 +207,8 @@ def identified(docs: DataFrame, learn: str, net: Net | None = None) -> DataFrame
     ``learn``: condition in SQL; only rows that meet it and have a text and a lang are learned
     from. Predictions look at the text alone. A null text, or one without a letter, is ``und``
     with score 0, and so is every text if nothing could be learned. A sole language has score
-    1. Repeated rows give repeated results; texts of any length are read whole.
+    1. Repeated rows give repeated results; texts of any length are read whole. An empty table
+    gives an empty result; other columns, of whatever name, are not looked at.
     """
     net = net or Net()
     grid, label, langs = sample(docs, learn, net)

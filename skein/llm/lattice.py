@@ -1,13 +1,12 @@
 """Subword lattice likelihood: the probability of a text under all its segmentations.
 
-The pieces are those of an existing byte-level vocabulary without white space inside; their
-first scores fall with rank. A text is a sequence of tokens, its words and one end. A word's
-bytes, after one space, form a lattice whose edges are pieces; a forward recursion in log
-space sums all paths. As no piece spans two words, a text's log marginal is the sum of its
-words' and the end's. A further path leads through the whole word, if training documents have
-it, by its share of their words; the weight of these paths and the pieces' scores are fitted by
-a few rounds of expectation maximisation over the distinct training words, each occurrence
-judged by the others (so a word seen once is left to the pieces, as a new word would be).
+The pieces and their scores are those of an existing piece model. A score is an unnormalised log
+weight; a temperature makes the scores a distribution, and they are adapted to the training
+documents by a few rounds of expectation maximisation over all their distinct words, with the
+existing distribution as a prior. A text is a sequence of tokens, its words and one end. A word's
+bytes, after one space, form a lattice whose edges are pieces; a forward recursion in log space
+sums all paths. As no piece spans two words, a text's log marginal is the sum of its words' and
+the end's.
 
 Every distinct word of the corpus is scored once. Documents are dealt to blocks by hash; each
 block's dictionary (a word and its score a row) meets the block's documents again, so tokens
@@ -16,7 +15,6 @@ themselves are never shuffled, and a very frequent word costs a row a block.
 
 from __future__ import annotations
 
-import base64
 from collections import Counter
 from collections.abc import Iterator
 from math import log10
@@ -24,18 +22,22 @@ from math import log10
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, octets, remainder, stored, table
+from .common import octets, remainder, salted_join, stored, table
 
-VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+VOCABULARY = "piece_bpe_32k.model"
 BLOCK_BYTES = 8 << 20
 ROUNDS = 3
 PRIOR = 0.01
+TEMPERATURE = 4000.0
+RULED_OUT = -1e8
 CELLS = 1 << 21
 ROWS = 100_000
-LONGEST = 16
+LONG_WORD = 2048
+STARTS = 1 << 14
 SPACE = b" \t\n\x0b\x0c\r"
 HASH = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0x100000001B3)
@@ -106,26 +108,59 @@ def forward(edges: list[np.ndarray], scores: np.ndarray, length: int) -> np.ndar
     return alpha
 
 
-def expected(
-    edges: list[np.ndarray], scores: np.ndarray, length: int, count: np.ndarray, whole: np.ndarray, total: np.ndarray
-) -> float:
-    """Adds to ``total`` how often each piece is expected in the words, ``count`` times each,
-    where ``whole`` is the log probability of the path through the whole word against all
-    others. Returns how often that path is expected."""
+def expected(edges: list[np.ndarray], scores: np.ndarray, length: int, count: np.ndarray, total: np.ndarray) -> None:
+    """Adds to ``total`` how often each piece is expected in the words, ``count`` times each."""
     alpha = forward(edges, scores, length)
     beta = np.full_like(alpha, -np.inf)
     beta[:, length] = 0.0
     for i in range(length - 1, -1, -1):
         out = [beta[:, i + k + 1] + scores[edges[k][:, i]] for k in range(min(length - i, len(edges)))]
         beta[:, i] = np.logaddexp.reduce(out, axis=0) if len(out) > 1 else out[0]
-    share = np.exp(alpha[:, length] - np.logaddexp(alpha[:, length], whole))
-    weight = count * share
     for k, ids in enumerate(edges):
         x, y = np.nonzero(ids >= 0)
         used = ids[x, y]
         p = alpha[x, y] + scores[used] + beta[x, y + k + 1] - alpha[x, length]
-        total += np.bincount(used, np.exp(p) * weight[x], len(total))
-    return float((count * (1 - share)).sum())
+        total += np.bincount(used, np.exp(p) * count[x], len(total))
+
+
+class LongWord:
+    """A very long word, whose edges are found for some thousand starts at a time: memory is a
+    few numbers a byte, whatever the pieces' lengths."""
+
+    def __init__(self, word: bytes, known: Pieces, scores: np.ndarray) -> None:
+        self.codes, self.known, self.scores = np.frombuffer(b" " + word, np.uint8), known, scores
+        self.length = len(self.codes)
+
+    def _edges(self, lo: int) -> np.ndarray:
+        """(starts, piece lengths): ids of the pieces at each start from ``lo`` on."""
+        part = self.codes[lo : lo + STARTS + self.known.longest - 1]
+        out = np.full((min(STARTS, self.length - lo), self.known.longest), -1, np.int64)
+        for k, ids in enumerate(self.known.edges(part[None])):
+            out[: ids.shape[1], k] = ids[0, : len(out)]
+        return out
+
+    def forward(self) -> np.ndarray:
+        alpha = np.full(self.length + self.known.longest, -np.inf)
+        alpha[0] = 0.0
+        for lo in range(0, self.length, STARTS):
+            for i, ids in enumerate(self._edges(lo), lo):
+                to = alpha[i + 1 : i + 1 + len(ids)]
+                np.logaddexp(to, alpha[i] + self.scores[ids], out=to)
+        return alpha[: self.length + 1]
+
+    def expected(self, count: float, total: np.ndarray) -> None:
+        """As the function of this name, for this word."""
+        alpha = self.forward()
+        beta = np.full(self.length + self.known.longest, -np.inf)
+        beta[self.length] = 0.0
+        for lo in reversed(range(0, self.length, STARTS)):
+            edges = self._edges(lo)
+            for j in range(len(edges) - 1, -1, -1):
+                beta[lo + j] = np.logaddexp.reduce(beta[lo + j + 1 : lo + j + 1 + edges.shape[1]] + self.scores[edges[j]])
+            x, k = np.nonzero(edges >= 0)
+            used = edges[x, k]
+            p = alpha[lo + x] + self.scores[used] + beta[lo + x + k + 1] - alpha[self.length]
+            total += np.bincount(used, np.exp(p) * count, len(total))
 
 
 def grouped(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Table]:
@@ -141,10 +176,11 @@ def grouped(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.
 
 
 def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(places, grid of bytes, length) of the words, with the space before each, by length, in
-    parts of bounded size."""
+    """(places, grid of bytes, length) of the words of no more than ``LONG_WORD`` bytes, with the
+    space before each, by length, in parts of bounded size."""
     lens = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(lens, kind="stable")
+    order = order[: np.searchsorted(lens[order], LONG_WORD, "right")]
     lo = 0
     while lo < len(order):
         length = int(lens[order[lo]])
@@ -156,16 +192,22 @@ def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int]
 
 
 def existing(path: str) -> tuple[list[bytes], np.ndarray]:
-    """The vocabulary's pieces and first log scores: those of a law that falls with rank. The
-    256 bytes are among them, so every text has a probability."""
-    with open(path, "rb") as f:
-        ranked = sorted((int(i), base64.b64decode(t)) for t, i in map(bytes.split, f))
-    ranked = [(i, t) for i, t in ranked if len(t) <= LONGEST and t[1:].translate(None, SPACE) == t[1:]]
-    p = 1.0 / (np.array([i for i, _ in ranked]) + 50.0)
-    have = {t for _, t in ranked}
-    missing = [bytes([b]) for b in range(256) if bytes([b]) not in have]
-    p = np.concatenate([p, np.full(len(missing), p.min())])
-    return [t for _, t in ranked] + missing, np.log(p / p.sum())
+    """The model's pieces without white space inside, as bytes, and its scores as natural logs of
+    a distribution. Pieces that its scores rule out (``RULED_OUT``) are left out. Its 256 single bytes, which it falls back on, get the least of the scores,
+    so every text has a probability."""
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    score: dict[bytes, float] = {}
+    for i in range(model.get_piece_size()):
+        piece = model.id_to_piece(i).replace("\u2581", " ").encode()
+        if model.get_score(i) < RULED_OUT:
+            continue
+        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and piece[1:].translate(None, SPACE) == piece[1:]:
+            score[piece] = model.get_score(i)
+    least = min(score.values())
+    for b in range(256):
+        score.setdefault(bytes([b]), least)
+    logs = np.array(list(score.values())) / TEMPERATURE
+    return list(score), logs - np.logaddexp.reduce(logs)
 
 
 def _padded(scores: np.ndarray) -> np.ndarray:
@@ -199,44 +241,36 @@ def _dictionary(block: pa.Table) -> pa.Table:
     return pa.table({"block": key, "word": pa.array(words, pa.binary()), "n": pa.array(n)})
 
 
-def _log(x: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        return np.log(x)
-
-
-def estimate(words: DataFrame, pieces: list[bytes], scores: np.ndarray, n: int, rounds: int) -> tuple[np.ndarray, float]:
-    """Log scores of the pieces, and the weight of whole words, from all (word, c) rows with
-    c > 0; ``n`` is the sum of c."""
+def estimate(words: DataFrame, pieces: list[bytes], scores: np.ndarray, rounds: int) -> np.ndarray:
+    """Log scores of the pieces, adapted to all (word, c) rows with c > 0."""
     spark = words.sparkSession
-    first, part = np.exp(scores), 0.5
+    first = np.exp(scores)
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((pieces, scores, part))
+        sent = spark.sparkContext.broadcast((pieces, scores))
 
         def tally(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            pieces, scores, part = sent.value
+            pieces, scores = sent.value
             known, now = Pieces(pieces), _padded(scores)
-            total, whole = np.zeros(len(pieces)), 0.0
+            total = np.zeros(len(pieces))
             for b in grouped(batches):
                 c = b.column("c").to_numpy().astype(float)
-                log_whole = _log(part * (c - 1) / max(1, n - 1)) - np.log(1 - part)
-                for at, grid, length in by_length(b.column("word").to_pylist()):
-                    whole += expected(known.edges(grid), now, length, c[at], log_whole[at], total)
+                found = b.column("word").to_pylist()
+                for at, grid, length in by_length(found):
+                    expected(known.edges(grid), now, length, c[at], total)
+                for i, w in enumerate(found):
+                    if len(w) > LONG_WORD:
+                        LongWord(w, known, now).expected(c[i], total)
             used = np.flatnonzero(total)
-            ids, e = np.append(used, -1), np.append(total[used], whole)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(e)], ["piece", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["piece", "e"])
 
         found = words.where("c > 0").select("word", "c").mapInArrow(tally, "piece long, e double")
         rows = found.groupBy("piece").agg(F.sum("e").alias("e")).collect()  # as many as there are pieces, at most
-        total, whole = np.zeros(len(pieces)), 0.0
+        total = np.zeros(len(pieces))
         for piece, e in rows:
-            if piece < 0:
-                whole = e
-            else:
-                total[piece] = e
+            total[piece] = e
         weight = total + PRIOR * first * max(1.0, total.sum())
         scores = np.log(weight / weight.sum())
-        part = min(0.999, max(0.001, whole / n))
-    return scores, part
+    return scores
 
 
 def lattice_scores(
@@ -253,8 +287,10 @@ def lattice_scores(
     are the words of the text with A-Z lower-cased, and one end. ``base_score`` is the add-one
     unigram's, ``score`` the lattice's, both log10. A null text is an empty one: its end alone.
     Repeated rows count and come back as often as they are there. Without any training document
-    the base is log10(1/1) a token and the pieces keep their first scores (an end: a half). Words of any length
-    are scored whole. Blocks, and so memory, are bounded by the block size and the longest text.
+    the base is log10(1/1) a token and the pieces keep their scores (an end: a half). Words of
+    any length are scored whole. Blocks, and so memory, are bounded by the block size and the
+    longest text. Ids are integers or null. An empty table gives an empty result; columns other
+    than those named, of whatever name, are not looked at.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     size = docs.agg(F.sum(octets(F.col(text_col))).alias("s")).first()["s"] or 0
@@ -263,32 +299,32 @@ def lattice_scores(
     blocks = _blocks(docs, id_col, text_col, learn, n_blocks)
     entries = blocks.groupBy("block").applyInArrow(_dictionary, "block int, word binary, n long")
     entries = stored(entries)
-    words = cut(entries.groupBy("word").agg(F.sum("n").alias("c")))
+    words = stored(entries.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("blocks")))
     ends = docs.where(learn).count()
-    got = words.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    got = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum("blocks").alias("b")).first()
     train, kinds = (got["n"] or 0) + ends, got["v"] + (ends > 0)
     floor = log10(train + kinds + 1)
 
     pieces, scores = existing(path)
-    n = train - ends
-    scores, part = estimate(words, pieces, scores, n, rounds if n else 0)
+    scores = estimate(words, pieces, scores, rounds if train > ends else 0)
     end = (ends + 1) / (train + 2)
     sent = docs.sparkSession.sparkContext.broadcast((pieces, scores))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, now = Pieces(sent.value[0]), _padded(sent.value[1])
         for b in grouped(batches):
-            c = b.column("c").to_numpy()
-            out = np.zeros(b.num_rows)
-            for at, grid, length in by_length(b.column("word").to_pylist()):
+            found, out = b.column("word").to_pylist(), np.zeros(b.num_rows)
+            for at, grid, length in by_length(found):
                 out[at] = forward(known.edges(grid), now, length)[:, length]
-            if n:
-                out = np.logaddexp(_log(part * c / n), np.log(1 - part) + out)
+            for i, w in enumerate(found):
+                if len(w) > LONG_WORD:
+                    out[i] = LongWord(w, known, now).forward()[-1]
             p = (out + np.log(1 - end)) / np.log(10)
-            yield from pa.table({"w": b.column("word"), "c": c, "p": p}).to_batches(max_chunksize=10_000)
+            yield from pa.table({"word": b.column("word"), "c": b.column("c"), "p": p}).to_batches(max_chunksize=10_000)
 
-    scored = words.mapInArrow(score, "w binary, c long, p double")
-    scored = entries.select("block", "word").join(scored, F.col("word") == F.col("w")).select("block", "word", "c", "p")
+    scored = words.select("word", "c").mapInArrow(score, "word binary, c long, p double")
+    # A frequent word has a row in every block, so its rows are dealt over several tasks.
+    scored = salted_join(entries.select("block", "word"), scored, ["word"], words, "blocks", got["b"] or 0, F.col("block"))
     end_known, end_base, end_score = int(ends > 0), log10(ends + 1) - floor, log10(end)
 
     def total(block: pa.Table, entry: pa.Table) -> pa.Table:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import BOILERPLATE, Rules
+from .quality import BOILERPLATE, ENDED, Rules
 
 
 def quality_sql(rules: Rules | None = None) -> str:
@@ -10,11 +10,11 @@ def quality_sql(rules: Rules | None = None) -> str:
     r = rules or Rules()
     space, word = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
     strange = r"""[^\p{L}\p{M}\p{N}\s.,;:?''"()\-]"""
-    phrases = "|".join(BOILERPLATE)
+    phrases, ended = "|".join(BOILERPLATE), ENDED.replace("'", "''")
     count = lambda s, p: f"len(regexp_extract_all({s}, '{p}'))"
     fails = (
         f"({count('x', '[|»›•]')} >= {r.pipes} OR {count('x', strange)} > {r.marks} * length(x)"
-        f" OR (NOT regexp_matches(x, '[.!?…]') AND {count('x', word)} >= {r.unended})"
+        f" OR (NOT regexp_matches(x, '{ended}') AND {count('x', word)} >= {r.unended})"
         f" OR (regexp_matches(x, '(?i){phrases}') AND {count('x', word)} <= {r.phrase_words}))"
     )
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, stored, table
 from .components import components, forest
 
 
@@ -173,8 +173,12 @@ def searched(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, g: Gra
 
 
 def _nodes(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(node, v, n): classes of equal usable vectors, by their smallest id, and their sizes."""
+    """(node, v, n): classes of equal usable vectors, by their smallest id, and their sizes.
+    Usable vectors have the length that most have (the longer one in a tie)."""
     bad = F.exists(vec_col, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    common = vectors.where(F.size(vec_col) > 0).groupBy(F.size(vec_col).alias("d")).agg(F.count("*").alias("k"))
+    common = common.orderBy(F.desc("k"), F.desc("d")).limit(1).collect()
+    vectors = vectors.where(F.size(vec_col) == (common[0]["d"] if common else 0))
     norm = F.sqrt(F.aggregate(F.col(vec_col), F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
     usable = vectors.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).where(~bad).where(norm > 0)
     v = F.transform(vec_col, lambda c: c.cast("double"))
@@ -211,9 +215,9 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     """(id, n_links, component_id, kept), a row for each row of ``vectors``.
 
     Vectors that are null, zero, or hold a null or a number that isn't finite link with nothing
-    (0 links, their own component), and so does a row with a null id. Rows that repeat an id
-    and a vector count each. All vectors need the same length. An empty table gives an empty
-    result, and a table of one vector no links.
+    (0 links, their own component), and so does a row with a null id, or a vector of another
+    length than most have. Rows that repeat an id and a vector count each. Ids are integers.
+    An empty table gives an empty result, and a table of one vector no links.
     """
     g = graph or Graph()
     nodes = cut(_nodes(vectors, id_col, vec_col))
@@ -263,6 +267,7 @@ def _united(shards: DataFrame, g: Graph) -> tuple[DataFrame, DataFrame]:
         return pa.table({"node": t["node"], "near": pa.array([ids[v] for v in lists], pa.list_(pa.int64())), "reach": pa.array(reach, pa.list_(pa.int32()))})
 
     built = split.select("c", "block", "node", "v", "home").groupBy("c", "block").applyInArrow(build, "node long, near array<long>, reach array<int>")
+    built = stored(built)
     near, reach = (F.array_distinct(F.flatten(F.collect_list(k))).alias(k) for k in ("near", "reach"))
     united = cut(built.groupBy("node").agg(near, reach))  # a row of each list for each of few shards
 

@@ -54,7 +54,15 @@ def fold(text):
 
 def clashing(df):
     """The frame with columns of names that operators use inside."""
-    return df.withColumns({c: F.lit("x") for c in ("id", "h", "key", "size", "hash", "v", "t", "n", "shard", "block")})
+    names = "id h key size hash v t n d k shard block node root lo hi seed bucket start span salt s first cell word c w"
+    inner = "_h _w _p _copy _row _key _t _text _lines _wh _s _at _bad _id _hash _cuts _all _out _left _lost _pieces _one _new _hot _salt _doc"
+    return df.withColumns({c: F.lit("x") for c in [*names.split(), *inner.split()]})
+
+
+def unharmed(found, given):
+    """Whether the columns of ``clashing`` came through, in their order."""
+    added = [c for c in clashing(given).columns if c not in given.columns]
+    return [c for c in found.columns if c in added] == added and all(r[c] == "x" for r in found.collect() for c in added)
 
 
 # 1
@@ -80,10 +88,77 @@ def test_expected_counts_add_up():
     pieces = [b" ", b"a", b"b", b" a", b"ab"]
     known, logs, total = lattice.Pieces(pieces), np.append(np.log([0.2] * 5), -np.inf), np.zeros(5)
     for at, grid, length in lattice.by_length([b"ab", b"aab"]):
-        lattice.expected(known.edges(grid), logs, length, np.ones(len(at)), np.full(len(at), -np.inf), total)
+        lattice.expected(known.edges(grid), logs, length, np.ones(len(at)), total)
     assert sum(len(p) * t for p, t in zip(pieces, total, strict=True)) == pytest.approx(7)
 
 
+def plain_log(word, score, longest):
+    """Log of the sum over all segmentations of a word after a space, piece by piece."""
+    raw = b" " + word
+    sums = [1.0] + [0.0] * len(raw)
+    for i in range(1, len(raw) + 1):
+        sums[i] = sum(sums[j] * math.exp(score[raw[j:i]]) for j in range(max(0, i - longest), i) if raw[j:i] in score)
+    return math.log10(sums[-1])
+
+
+def test_lattice_scores_whole_texts(spark, rows):
+    few = [(i, text, i % 2) for i, text, *_ in sorted(rows, key=lambda r: len(r[1]))[20:32]] + [(999, None, 0)]
+    found = lattice.lattice_scores(spark.createDataFrame(few, "doc_id long, text string, r int"), "r = 1", rounds=0).collect()
+    pieces, logs = lattice.existing(public_tokenizers.path(lattice.VOCABULARY))
+    score = dict(zip(pieces, logs, strict=True))
+    assert sum(map(math.exp, logs)) == pytest.approx(1) and max(map(len, pieces)) > 16
+    learned = [t for _, t, r in few if r]
+    end = (len(learned) + 1) / (sum(len(fold(t)) + 1 for t in learned) + 2)
+    for r in found:
+        text = next(t for i, t, _ in few if i == r.id)
+        want = sum(plain_log(w, score, 48) + math.log10(1 - end) for w in fold(text)) + math.log10(end)
+        assert r.score == pytest.approx(want)
+
+
+def test_lattice_adapts_by_expectation(spark):
+    texts = ["the theme of the thesis", "other themes are there", "a thesis"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    first, once, twice = (
+        [r.score for r in lattice.lattice_scores(docs, "true", rounds=n).orderBy("id").collect()] for n in (0, 1, 2)
+    )
+    assert sum(first) < sum(once) <= sum(twice)
+    # One round, by enumeration: the expected number of each piece over all segmentations.
+    pieces, logs = lattice.existing(public_tokenizers.path(lattice.VOCABULARY))
+    score = dict(zip(pieces, logs, strict=True))
+
+    def ways(raw):
+        return [((), 0.0)] if not raw else [((raw[:k], *p), x + score[raw[:k]]) for k in range(1, len(raw) + 1) if raw[:k] in score for p, x in ways(raw[k:])]
+
+    total = Counter()
+    for w in " ".join(texts).encode().split():
+        every = ways(b" " + w)
+        z = sum(math.exp(x) for _, x in every)
+        for p, x in every:
+            for piece in p:
+                total[piece] += math.exp(x) / z
+    mass = sum(total.values())
+    weight = {p: total[p] + lattice.PRIOR * math.exp(score[p]) * mass for p in pieces}
+    new = {p: math.log(x / sum(weight.values())) for p, x in weight.items()}
+    end = 4 / (sum(len(t.split()) + 1 for t in texts) + 2)
+    want = [sum(plain_log(w, new, 48) + math.log10(1 - end) for w in t.encode().split()) + math.log10(end) for t in texts]
+    assert once == pytest.approx(want)
+
+
+def test_long_words_are_scored_in_parts(monkeypatch):
+    pieces = [b" ", b"a", b"b", b" a", b"ab", b"ba", b"abab", b"b" * 9]
+    known, logs = lattice.Pieces(pieces), np.append(np.log(np.arange(1, 9) / 36), -np.inf)
+    word = bytes(np.random.default_rng(1).choice([97, 98, 98, 98], 700).astype(np.uint8))
+    (at, grid, length) = next(lattice.by_length([word]))
+    total, parts = np.zeros(8), np.zeros(8)
+    lattice.expected(known.edges(grid), logs, length, np.full(1, 3.0), total)
+    monkeypatch.setattr(lattice, "STARTS", 64)
+    long = lattice.LongWord(word, known, logs)
+    assert long.forward() == pytest.approx(lattice.forward(known.edges(grid), logs, length)[0])
+    long.expected(3.0, parts)
+    assert parts == pytest.approx(total)
+    assert not list(lattice.by_length([b"x" * (lattice.LONG_WORD + 1)]))
+
+
 def test_lattice_scores(docs, rows):
     from skein.llm.common import remainder
 
@@ -146,6 +221,43 @@ def test_upper_case_is_counted_over_whole_texts():
     assert upper("Ж" + "x" * 9999) == 1e-4 and upper("") == 0
 
 
+def test_out_of_fold_probabilities_have_not_seen_their_fold():
+    # Some words occur in one fold only, in toxic documents: there they must not count.
+    chain, n = toxicity.Chain(), 400
+    rng = np.random.default_rng(7)
+    fold = np.random.default_rng(chain.seed).permutation(n) % chain.folds
+    y = rng.integers(0, 2, (n, 2)).astype(float)
+    shapes = rng.normal(size=(n, toxicity.N_SHAPE))
+    base = [np.unique(rng.integers(0, 60, 12)).astype(np.uint32) for _ in range(n)]
+    telling = (fold == 1) & (y[:, 1] == 1)
+    marked = [np.append(h, [900, 901]).astype(np.uint32) if t else h for h, t in zip(base, telling, strict=True)]
+    plain = toxicity.fit(base, shapes, y, np.ones(n), chain).outside
+    other = toxicity.fit(marked, shapes, y, np.ones(n), chain)
+    assert other.outside[fold == 1, 0] == pytest.approx(plain[fold == 1, 0]) and 900 in other.column
+    # The second model gets the first one's probabilities of the other folds, which shift a little.
+    assert other.outside[fold == 1, 1] == pytest.approx(plain[fold == 1, 1], abs=0.01)
+    # And by hand: a fold's first label from a model fitted on the other folds.
+    known = toxicity.Features(base)
+    chosen = known.chosen(y, fold != 2, chain.features)
+    dense = (shapes - shapes.mean(axis=0)) / (shapes.std(axis=0) + 1e-6)
+    part = toxicity.Design([np.flatnonzero(np.isin(known.kinds[chosen], h)) for h in base], len(chosen), dense)
+    m = toxicity.logistic(part.take(fold != 2), y[fold != 2, 0], np.ones((fold != 2).sum()), chain)
+    assert 1 / (1 + np.exp(-m.logit(part.take(fold == 2)))) == pytest.approx(plain[fold == 2, 0])
+
+
+def test_contradictory_labels_are_left_out(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string")
+    labels = [(0, 1, 0), (0, 1, 0), (1, 1, 1), (1, 1, 0), (2, 0, 1), (3, 2, 1), (4, None, 1), (None, 1, 1)]
+    _, _, y, _ = toxicity.sample(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), toxicity.Chain())
+    assert sorted(map(tuple, y)) == [(0.0, 1.0), (1.0, 0.0)]
+
+
+def test_repeated_rows_are_sampled_once(spark):
+    docs = spark.createDataFrame([(1, "same")] * 50 + [(1, "other"), (2, "two")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1)] * 40 + [(2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert len(toxicity.sample(docs, labels, toxicity.Chain())[2]) == 2
+
+
 def test_chain_feeds_out_of_fold():
     x = [np.array([1, i % 2 + 2], np.uint32) for i in range(200)]
     y = np.array([[i % 2, i % 2] for i in range(200)], float)
@@ -192,6 +304,20 @@ def test_mixed_texts_hold_what_is_taken(docs):
     assert all(got[i] == n for i, n in taken.items())
 
 
+def test_mixed_takes_repeated_rows_each_by_itself(spark):
+    rows = [(1, "w " * 50, "en", "a", 100)] * 7 + [(None, "v " * 20, "en", "b", 40)] * 3 + [(2, "x y z", "en", "a", 5), (2, "x y z", "en", "b", 5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    sizes, taken, got = Counter(), Counter(), Counter()
+    for r in mixing.mixed_sizes(df).collect():
+        sizes[r.doc_id] += r.size
+        taken[r.doc_id] += r.taken
+    found = mixing.mixed(df).collect()
+    for r in found:
+        got[r.doc_id] += len(words(r.text))
+    assert got == taken and all(got[i] <= 2 * n for i, n in sizes.items())
+    assert sum(r.doc_id == 1 for r in found) <= 14
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 100):
         x = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("k"), mixing.Mix()).alias("p"))
@@ -203,7 +329,8 @@ def test_mix_odd_rows(odd):
     assert len(found) == len(ODD) and sorted(r.size for r in found)[-1] == 30_000
     assert mixing.mixed_sizes(odd.where("false")).count() == 0
     assert all(r.taken == 0 for r in mixing.mixed_sizes(odd.where("text IS NULL")).collect())
-    assert mixing.mixed(odd).columns == odd.columns
+    assert mixing.mixed(odd).columns == odd.columns and unharmed(mixing.mixed(clashing(odd)), odd)
+    assert mixing.mixed(odd.where("false")).count() == 0
 
 
 # 4
@@ -268,6 +395,26 @@ def test_shards(docs, rows):
     assert all(len(s) == 1 for s in groups.values())
 
 
+def test_shards_in_order_of_a_plain_version(spark, rows):
+    """Shards follow one order of all rows, each cut where the running bytes pass its share."""
+    table = [(r[0], r[1]) for r in rows] + [(7000 + i, "hot " * 50) for i in range(90)] + [(None, None), (9000, "")]
+    found = sharding.shards(spark.createDataFrame(table, "doc_id long, text string"), 6).collect()
+    text, n, total = dict(table), 6, sum(len((t or "").encode()) + 8 for _, t in table)
+    whole = max(total // (100 * n), max(r.size for r in found))
+    order, before, groups = sorted(found, key=lambda r: (r.shard, r.slot)), 0, {}
+    for r in order:
+        groups.setdefault(text[r.doc_id] or "", []).append((before, r))
+        before += r.size
+    assert before == total
+    for t, members in groups.items():
+        size = len(t.encode()) + 8
+        starts = [b for b, _ in members]
+        assert starts == [starts[0] + k * size for k in range(len(members))]  # equal texts lie together
+        for b, r in members:
+            middle = starts[0] + len(members) * size // 2 if len(members) * size <= whole else b + size // 2
+            assert r.shard == min(n - 1, middle * n // total)
+
+
 def test_shards_split_hot_groups(spark):
     copies = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot text")).otherwise(F.concat(F.lit("text "), "id")).alias("text"))
     load = Counter()
@@ -292,6 +439,37 @@ def test_langid_held_out(spark):
     assert right > 0.97
 
 
+def test_langid_equals_a_direct_convolution():
+    net = langid.Net(window=24, widths=(2, 3, 4), filters=5, embedding=3)
+    rng = np.random.default_rng(3)
+    p = {"embed": rng.normal(size=(256, 3)), "bias": rng.normal(size=15), "out": rng.normal(size=(15, 4)), "out_bias": rng.normal(size=4)}
+    p |= {f"w{w}": rng.normal(size=(w, 3, 5)) for w in net.widths}
+    model = langid.Classifier(p, list("abcd"), net)
+
+    def direct(window):
+        x = p["embed"][window]
+        hidden = [max(sum(float(x[i + k] @ p[f"w{w}"][k][:, f]) for k in range(w)) for i in range(24 - w + 1)) for w in net.widths for f in range(5)]
+        z = np.maximum(np.array(hidden) + p["bias"], 0) @ p["out"] + p["out_bias"]
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    texts = [b"short", bytes(rng.integers(1, 256, 24).astype(np.uint8)), bytes(rng.integers(1, 256, 211).astype(np.uint8))]
+    for text, found in zip(texts, model.texts(texts), strict=True):
+        grid, sizes = langid.windows(text, net)
+        assert sizes.sum() == len(text) and len(grid) == 1 + max(0, -(-(len(text) - 24) // 21))
+        want = sum(direct(g) * s for g, s in zip(grid, sizes, strict=True))
+        assert found == pytest.approx(want / want.sum(), abs=1e-4)
+        folded = text.translate(langid.FOLD)
+        assert all(folded[i : i + 4] in b"".join([g.tobytes() + b"\0\0\0\0" for g in grid]) for i in range(len(text) - 3))
+
+
+def test_langid_learns_from_whole_texts(spark):
+    net = langid.Net(docs_per_lang=5)
+    text = "abcdefgh " * 500
+    df = spark.createDataFrame([(i, text, "aa") for i in range(400)] + [(1000, "x y z", "bb")], "doc_id long, text string, lang string")
+    grid, label, langs = langid.sample(df, "true", net)
+    assert langs == ["aa", "bb"] and (label == 0).sum() == len(langid.windows(text.encode(), net)[0])  # one of equal texts
+
+
 def test_langid_gradients():
     net = langid.Net(window=16, widths=(2, 3), filters=3, embedding=2, epochs=60, batch=8, rate=0.05)
     rng = np.random.default_rng(0)
@@ -312,37 +490,73 @@ def test_langid_odd_rows(odd):
 # 7
 
 
-def plain_chunks(text, how):
-    lines = (text or "").split("\n")
-    out, lo = [], 0
+def plain_removed(texts, long_line=40):
+    """{key: numbers of the lines that go} by the rules, for {key: text}; keys in order of place."""
     sign = lambda x: x - (1 << 64) if x >> 63 else x
-    h = [sign(xxhash.xxh64_intdigest(x.encode(), 42)) for x in lines]
-    n = [len(words(x)) for x in lines]
     pack = lambda x: (x & (1 << 64) - 1).to_bytes(8, "little")
-    for i in range(len(lines)):
-        rolling = h[i - 1] if i else 0
-        rolling = sign(xxhash.xxh64_intdigest(pack(rolling), 42))
-        rolling = sign(xxhash.xxh64_intdigest(pack(h[i]), rolling & (1 << 64) - 1))
-        if rolling % how.divisor == 0 or i == len(lines) - 1 or n[i] >= how.long_line or n[i + 1] >= how.long_line:
-            out.append((lo, i + 1, "\n".join(lines[lo : i + 1]), sum(n[lo : i + 1])))
-            lo = i + 1
-    return out
+    lines, seeds = {}, {}
+    for key in texts:
+        worded = [(i, x) for i, x in enumerate((texts[key] or "").split("\n")) if words(x)]
+        lines[key] = worded
+        h = [sign(xxhash.xxh64_intdigest(x.encode(), 42)) for _, x in worded]
+        r = [None] + [
+            sign(xxhash.xxh64_intdigest(pack(h[k]), sign(xxhash.xxh64_intdigest(pack(h[k - 1]), 42)) & (1 << 64) - 1)) for k in range(1, len(h))
+        ]
+        for k in range(1, len(h)):
+            near = [r[j] for j in (k - 1, k + 1) if 0 < j < len(r)]
+            if not near or any(r[k] <= x for x in near):
+                seeds.setdefault((worded[k - 1][1], worded[k][1]), []).append((key, k - 1, k + 1))
+        for k, (_, x) in enumerate(worded):
+            if len(words(x)) >= long_line:
+                seeds.setdefault((x,), []).append((key, k, k + 1))
+    gone = {key: set() for key in texts}
+    for places in seeds.values():
+        (first, lo0, hi0), *others = sorted(places)
+        a = [x for _, x in lines[first]]
+        for key, lo, hi in others:
+            b = [x for _, x in lines[key]]
+            up = down = 0
+            while up < 2 and lo - up > 0 and lo0 - up > 0 and b[lo - up - 1] == a[lo0 - up - 1]:
+                up += 1
+            while down < 2 and hi + down < len(b) and hi0 + down < len(a) and b[hi + down] == a[hi0 + down]:
+                down += 1
+            gone[key].update(range(lines[key][lo - up][0], lines[key][hi + down - 1][0] + 1))
+    return gone
 
 
 def test_lines_against_plain_version(docs, rows):
-    how = linededup.Chunking()
-    seen, want = {}, {}
-    for i, text, *_ in sorted(rows):
-        lines, gone = text.split("\n"), set()
-        for lo, hi, chunk, n in plain_chunks(text, how):
-            if (hi - lo >= 2 and n) or n >= how.long_line:
-                if chunk in seen:
-                    gone.update(range(lo, hi))
-                seen[chunk] = i
-        want[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    text = {r[0]: r[1] for r in sorted(rows)}
+    gone = plain_removed(text)
     found = linededup.deduplicated(docs)
-    assert {r.doc_id: r.text for r in found.collect()} == want
-    assert found.columns == [*docs.columns, "n_removed_lines", "n_removed_words"]
+    got = {r.doc_id: r for r in found.collect()}
+    for i, x in text.items():
+        every = x.split("\n")
+        assert got[i].text == "\n".join(y for k, y in enumerate(every) if k not in gone[i])
+        assert got[i].n_removed_lines == len(gone[i]) and got[i].n_removed_words == sum(len(words(every[k])) for k in gone[i])
+    assert found.columns == [*docs.columns, "n_removed_lines", "n_removed_words"] and any(gone.values())
+
+
+def test_repeated_passages_of_short_lines_go_whole(spark):
+    rng = np.random.default_rng(9)
+    line = lambda: " ".join(f"w{x}" for x in rng.integers(0, 100_000, 6))
+    passages = [[line() for _ in range(n)] for n in (3, 4, 5, 10, 40) for _ in range(30)]
+    rows, want = [], []
+    for k, p in enumerate(passages):
+        for copy in range(2):
+            before, after = [line() for _ in range(copy + 1)], [line() for _ in range(3)]
+            rows.append((2 * k + copy, "\n".join([*before, *p, *after])))
+            want.append("\n".join([*before, *([] if copy else p), *after]))
+    found = linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.text for r in found.orderBy("doc_id").collect()] == want
+
+
+def test_a_line_in_a_third_of_all_documents(spark):
+    own = lambda i: f"Own line of {i} alone.\nAnother of {i} here."
+    rows = [(i, f"{own(i)}\nThe first common line.\nThe second common line.\nThe third one.\nEnd of {i}.") for i in range(700)]
+    rows += [(1000 + i, own(1000 + i)) for i in range(1400)]
+    found = {r.doc_id: r.text for r in linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[0] == rows[0][1] and all(found[i] == f"{own(i)}\nEnd of {i}." for i in range(1, 700))
+    assert all(found[i] == own(i) for i in range(1000, 2400))
 
 
 def test_shared_passages_go_once(spark):
@@ -357,6 +571,8 @@ def test_lines_odd_rows(odd):
     found = linededup.deduplicated(clashing(odd)).collect()
     assert len(found) == len(ODD) and sum(r.text is None for r in found) == 2
     assert linededup.deduplicated(odd.where("false")).count() == 0
+    named = linededup.deduplicated(clashing(odd).withColumn("n_removed_lines", F.lit("x")))
+    assert unharmed(named, odd) and named.columns.count("n_removed_lines") == 1
 
 
 # 8
@@ -401,6 +617,12 @@ def test_vectors_of_a_dense_third(spark):
     assert vectors.audited(df, found) >= 0.9
 
 
+def test_vectors_of_another_length_link_with_nothing(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.0]), (6, []), (7, [0.0, 1.0])]
+    found = vectors.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.id: r.n_links for r in found} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0}
+
+
 def test_vectors_audit_raises(spark):
     df = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(9)], "vec_id long, embedding array<double>")
     with pytest.raises(RuntimeError):
@@ -425,9 +647,51 @@ def test_simhash(docs, rows):
     a, b = zip(*[(i, j) for i in ids for j in ids if (fps[i] ^ fps[j]).bit_count() <= 4], strict=True)
     nodes, root = components.forest(np.array(a), np.array(b))
     assert {r.id: r.component_id for r in found} == dict(zip(nodes.tolist(), root.tolist(), strict=True))
-    assert all(r.fp & (1 << 64) - 1 == fps[r.id] for r in found)
-    kept = [r.doc_id for r in simhash.one_of_each(docs).collect()]
-    assert sorted(kept) == sorted(set(root.tolist()))
+    assert all(r.f0 & (1 << 64) - 1 == fps[r.id] for r in found)
+
+
+def edited(rng, text, n):
+    for at in rng.choice(len(text), n, replace=False):
+        text = [*text[:at], f"new{rng.integers(1 << 30)}", *text[at + 1 :]]
+    return text
+
+
+def test_near_copies_are_one_group(spark):
+    """Texts with replaced words: shingles of five words, similarity 0.8 and more."""
+    rng = np.random.default_rng(11)
+    rows, pairs = [], 0
+    for size, edits in ((100, 1), (100, 2), (300, 4), (1000, 10), (1000, 20)):
+        for _ in range(60):
+            text = [f"w{x}" for x in rng.integers(0, 50_000, size)]
+            rows += [(2 * pairs, " ".join(text)), (2 * pairs + 1, " ".join(edited(rng, text, edits)))]
+            pairs += 1
+    found = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(2 * k in found for k in range(pairs))
+    gone = np.array([2 * k + 1 not in found for k in range(pairs)]).reshape(5, 60).mean(axis=1)
+    assert gone.min() > 0.4 and gone.mean() > 0.75
+
+
+def test_wide_fingerprints(rows):
+    text = rows[3][1].encode()
+    w = text.lower().split()
+    h = np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + 5]), 42) for i in range(len(w) - 4)], np.uint64)
+    for k, x in enumerate(simhash.fingerprint(text, 5, longs=3)):
+        assert x == sum(1 << b for b in range(64) if 2 * int((simhash.mixed(h, k) >> np.uint64(b) & np.uint64(1)).sum()) > len(h))
+    assert simhash.fingerprint(None, 5, longs=3) == [0, 0, 0] and simhash.limit_of(0.8, 3) == 29
+    assert len({simhash.fingerprint(b"a b", longs=3)[k] for k in range(3)}) == 3
+
+
+def test_hot_fingerprints_and_hubs(spark, monkeypatch):
+    from skein.llm import common
+
+    monkeypatch.setattr(common, "HOT", 5)
+    monkeypatch.setattr(common, "MANY", 20)
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot text").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    found = {r.id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert len(found) == 300 and all(found[i] == (0 if i % 3 == 0 else i) for i in range(300))
+    edges = spark.createDataFrame([(0, i) for i in range(1, 200)] + [(500, 501)], "a long, b long")
+    roots = {r.node: r.root for r in components.components(edges).collect()}
+    assert roots == {**{i: 0 for i in range(200)}, 500: 500, 501: 500}
 
 
 def test_simhash_grid_finds_every_pair(spark):
@@ -441,7 +705,7 @@ def test_simhash_grid_finds_every_pair(spark):
                 y ^= 1 << int(bit)
             fps.add(y)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    found = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    found = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x, x) for x in signed], "node long, f0 long")).collect()}
     want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
     assert found == want
 
@@ -449,11 +713,12 @@ def test_simhash_grid_finds_every_pair(spark):
 def test_simhash_odd_rows(odd):
     found = simhash.near_duplicates(clashing(odd)).collect()
     assert len(found) == len(ODD)
-    empty = [r for r in found if r.fp == 0]
+    empty = [r for r in found if r.f0 == 0]
     assert len(empty) == 4 and {r.component_id for r in empty} == {1}
     kept = simhash.one_of_each(odd).collect()
     assert sum(r.text == "Same text here, twice over." for r in kept) == 1 and sum(not words(r.text) for r in kept) == 1
     assert simhash.near_duplicates(odd.where("false")).count() == 0
+    assert unharmed(simhash.one_of_each(clashing(odd)), odd) and simhash.one_of_each(odd.where("false")).count() == 0
 
 
 def test_components_of_paths_and_stars(spark):
@@ -486,6 +751,13 @@ def test_quality_lines(spark):
     assert found[2].clean_text == good and found[4].clean_text == good and found[1].clean_text == rows[0][1]
 
 
+def test_a_point_in_a_number_ends_no_sentence(spark):
+    line = "version 3.5 of the long list of parts that has no end at all"
+    rows = [(1, line), (2, line + "."), (3, line + '!"'), (4, line + "。")]
+    found = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1].lost == 1 and not found[1].kept and all(found[i].lost == 0 and found[i].kept for i in (2, 3, 4))
+
+
 def test_clean_text_keeps_repeated_good_lines(spark):
     good, nav = "This is a line of plain prose that ends as it should.", "Home | News | Sport | Weather | Travel"
     text = "\n".join([good, "", nav, good, "", "", nav, "Another good line.", good, ""])
@@ -499,3 +771,4 @@ def test_quality_odd_rows(odd):
     by = {r.doc_id: r for r in found}
     assert by[1].n_words == 0 and by[1].base_failed and by[1].clean_text is None and by[5].n_words == 30_000
     assert by[5].n_repeat_words == 29_999 and quality.judged(odd.where("false")).count() == 0
+    assert unharmed(quality.judged(clashing(odd)), odd)

@@ -3,6 +3,8 @@
 import subprocess
 import sys
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from skein.llm import bpe, linededup, mixing, simhash, toxicity
 
@@ -23,6 +25,22 @@ def test_stages_follow_each_other(spark):
     assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_duplicates", "mixing", "tokens"]
 
 
+def test_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    odd = [
+        (None, None, None, None, None), (1, None, "en", "a", 0), (2, "", None, None, 0), (3, "Same text here, twice over.", "en", "a", None),
+        (3, "Same text here, twice over.", "en", "a", None), (4, "x" * 5000, "de", "b", 27), (5, "One two.\nThree four.\nFive six.", "en", "b", 1),
+        (6, "Seven.\nOne two.\nThree four.\nFive six.", "en", "b", 1), (None, "An id that is null.", "en", "c", 3),
+    ]
+    df = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    for k, rows in enumerate((df, df.where("false"))):
+        folder = str(tmp_path / str(k))
+        rows.withColumn("_row", F.lit(1)).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        found = corpus_pipeline.run(spark, folder).collect()
+        assert bool(found) == (k == 0) and len({r.doc_id for r in found}) <= 7
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -550,6 +550,19 @@ def test_repeated_passages_of_short_lines_go_whole(spark):
     assert [r.text for r in found.orderBy("doc_id").collect()] == want
 
 
+def test_hashes_that_collide_remove_nothing_wrong(spark, docs, rows):
+    """With hashes of 13 bits many lines collide; what goes must be a repeat all the same."""
+    found = {r.doc_id: r for r in linededup.deduplicated(docs, linededup.Chunking(bits=13)).collect()}
+    first = {}
+    for i, text, *_ in sorted(rows):
+        for x in text.split("\n"):
+            first.setdefault(x, i)
+    for i, text, *_ in rows:
+        gone = Counter(text.split("\n"))
+        gone.subtract(found[i].text.split("\n"))
+        assert all(first[x] < i or text.split("\n").count(x) > 1 for x, n in gone.items() if n > 0 and words(x))
+
+
 def test_a_line_in_a_third_of_all_documents(spark):
     own = lambda i: f"Own line of {i} alone.\nAnother of {i} here."
     rows = [(i, f"{own(i)}\nThe first common line.\nThe second common line.\nThe third one.\nEnd of {i}.") for i in range(700)]

@@ -48,7 +48,7 @@ def stored(df: DataFrame) -> DataFrame:
     removed by ``dropped``, or when the driver ends with its session still running."""
     spark = df.sparkSession
     path = f"{_shared(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT, SALTS, cut, packed, salted_join, stored, table, unpacked, word_count
+from .common import HOT, SALTS, cut, dropped, packed, salted_join, stored, table, unpacked, word_count
 
 REACH = 2
 WORD = r"[^\x20\x09-\x0D]"
@@ -98,7 +98,7 @@ def matches(docs: DataFrame, how: Chunking) -> DataFrame:
     total = twice.agg(F.sum("n")).first()[0] or 0
     mine = salted_join(each, twice, ["hash"], twice, "n", total, F.col("_doc"))
     mine = mine.groupBy(F.col("_doc").alias("_key")).agg(F.collect_set(F.struct("hash", "n", "lo", "hi")).alias("_again"))
-    known = lines.join(mine, F.col("_doc") == F.col("_key"))
+    known = lines.join(mine.hint("merge"), F.col("_doc") == F.col("_key"))
 
     def context(s: Column) -> Column:
         h = F.col("_h")
@@ -130,7 +130,10 @@ def matches(docs: DataFrame, how: Chunking) -> DataFrame:
     own = gone.select("doc_id", "_doc", chunk(F.col("lo")).alias("c"), F.lit(None).alias("f"))
     first = gone.select("first.doc_id", "first._doc", F.lit(None).alias("c"), chunk(F.col("first.lo")).alias("f"))
     both = own.union(first).groupBy("doc_id", F.col("_doc").alias("hash"))
-    return both.agg(F.collect_set("c").alias("cuts"), F.collect_set("f").alias("firsts"))
+    found = stored(both.agg(F.collect_set("c").alias("cuts"), F.collect_set("f").alias("firsts")))
+    dropped(lines)
+    dropped(again)
+    return found
 
 
 def _numbers(chunks: str) -> Column:
@@ -143,7 +146,8 @@ def _without(docs: DataFrame, found: DataFrame, kept_hashes: list[int], how: Chu
     their hashes. Lines with one of ``kept_hashes`` are not removed."""
     gone = found.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("cuts").alias("_cuts"), F.col("firsts").alias("_firsts"))
     df = packed(docs, "doc_id", "text", F.xxhash64("doc_id", "text").alias("_h"))
-    df = df.join(gone, (F.col("_h") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    # By a shuffle at any size, so that work grows in proportion.
+    df = df.join(gone.hint("merge"), (F.col("_h") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     hit = F.col("_cuts").isNotNull()
     df = df.withColumn("_all", F.when(hit, _split(F.col("text")))).withColumn("_worded", F.when(hit, _worded(F.col("text"))))
     line = lambda k: F.get("_worded", k)

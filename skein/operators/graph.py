@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import iterated, settled
+
 #: Largest number of edges that a grouped call takes in.
 MOST = 2_000_000
 
@@ -83,41 +85,48 @@ def _grouped(names: DataFrame, graph: DataFrame, f, schema: str) -> DataFrame:
 
 
 def components(names: DataFrame, graph: DataFrame) -> DataFrame:
-    """(table_name, component): the component's first table by name."""
-
-    def run(every, src, dst, _):
-        label = np.arange(len(every))
-        while True:
-            low = label.copy()
-            np.minimum.at(low, src, label[dst])
-            np.minimum.at(low, dst, label[src])
-            low = low[low]
-            if np.array_equal(low, label):
-                return pd.DataFrame({"table_name": every, "component": [every[i] for i in label]})
-            label = low
-
-    return _grouped(names, graph, run, "table_name string, component string")
+    """(table_name, component): the component's first table by name. Each round takes the least
+    label among neighbours and then that label's own label; it ends when none changes."""
+    near = settled(neighbours(graph).distinct())
+    labels = settled(names.select("table_name", F.col("table_name").alias("component")))
+    while True:
+        heard = near.join(labels.select(F.col("table_name").alias("neighbour"), "component"), "neighbour")
+        heard = heard.groupBy("table_name").agg(F.min("component").alias("heard"))
+        lower = labels.join(heard, "table_name", "left").select("table_name", F.col("component").alias("was"), F.least("component", "heard").alias("component"))
+        jump = labels.select(F.col("table_name").alias("component"), F.col("component").alias("on"))
+        new = settled(lower.join(jump, "component").select("table_name", "was", F.least("component", "on").alias("component")))
+        labels = new.select("table_name", "component")
+        if not new.where("component <> was").limit(1).count():
+            return labels
 
 
 def pagerank(names: DataFrame, graph: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
     """(table_name, page_rank) of the undirected weighted graph; mass of tables without an edge
-    goes to all. With a tolerance it stops when the total change is below n times that."""
-
-    def run(every, src, dst, w):
-        n = len(every)
-        s, d, x = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([w, w])
-        out = np.bincount(s, x, n)
-        rank = np.full(n, 1 / n)
-        for _ in range(iterations):
-            flow = np.bincount(d, rank[s] * x / out[s], n)
-            new = damping * (flow + rank[out == 0].sum() / n) + (1 - damping) / n
-            change = np.abs(new - rank).sum()
-            rank = new
-            if tolerance is not None and change < n * tolerance:
-                break
-        return pd.DataFrame({"table_name": every, "page_rank": rank})
-
-    return _grouped(names, graph, run, "table_name string, page_rank double")
+    goes to all. With a tolerance it stops when the total change is below n times that.
+
+    A round joins ranks to edges and adds them up. Tables without an edge have one rank, which
+    follows from their number alone, so no round needs a sum over all tables.
+    """
+    ways = both_ways(graph)
+    out = ways.groupBy("src").agg(F.sum("weight").alias("out")).where("out > 0")
+    steps = settled(ways.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("p")))
+    linked = settled(names.select("table_name").join(out.select(F.col("src").alias("table_name")), "table_name", "left_semi"))
+    n = names.count()
+    if not n:
+        return names.select("table_name", F.lit(0.0).alias("page_rank"))
+    lone = n - linked.count()
+    ranks = [1 / n]  # of a table without an edge, round by round
+    for _ in range(iterations):
+        ranks.append(damping * lone * ranks[-1] / n + (1 - damping) / n)
+
+    def step(now: DataFrame, k: int) -> DataFrame:
+        flow = steps.join(now.withColumnRenamed("table_name", "src"), "src").groupBy(F.col("dst").alias("table_name"))
+        return flow.agg((damping * F.sum(F.col("page_rank") * F.col("p")) + F.lit(ranks[k + 1])).alias("page_rank"))
+
+    start = linked.select("table_name", F.lit(1 / n).alias("page_rank"))
+    found = iterated(start, step, iterations, "table_name", "page_rank", None if tolerance is None else n * tolerance, F.sum)
+    others = names.select("table_name").join(linked, "table_name", "left_anti")
+    return found.unionByName(others.select("table_name", F.lit(ranks[-1]).alias("page_rank")))
 
 
 def _adjacent(n: int, src, dst) -> list[list[int]]:
@@ -202,8 +211,8 @@ def walks(graph: DataFrame, per_node: int = 100, length: int = 10, seed: int = 4
     now = near.select("src").distinct().withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))))
     now = now.select(F.concat_ws("#", "src", "walk").alias("walk_id"), F.array("src").alias("tables"), F.col("src").alias("at"))
     for step in range(1, length):
-        choice = F.min_by("dst", F.xxhash64(F.lit(seed), F.lit(step), "walk_id", "dst"))
-        now = now.join(F.broadcast(near), F.col("at") == F.col("src")).groupBy("walk_id", "tables").agg(choice.alias("at"))
+        choice = F.min_by("dst", F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(step)), "walk_id", "dst")))
+        now = now.join(near, F.col("at") == F.col("src")).groupBy("walk_id", "tables").agg(choice.alias("at"))
         now = now.select("walk_id", F.concat("tables", F.array("at")).alias("tables"), "at")
     return now.select("walk_id", "tables")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rounds import iterated, settled
+
 
 def selectivity(entropy: DataFrame, information: DataFrame, keys: DataFrame, exact: bool = True) -> DataFrame:
     """(table_name, column_name, pr, q) of each key column.
@@ -47,24 +49,15 @@ def stationary(matrix: DataFrame, iterations: int = 50, tolerance: float | None
     """(table_name, share) after a number of steps of the walk from a uniform start, or, with a
     tolerance, once no share changes by more.
 
-    The matrix has a row for each pair of joined tables, so it is catalog-sized: the steps run
-    in one grouped call, with no job a step.
+    A step joins the shares to the matrix, which has a row for each pair of joined tables and
+    one for each table itself, and adds them up by destination.
     """
+    matrix = settled(matrix.select("src", "dst", "p"))
+    names = settled(matrix.select(F.col("src").alias("table_name")).distinct())
+    n = max(1, names.count())
 
-    def walk(pdf):
-        import numpy as np
-        import pandas as pd
-
-        names = sorted(set(pdf["src"]))
-        at = {n: i for i, n in enumerate(names)}
-        src, dst, p = pdf["src"].map(at).to_numpy(), pdf["dst"].map(at).to_numpy(), pdf["p"].to_numpy()
-        share = np.full(len(names), 1 / len(names))
-        for _ in range(iterations):
-            new = np.bincount(dst, share[src] * p, len(names))
-            small = tolerance is not None and np.abs(new - share).max() < tolerance
-            share = new
-            if small:
-                break
-        return pd.DataFrame({"table_name": names, "share": share})
+    def step(now: DataFrame, _: int) -> DataFrame:
+        flow = matrix.join(now.withColumnRenamed("table_name", "src"), "src")
+        return flow.groupBy(F.col("dst").alias("table_name")).agg(F.sum(F.col("share") * F.col("p")).alias("share"))
 
-    return matrix.groupBy().applyInPandas(walk, "table_name string, share double")
+    return iterated(names.withColumn("share", F.lit(1 / n)), step, iterations, "table_name", "share", tolerance)

@@ -176,8 +176,15 @@ def ids(token_rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return token_rows.drop("id").join(vocabulary, "token", "left").join(F.broadcast(unk)).withColumn("id", F.coalesce("id", "_unk")).drop("_unk")
 
 
+def _number_of(*key: Column | str, seed: int) -> Column:
+    """32 bits drawn by the key."""
+    named = [F.col(c) if isinstance(c, str) else c for c in key]
+    text = F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in named])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 def _chance(*key: Column | str, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_000)) / 1e6
+    return _number_of(*key, seed=seed) / float(1 << 32)
 
 
 def sampled_cells(cell: DataFrame, text_rate: float = 0.5, value_rate: float = 0.1, seed: int = 43) -> DataFrame:
@@ -188,27 +195,29 @@ def sampled_cells(cell: DataFrame, text_rate: float = 0.5, value_rate: float = 0
     return cell.withColumn("valid", (header | (_chance("table_id", "row", "column", seed=seed) < rate)).cast("int"))
 
 
-def masked(token_rows: DataFrame, rate: float = 0.15, seed: int = 43, whole_cell: bool = False, vocabulary_size: int = 30_000) -> DataFrame:
+def masked(token_rows: DataFrame, vocabulary: dict[str, int], rate: float = 0.15, seed: int = 43, whole_cell: bool = False) -> DataFrame:
     """Tokens with ``label`` (the id to predict, or -1) and ``id`` masked: of those chosen 80%
-    become the mask, 10% a random id, 10% stay. ``whole_cell`` chooses cells, not tokens."""
+    become the id of ``[MASK]``, 10% a random id of the vocabulary, 10% stay. ``whole_cell``
+    chooses cells, not tokens."""
     key = ["table_id", "row", "column"] if whole_cell else ["table_id", "row", "column", "order"]
     special = F.col("token").isin(SEPARATOR, CLS, EMPTY)
     chosen = ~special & (_chance(*key, seed=seed) < rate)
     how = _chance(*key, "order", F.lit("how"), seed=seed) if whole_cell else _chance(*key, F.lit("how"), seed=seed)
-    other = F.pmod(F.xxhash64(F.lit(seed), F.lit("id"), *key), F.lit(vocabulary_size)).cast("int")
-    new = F.when(chosen & (how < 0.8), F.lit(-2)).when(chosen & (how < 0.9), other).otherwise(F.col("id"))
+    # Ids are the places of the vocabulary's tokens, 0 to its size less one.
+    other = F.pmod(_number_of(*key, "order", F.lit("id"), seed=seed), F.lit(len(vocabulary))).cast("int")
+    new = F.when(chosen & (how < 0.8), F.lit(vocabulary[MASK])).when(chosen & (how < 0.9), other).otherwise(F.col("id"))
     return token_rows.withColumn("label", F.when(chosen, F.col("id")).otherwise(-1)).withColumn("id", new)
 
 
-def sequences(token_rows: DataFrame, most: int = 2048) -> DataFrame:
+def sequences(token_rows: DataFrame, vocabulary: dict[str, int], most: int = 2048) -> DataFrame:
     """(table_id, length, tokens, indicator, rows, columns): a table's tokens in cell order,
-    after a start token; ``indicator`` numbers cells from 1. Longer ones are left out."""
+    after the token ``[CLS]``; ``indicator`` numbers cells from 1. Longer ones are left out."""
     cell = F.dense_rank().over(Window.partitionBy("table_id").orderBy("row", "column"))
     item = F.struct("row", "column", "order", "id", cell.alias("cell"))
     ordered = token_rows.withColumn("item", item).groupBy("table_id").agg(F.array_sort(F.collect_list("item")).alias("all"))
     pick = lambda c, start: F.concat(F.array(F.lit(start)), F.transform("all", lambda x: x[c]))
     out = ordered.select(
-        "table_id", (F.size("all") + 1).alias("length"), pick("id", 0).alias("tokens"), pick("cell", 0).alias("indicator"),
+        "table_id", (F.size("all") + 1).alias("length"), pick("id", vocabulary[CLS]).alias("tokens"), pick("cell", 0).alias("indicator"),
         pick("row", -1).alias("rows"), pick("column", -1).alias("columns"),
     )
     return out.where(F.col("length") <= most)

@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 
 
 def _draw(*columns: Column | str, seed: int = 43) -> Column:
-    return F.xxhash64(F.lit(seed), *columns)
+    """A text to order candidates by, without order of its own; any SQL engine has it too."""
+    named = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in named]))
+
+
+def _place(*columns: Column | str, n: Column, seed: int = 43) -> Column:
+    """A number from 0 to n - 1, drawn by the columns."""
+    return F.pmod(F.conv(F.substring(_draw(*columns, seed=seed), 1, 8), 16, 10).cast("long"), n)
 
 
 def _first(df: DataFrame, by: list[str], *order: Column, n: int = 1) -> DataFrame:
@@ -21,23 +28,25 @@ def _first(df: DataFrame, by: list[str], *order: Column, n: int = 1) -> DataFram
 
 
 def random_triplets(names: DataFrame, seed: int = 43) -> DataFrame:
-    """One for each table, with any positive and negative; they may equal the anchor."""
-    n = names.select("table_name")
-    pairs = n.select(F.col("table_name").alias("anchor")).join(n.select(F.col("table_name").alias("c")), how="cross")
-    p = _first(pairs, ["anchor"], _draw("anchor", "c", F.lit("p"), seed=seed)).withColumnRenamed("c", "positive")
-    q = _first(pairs, ["anchor"], _draw("anchor", "c", F.lit("n"), seed=seed)).withColumnRenamed("c", "negative")
-    return p.join(q, "anchor")
+    """One for each of ``names`` (table_name, ordinal from 0), with any positive and negative; they
+    may equal the anchor. Places are drawn and joined, so no pairs are formed."""
+    n = F.lit(max(1, names.count()))
+    anchors = names.select(F.col("table_name").alias("anchor"))
+    for role in ("positive", "negative"):
+        other = names.select(F.col("table_name").alias(role), F.col("ordinal").cast("long").alias("_at"))
+        anchors = anchors.withColumn("_at", _place("anchor", F.lit(role), n=n, seed=seed)).join(other, "_at").drop("_at")
+    return anchors
 
 
 def neighbour_triplets(names: DataFrame, neighbours: DataFrame, non_neighbours: DataFrame, k: int = 1, seed: int = 43) -> DataFrame:
     """A random neighbour (any table, if it has none) and a random table without an edge, ``k``
-    times for each anchor."""
-    n = names.select(F.col("table_name").alias("anchor"))
-    lone = n.join(neighbours.select(F.col("table_name").alias("anchor")), "anchor", "left_anti")
-    any_pair = lone.join(names.select(F.col("table_name").alias("c")), how="cross")
-    near = neighbours.select(F.col("table_name").alias("anchor"), F.col("neighbour").alias("c")).unionByName(any_pair)
+    times for each anchor. ``names``: (table_name, ordinal from 0)."""
     copies = F.explode(F.sequence(F.lit(1), F.lit(k)))
-    p = _first(near.withColumn("k", copies), ["anchor", "k"], _draw("anchor", "c", "k", seed=seed)).withColumnRenamed("c", "positive")
+    lone = names.select(F.col("table_name").alias("anchor")).join(neighbours.select(F.col("table_name").alias("anchor")), "anchor", "left_anti")
+    lone = lone.withColumn("k", copies).withColumn("_at", _place("anchor", "k", n=F.lit(max(1, names.count())), seed=seed))
+    lone = lone.join(names.select(F.col("table_name").alias("c"), F.col("ordinal").cast("long").alias("_at")), "_at").select("anchor", "c", "k")
+    near = neighbours.select(F.col("table_name").alias("anchor"), F.col("neighbour").alias("c")).withColumn("k", copies).unionByName(lone)
+    p = _first(near, ["anchor", "k"], _draw("anchor", "c", "k", seed=seed)).withColumnRenamed("c", "positive")
     far = non_neighbours.select(F.col("table_name").alias("anchor"), F.col("other").alias("c")).where("anchor <> c")
     q = _first(far.withColumn("k", copies), ["anchor", "k"], _draw("anchor", "c", "k", F.lit("n"), seed=seed)).withColumnRenamed("c", "negative")
     return p.join(q, ["anchor", "k"]).select("anchor", "positive", "negative")
@@ -155,5 +164,5 @@ def purity(triplets: DataFrame, assignment: DataFrame) -> DataFrame:
 
 def split(triplets: DataFrame, parts: int = 10, seed: int = 43) -> tuple[DataFrame, DataFrame]:
     """Training and evaluation rows, one in ``parts`` for the latter, by hash."""
-    part = F.pmod(_draw(*triplets.columns, seed=seed), F.lit(parts))
+    part = _place(*triplets.columns, n=F.lit(parts), seed=seed)
     return triplets.where(part > 0), triplets.where(part == 0)

@@ -20,6 +20,7 @@ from ..operators import roles as R
 from ..operators import similarity as S
 from ..operators import tables_etl as Z
 from ..operators import triplets as X
+from ..operators.rounds import settled
 from ..sources import catalog as K
 from ..sources.files import table_lines, truth
 from . import systems as Y
@@ -202,7 +203,7 @@ def column_entropy(s, d):
 
 def _information(s, d):
     c = K.star(s, d)
-    h = P.entropies(c, PROFILED)
+    h = settled(P.entropies(c, PROFILED))  # a row a column, read several times
     return c, h, P.information_content(h, c.row_counts())
 
 
@@ -338,9 +339,13 @@ def link_quality(s, d):
     return _r(G.link_quality(G.edges(K.star(s, d).foreign_keys()), truth(s, STAR_TRUTH)), "quality")
 
 
-@query("random_walks")
+@query("random_walks", f"""WITH RECURSIVE {FK}, {EDGES}, {BOTH}, w AS (
+    SELECT src || '#' || k AS walk_id, src AS tables, src AS here, 1 AS step FROM (SELECT DISTINCT src FROM ways), range(100) r(k)
+    UNION ALL SELECT walk_id, tables || '>' || dst, dst, step + 1 FROM (
+        SELECT w.*, dst, row_number() OVER (PARTITION BY walk_id ORDER BY md5('43|' || step || '|' || walk_id || '|' || dst)) AS r FROM w JOIN ways ON src = here WHERE step < 10) WHERE r = 1)
+SELECT walk_id, tables FROM w WHERE step = 10""")
 def random_walks(s, d):
-    w = G.walks(G.edges(K.star(s, d).foreign_keys()), 10, 10)
+    w = G.walks(G.edges(K.star(s, d).foreign_keys()))
     return w.select("walk_id", F.array_join("tables", ">").alias("tables"))
 
 
@@ -456,9 +461,10 @@ def format_scaling(s, d):
     return _r(_table(s, d, "part").select("p_partkey", F.get(v, F.lit(0)).alias("size"), F.get(v, F.lit(1)).alias("price")), "size", "price")
 
 
-@query("clean_text", r"SELECT page_id, length(regexp_replace(html, '[\t\n\r ]', ' ', 'g')) AS n FROM pages")
+@query("clean_text", r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '[\t\n\r\p{Zs}]', ' ', 'g'), '[\p{C}\x{FFFD}]', '', 'g'),
+    '([\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}])', ' \1 ', 'g') AS clean FROM pages""")
 def clean_text(s, d):
-    return _table(s, d, "pages").select("page_id", F.length(F.regexp_replace("html", r"[\t\n\r ]", " ")).cast("long").alias("n"))
+    return _table(s, d, "pages").select("page_id", T.clean_text(F.col("html")).alias("clean"))
 
 
 # Similarity, vectors
@@ -665,29 +671,48 @@ def triplet_purity(s, d):
     return _r(X.purity(_negatives(s, d), truth(s, STAR_TRUTH)), "positive_purity", "negative_purity")
 
 
-@query("random_triplets")
+ORD = f"{COLS}, {NAMES}, ord AS (SELECT table_name, row_number() OVER (ORDER BY table_name) - 1 AS place FROM names)"
+PLACE = "('0x' || substr(md5('43|' || {}), 1, 8))::BIGINT % (SELECT count(*) FROM names)"
+
+
+@query("random_triplets", f"""WITH {ORD} SELECT n.table_name AS anchor, p.table_name AS positive, q.table_name AS negative FROM names n
+    JOIN ord p ON p.place = {PLACE.format("n.table_name || '|positive'")} JOIN ord q ON q.place = {PLACE.format("n.table_name || '|negative'")}""")
 def random_triplets(s, d):
     return X.random_triplets(K.star(s, d).tables())
 
 
-@query("neighbor_triplets")
+@query("neighbor_triplets", f"""WITH {ORD}, {FK}, {EDGES}, {BOTH}, k AS (SELECT unnest(range(1, 6)) AS k),
+near AS (SELECT src AS anchor, dst AS c, k FROM ways, k
+    UNION ALL SELECT n.table_name, o.table_name, k FROM names n, k JOIN ord o ON o.place = {PLACE.format("n.table_name || '|' || k")} WHERE n.table_name NOT IN (SELECT src FROM ways)),
+far AS (SELECT a.table_name AS anchor, b.table_name AS c, k FROM names a, names b, k WHERE a.table_name <> b.table_name
+    AND NOT EXISTS (SELECT 1 FROM ways WHERE src = a.table_name AND dst = b.table_name)),
+p AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY anchor, k ORDER BY md5('43|' || anchor || '|' || c || '|' || k)) = 1),
+q AS (SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY anchor, k ORDER BY md5('43|' || anchor || '|' || c || '|' || k || '|n')) = 1)
+SELECT p.anchor, p.c AS positive, q.c AS negative FROM p JOIN q USING (anchor, k)""")
 def neighbor_triplets(s, d):
     c = K.star(s, d)
     g = G.edges(c.foreign_keys())
     return X.neighbour_triplets(c.tables(), G.neighbours(g), G.non_neighbours(c.tables(), g), 5)
 
 
-@query("similarity_triplets")
+@query("similarity_triplets", f"""WITH {POSITIVES} SELECT anchor, positive, b AS negative FROM pos JOIN mir ON a = anchor AND b <> positive
+    QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY md5('43|' || anchor || '|' || b)) = 1""")
 def similarity_triplets(s, d):
     return X.similarity_triplets(S.mirrored(_sims(s, d)))
 
 
-@query("threshold_triplets")
+@query("threshold_triplets", f"""WITH {ALL_SIMS}, {FK}, {EDGES}, {BOTH}, p AS (SELECT a, b AS positive FROM mir JOIN ways ON src = a AND dst = b WHERE sim > 0.05),
+q AS (SELECT a, b AS negative FROM mir WHERE sim < 0.05 AND NOT EXISTS (SELECT 1 FROM ways WHERE src = a AND dst = b)
+    QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(sim, 9), b) <= 10)
+SELECT a AS anchor, positive, negative FROM p JOIN q USING (a)
+    QUALIFY row_number() OVER (PARTITION BY a, positive ORDER BY md5('43|' || a || '|' || positive || '|' || negative)) = 1""")
 def threshold_triplets(s, d):
     return X.threshold_triplets(G.neighbours(G.edges(K.star(s, d).foreign_keys())), S.mirrored(_sims(s, d)), 0.05, 0.05)
 
 
-@query("truth_triplets")
+@query("truth_triplets", f"""WITH {TRUTH} SELECT x.table_name AS anchor, y.table_name AS positive, z.table_name AS negative FROM truth x
+    JOIN truth y ON y.cluster_id = x.cluster_id AND y.table_name <> x.table_name JOIN truth z ON z.cluster_id <> x.cluster_id
+    QUALIFY row_number() OVER (PARTITION BY x.table_name, y.table_name ORDER BY md5('43|' || x.table_name || '|' || y.table_name || '|' || z.table_name)) <= 4""")
 def truth_triplets(s, d):
     return X.truth_triplets(truth(s, STAR_TRUTH))
 
@@ -699,7 +724,10 @@ def constrained_triplets(s, d):
     return X.constrained_triplets(Y.training_pairs(c), S.column_minmax(c.sims))
 
 
-@query("low_similarity_triplets")
+@query("low_similarity_triplets", f"""WITH {POSITIVES}, p25 AS (SELECT a, quantile_cont(sim, 0.25) AS p FROM mir GROUP BY a),
+low AS (SELECT anchor, positive, b AS c FROM pos JOIN mir m ON m.a = anchor AND b <> positive JOIN p25 ON p25.a = anchor WHERE m.sim > p
+    QUALIFY row_number() OVER (PARTITION BY anchor, positive ORDER BY round(m.sim, 9), b) <= 5)
+SELECT anchor, positive, c AS negative FROM low QUALIFY row_number() OVER (PARTITION BY anchor, positive ORDER BY md5('43|' || anchor || '|' || c)) = 1""")
 def low_similarity_triplets(s, d):
     sims = S.mirrored(_sims(s, d))
     return X.low_similarity_triplets(X.most_similar(sims).select("anchor", "positive"), sims)
@@ -878,7 +906,7 @@ for _name, _f in Y.SYSTEMS.items():
 del _name, _f, _method
 
 
-@query("cluster_keys")
+@query("cluster_keys", f"WITH {TRUTH} SELECT cluster_id, md5(to_json(list(table_name ORDER BY table_name))::VARCHAR) AS key FROM truth GROUP BY cluster_id")
 def cluster_keys(s, d):
     return G.cluster_key(truth(s, STAR_TRUTH))
 
@@ -904,9 +932,12 @@ def _nation_table(s: SparkSession, d: str) -> DataFrame:
     return n.agg(F.concat(header, body).alias("texts")).select(F.lit("nation").alias("table_id"), "texts")
 
 
-@query("sheet_cells", """SELECT 'nation' AS table_id, (row_number() OVER (PARTITION BY c ORDER BY k))::INT AS "row", c AS "column", v AS value FROM (
+SHEET = """SELECT 'nation' AS table_id, (row_number() OVER (PARTITION BY c ORDER BY k))::INT AS "row", c AS "column", v AS value FROM (
     SELECT n_nationkey AS k, 0 AS c, n_nationkey::VARCHAR AS v FROM nation UNION ALL SELECT n_nationkey, 1, n_name FROM nation UNION ALL SELECT n_nationkey, 2, n_regionkey::VARCHAR FROM nation)
-UNION ALL SELECT 'nation', 0, c, v FROM (VALUES (0, 'key'), (1, 'name'), (2, 'region')) h(c, v)""")
+UNION ALL SELECT 'nation', 0, c, v FROM (VALUES (0, 'key'), (1, 'name'), (2, 'region')) h(c, v)"""
+
+
+@query("sheet_cells", SHEET)
 def sheet_cells(s, d):
     return Z.cells(_nation_table(s, d))
 
@@ -922,16 +953,17 @@ def sheet_tokens(s, d):
 
 @query("masked_tokens")
 def masked_tokens(s, d):
-    return Z.masked(Z.tokens(Z.cells(_nation_table(s, d)), TOKENS)).select("table_id", "row", "column", "order", "id", "label")
+    return Z.masked(Z.tokens(Z.cells(_nation_table(s, d)), TOKENS), TOKENS).select("table_id", "row", "column", "order", "id", "label")
 
 
 @query("token_sequences")
 def token_sequences(s, d):
-    q = Z.sequences(Z.tokens(Z.cells(_nation_table(s, d)), TOKENS))
+    q = Z.sequences(Z.tokens(Z.cells(_nation_table(s, d)), TOKENS), TOKENS)
     return q.select("table_id", "length", F.array_join("tokens", " ").alias("tokens"), F.array_join("indicator", " ").alias("indicator"))
 
 
-@query("sampled_cells")
+@query("sampled_cells", rf"""SELECT *, (('0x' || substr(md5('43|' || table_id || '|' || "row" || '|' || "column"), 1, 8))::BIGINT / 4294967296.0
+    < CASE WHEN regexp_matches(value, '^\s*[-+]?[\d.,]+%?\s*$') THEN 0.1 ELSE 0.5 END)::INT AS valid FROM ({SHEET})""")
 def sampled_cells(s, d):
     return Z.sampled_cells(Z.cells(_nation_table(s, d)))
 

@@ -258,13 +258,14 @@ def test_header_trees(spark):
 
 def test_tokens(spark):
     assert Z.basic_tokens("Crème 3,000.5-x 1.2.3") == [("creme", False), ("3000.5", True), ("-", False), ("x", False), ("1", True), ("2", True), ("3", True)]
-    vocab = {"[UNK]": 0, "[SEP]": 1, "[EMP]": 2, "un": 3, "##able": 4, "##a": 5}
+    vocab = {"[UNK]": 0, "[SEP]": 1, "[EMP]": 2, "un": 3, "##able": 4, "##a": 5, "[MASK]": 6, "[CLS]": 7}
     assert Z.word_pieces("unable", vocab) == ["un", "##able"] and Z.word_pieces("zz", vocab) == ["[UNK]"]
     assert [t[0] for t in Z.cell_tokens("", vocab)] == ["[SEP]", "[EMP]"]
     cell = spark.createDataFrame([("t", 0, 0, "unable"), ("t", 0, 1, "12.5"), ("t", 1, 0, None)], "table_id string, row int, column int, value string")
     toks = Z.tokens(cell, vocab)
-    assert Z.sequences(toks).first().tokens == [0, 1, 3, 4, 1, 0, 1, 2]
-    assert Z.masked(toks, 1.0).where("label >= 0").count() == 3
+    assert Z.sequences(toks, vocab).first().tokens == [7, 1, 3, 4, 1, 0, 1, 2]
+    hidden = Z.masked(toks, vocab, 1.0).where("label >= 0").collect()
+    assert len(hidden) == 3 and all(r.id == 6 or 0 <= r.id < 8 for r in hidden)
     regions = spark.createDataFrame([("t", 0, 0, 0, 1)], "table_id string, row_from int, row_to int, column_from int, column_to int")
     merged = {(r.row, r.column): (r.first_row, r.first_column) for r in Z.merged_cells(cell, regions).collect()}
     assert merged[0, 1] == (0, 0) and merged[1, 0] == (1, 0)

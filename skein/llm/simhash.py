@@ -29,6 +29,8 @@ BLOCK = 1 << 17
 #: The pipeline's stage: shingles of five words, alike from a Jaccard similarity of 0.8 on.
 #: Bits are counted with an error, so a few more than expected are let pass.
 WIDTH, LONGS, SIMILARITY, SLACK = 5, 3, 0.8, 3
+#: Samples of bits, and fingerprints that agree in one from which on a star joins them.
+SAMPLES, DENSE = 32, 8
 U = np.uint64
 
 
@@ -100,6 +102,36 @@ def _cells(own: str) -> str:
     return f"array_compact(array({own}, {', '.join([*up, *down])}))"
 
 
+def _distance(names: list[str]) -> str:
+    return " + ".join(f"bit_count(a{f} ^ b{f})" for f in names)
+
+
+def stars(fps: DataFrame, limit: int, total: int) -> DataFrame:
+    """(a, b): links of ``fps`` (``total`` rows node, f0, ...) to the least node among those that
+    agree with them in a sample of bits. Samples are so wide that few fingerprints agree at
+    random; ``DENSE`` or more come from a large group of near copies, all others are left to
+    ``links``. Rows are as many as samples of all fingerprints at most, while all pairs would be
+    the square of a group."""
+    names = [c for c in fps.columns if c != "node"]
+    draw = np.random.default_rng(SAMPLES)
+    wide = min(64, max(24, total.bit_length() + 4))
+
+    def sample(i: int) -> str:
+        bits = np.zeros(64 * len(names), np.uint8)
+        bits[draw.choice(len(bits), wide, replace=False)] = 1
+        masks = np.packbits(bits).view(np.int64).tolist()
+        return f"xxhash64({i}, {', '.join(f'{f} & {m}L' for f, m in zip(names, masks, strict=True))})"
+
+    each = fps.selectExpr("node", f"explode(array({', '.join(map(sample, range(SAMPLES)))})) AS w")
+    dense = cut(each.groupBy("w").agg(F.min("node").alias("b"), F.count("*").alias("n")).where(F.col("n") >= DENSE))
+    members = dense.agg(F.sum("n")).first()[0] or 0
+    near = salted_join(each, dense.drop("n"), ["w"], dense, "n", members, F.col("node"))
+    near = cut(near.where("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    a, b = (fps.selectExpr(f"node AS {k}", *[f"{f} AS {k}{f}" for f in names]) for k in "ab")
+    hubs = near.groupBy("b").agg(F.count("*").alias("n"))
+    return salted_join(near.join(a, "a"), b, ["b"], hubs, "n", near.count(), F.col("a")).where(f"{_distance(names)} <= {limit}").select("a", "b")
+
+
 def links(fps: DataFrame, limit: int = 4) -> DataFrame:
     """Pairs (a, b) of ``fps`` (node, f0, ...), a < b, at Hamming distance ``limit`` or less that
     are close in some half (a pair may come several times). Of one long and four bits: all.
@@ -109,21 +141,24 @@ def links(fps: DataFrame, limit: int = 4) -> DataFrame:
     cell of a's counts, else in each cell between them (two at most). Of one long, it is taken
     in the low half if that differs in 2 bits at most; else the high half differs in one at most,
     and a needs no cell but its own there.
+
+    With a column ``star``, pairs of one star are left out, as they are connected already.
     """
-    names = [c for c in fps.columns if c != "node"]
+    names = [c for c in fps.columns if c not in ("node", "star")]
+    carried = [c for c in fps.columns if c != "node"]
     fps = fps.repartition(partitions(fps), "node")
     single = len(names) == 1 and limit == 4
-    distance = " + ".join(f"bit_count(a{f} ^ b{f})" for f in names)
+    apart = "astar <> bstar AND " if "star" in carried else ""
     found = None
     for half in range(2 * len(names)):
         f, side = names[half // 2], half % 2
-        own = fps.selectExpr("node", *names, f"{_counts(f, side)} AS own")
+        own = fps.selectExpr("node", *carried, f"{_counts(f, side)} AS own")
         a, b = (
-            own.selectExpr(f"{cells} AS cell", f"node AS {k}", *[f"{x} AS {k}{x}" for x in names])
+            own.selectExpr(f"{cells} AS cell", f"node AS {k}", *[f"{x} AS {k}{x}" for x in carried])
             for k, cells in (("a", "own" if single and side else f"explode({_cells('own')})"), ("b", f"explode({_cells('own')})"))
         )
         own_a, own_b = _counts(f"a{f}", side), _counts(f"b{f}", side)
-        verify = f"a < b AND {distance} <= {limit} AND ({own_a} = cell OR ({own_b} <> cell AND {own_a} <> {own_b}))"
+        verify = f"a < b AND {apart}{_distance(names)} <= {limit} AND ({own_a} = cell OR ({own_b} <> cell AND {own_a} <> {own_b}))"
         if single:
             verify += f" AND bit_count((a{f} ^ b{f}) & 4294967295L) {'>' if side else '<='} 2"
         pairs = a.join(b, "cell").where(verify).select("a", "b")
@@ -154,7 +189,16 @@ def near_duplicates(
     node = F.col("f0") if longs == 1 else F.monotonically_increasing_id()
     classes = rows.groupBy(*names).agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     classes = cut(classes.withColumn("node", node))
-    joined = components(links(classes.select("node", *names), limit)).withColumnRenamed("node", "member")
+    found = classes.select("node", *names)
+    if longs == 1:
+        found = links(found, limit)
+    else:
+        # Near copies have many wide fingerprints, so large groups are joined up by stars first.
+        near = cut(stars(found, limit, classes.count()))
+        star = components(near).withColumnRenamed("node", "member")
+        starred = found.join(star, F.col("node") == F.col("member"), "left").withColumn("star", F.coalesce("root", "node"))
+        found = links(starred.select("node", *names, "star"), limit).union(near)
+    joined = components(found).withColumnRenamed("node", "member")
     rooted = classes.join(joined, F.col("node") == F.col("member"), "left")
     rooted = cut(rooted.select(*names, "first", "copies", F.coalesce("root", "node").alias("root")))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("kinds"))

@@ -785,3 +785,26 @@ def test_quality_odd_rows(odd):
     assert by[1].n_words == 0 and by[1].base_failed and by[1].clean_text is None and by[5].n_words == 30_000
     assert by[5].n_repeat_words == 29_999 and quality.judged(odd.where("false")).count() == 0
     assert unharmed(quality.judged(clashing(odd)), odd)
+
+
+def test_simhash_stars(spark):
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 2, (260, 192), np.uint8)
+    for i in range(1, 200):  # near copies of the first, 8 bits away from it
+        bits[i] = bits[0]
+        bits[i, rng.choice(192, 8, replace=False)] ^= 1
+    longs = np.packbits(bits, axis=1).view(">i8").tolist()
+    fps = spark.createDataFrame([(i, *x) for i, x in enumerate(longs)], "node long, f0 long, f1 long, f2 long")
+    near = simhash.stars(fps, 32, len(bits)).collect()
+    away = (bits[:, None, :] != bits[None, :, :]).sum(axis=2)
+    assert all(away[r.a, r.b] <= 32 for r in near)
+    assert len(near) <= simhash.SAMPLES * 200
+    label = list(range(260))
+    for _ in range(20):
+        for r in near:
+            label[r.a] = label[r.b] = min(label[r.a], label[r.b])
+    assert sum(label[i] == 0 for i in range(200)) >= 190 and label[200:] == list(range(200, 260))
+    star = fps.join(spark.createDataFrame(list(enumerate(label)), "node long, star long"), "node").select("node", "f0", "f1", "f2", "star")
+    every = {(r.a, r.b) for r in simhash.links(fps, 32).collect()}
+    left = {(r.a, r.b) for r in simhash.links(star, 32).collect()}
+    assert left == {(a, b) for a, b in every if label[a] != label[b]}

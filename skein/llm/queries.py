@@ -15,8 +15,11 @@ from .oracles import ORACLE_SQL
 from .quality import op10_quality
 from .sharding import op5_sharding
 from .simhash import op9_simhash
+from .topk import op12_fagin
 from .toxicity import op2_toxicity
+from .trie import op13_trie
 from .vectors import op8_vectors
+from .whitening import op11_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": op1_lattice,
@@ -29,6 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vectors": op8_vectors,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "op11_whitening": op11_whitening,
+    "op12_fagin": op12_fagin,
+    "op13_trie": op13_trie,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

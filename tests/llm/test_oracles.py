@@ -11,11 +11,12 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     found = QUERIES[name](spark, FOLDER)
     columns = sorted(found.columns)
     result = con.execute(ORACLE_SQL[name])
     names = [c[0] for c in result.description]
     assert sorted(names) == columns
-    want = sorted(tuple(r[names.index(c)] for c in columns) for r in result.fetchall())
-    assert sorted(tuple(r[c] for c in columns) for r in found.collect()) == want
+    want = sorted((tuple(r[names.index(c)] for c in columns) for r in result.fetchall()), key=repr)
+    assert sorted((tuple(r[c] for c in columns) for r in found.collect()), key=repr) == want

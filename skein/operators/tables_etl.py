@@ -7,18 +7,18 @@ built-in functions can't express run in Arrow-batched pandas functions.
 from __future__ import annotations
 
 import json
-import re
-import unicodedata
-import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import tokens as K
 
-UNKNOWN, SEPARATOR, EMPTY, MASK, CLS = "[UNK]", "[SEP]", "[EMP]", "[MASK]", "[CLS]"
+UNKNOWN, SEPARATOR, EMPTY, MASK, CLS, VALUE = "[UNK]", "[SEP]", "[EMP]", "[MASK]", "[CLS]", "[VAL]"
 LEVELS = 4
 TREE_SCHEMA = "row int, column int, position array<int>"
 
@@ -94,66 +94,53 @@ def format_features(cell: DataFrame) -> DataFrame:
     return cell.withColumn("format", F.array(*flags))
 
 
-def without_accents(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
-
-
-def digit_spans(text: str) -> list[str]:
-    """Runs of digits apart from other runs; commas and points stay with the run they follow."""
-    return re.findall(r"\d[\d,.]*|[^\d]+", text)
-
-
-def basic_tokens(text: str | None) -> list[tuple[str, bool]]:
-    """(token, is a number): lower-cased, accents stripped, punctuation and numbers apart."""
-    out: list[tuple[str, bool]] = []
-    clean = "".join(" " if c.isspace() else c for c in (text or "") if c != "�" and (c.isspace() or unicodedata.category(c)[0] != "C"))
-    for word in without_accents(clean.lower()).split():
-        for span in digit_spans(word):
-            if span[0].isdigit():
-                plain = re.sub(r"(?<=\d),(?=\d)", "", span).rstrip(",.")
-                parts = plain.split(".") if plain.count(".") > 1 else [plain]
-                out += [(p, True) for p in parts if p]
-            else:
-                out += [(t, False) for t in re.findall(r"\w+|[^\w\s]", span)]
-    return out
-
-
-def word_pieces(word: str, vocabulary: dict[str, int], longest: int = 64) -> list[str]:
-    """Greedy longest match from the left, later pieces marked ``##``."""
-    if len(word) > longest:
-        return [UNKNOWN]
-    out, lo = [], 0
-    while lo < len(word):
-        for hi in range(len(word), lo, -1):
-            piece = ("##" if lo else "") + word[lo:hi]
-            if piece in vocabulary:
-                out.append(piece)
-                lo = hi
-                break
-        else:
-            return [UNKNOWN]
-    return out
-
-
 TOKEN = "token string, id int, magnitude int, precision int, first int, last int"
-
-
-def _number(token: str) -> tuple[int, int, int, int]:
-    whole, _, frac = token.partition(".")
-    digits = whole + frac
-    return min(len(whole), 10), min(len(frac), 10), int(digits[0]) if digits else 10, int(digits[-1]) if digits else 10
+#: Features of a token that is no number.
+NO_NUMBER = (11, 11, 11, 11)
+
+
+def _entries(token: str, vocabulary: dict[str, int]) -> list[tuple]:
+    """What a word or number becomes: pieces, or one token with its number's features. A number
+    that isn't in the vocabulary as a whole is ``[VAL]``."""
+    unk = vocabulary.get(UNKNOWN, 0)
+    if token[0] in "0123456789":
+        name = token if token in vocabulary and "." not in token else VALUE
+        return [(name, vocabulary.get(name, unk), *K.number_features(token))]
+    return [(p, vocabulary.get(p, unk), *NO_NUMBER) for p in K.pieces(token, vocabulary, UNKNOWN)]
+
+
+def _of_cells(texts: pa.Array, vocabulary: dict[str, int], most: int) -> tuple[np.ndarray, pa.Table]:
+    """(cell of each token, tokens): each cell's tokens after a separator, an empty cell's one
+    token of its own, the first ``most`` of them. Each distinct word of the batch is cut once."""
+    lists = K.scanned(texts.to_pylist())
+    words = lists.flatten().field(0).dictionary_encode()
+    entries = [_entries(w, vocabulary) for w in words.dictionary.to_pylist()]
+    special = [(t, vocabulary.get(t, 0), *NO_NUMBER) for t in (SEPARATOR, EMPTY)]
+    size = np.array([len(e) for e in entries], np.int64)
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    sep, emp = int(bounds[-1]), int(bounds[-1]) + 1
+    column = [pa.array(x, t) for x, t in zip(zip(*[x for e in entries for x in e], *special), (pa.string(), *[pa.int32()] * 5), strict=True)]
+    per_cell = np.diff(np.asarray(lists.offsets))
+    at = np.asarray(words.indices).astype(np.int64)
+    count = size[at]
+    # Places of all pieces of all words, in order.
+    flat = np.repeat(bounds[at] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(at) else at
+    cell_of = np.repeat(np.repeat(np.arange(len(per_cell)), per_cell), count)
+    blank = np.setdiff1d(np.arange(len(per_cell)), cell_of)
+    cell_of = np.concatenate([np.arange(len(per_cell)), blank, cell_of])
+    flat = np.concatenate([np.full(len(per_cell), sep), np.full(len(blank), emp), flat])
+    order = np.argsort(cell_of, kind="stable")
+    cell_of, flat = cell_of[order], flat[order]
+    place = np.arange(len(flat)) - np.searchsorted(cell_of, cell_of)
+    kept = place < most
+    names = ["token", "id", "magnitude", "precision", "first", "last"]
+    table = pa.table({"order": pa.array(place[kept].astype(np.int32)), **{n: c.take(pa.array(flat[kept])) for n, c in zip(names, column, strict=True)}})
+    return cell_of[kept], table
 
 
 def cell_tokens(text: str | None, vocabulary: dict[str, int], most: int = 8) -> list[tuple]:
-    """A cell's tokens, after a separator; an empty cell has one token of its own."""
-    found: list[tuple] = []
-    for token, number in basic_tokens(text):
-        if number:
-            found.append((token, vocabulary.get(token, vocabulary.get(UNKNOWN, 0)), *_number(token)))
-        else:
-            found += [(p, vocabulary.get(p, vocabulary.get(UNKNOWN, 0)), 11, 11, 11, 11) for p in word_pieces(token, vocabulary)]
-    found = found or [(EMPTY, vocabulary.get(EMPTY, 0), 11, 11, 11, 11)]
-    return [(SEPARATOR, vocabulary.get(SEPARATOR, 0), 11, 11, 11, 11), *found][:most]
+    """The tokens of one cell: (token, id, magnitude, precision, first, last)."""
+    return [tuple(r.values())[1:] for r in _of_cells(pa.array([text], pa.string()), vocabulary, most)[1].to_pylist()]
 
 
 def tokens(cell: DataFrame, vocabulary: dict[str, int], most: int = 8) -> DataFrame:
@@ -161,13 +148,17 @@ def tokens(cell: DataFrame, vocabulary: dict[str, int], most: int = 8) -> DataFr
     cell. The vocabulary is a few ten thousand entries and goes to every executor."""
     sent = cell.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["table_id", "row", "column", "order", "token", "id", "magnitude", "precision", "first", "last"]
-        for pdf in batches:
-            rows = [(r.table_id, r.row, r.column, k, *t) for r in pdf.itertuples() for k, t in enumerate(cell_tokens(r.value, sent.value, most))]
-            yield pd.DataFrame(rows, columns=names)
-
-    return cell.select("table_id", "row", "column", "value").mapInPandas(run, f"table_id string, row int, column int, order int, {TOKEN}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                at, out = _of_cells(b.column(3), sent.value, most)
+                keys = pa.table({n: b.column(i).take(pa.array(at)) for i, n in enumerate(("table_id", "row", "column"))})
+                for n in out.column_names:
+                    keys = keys.append_column(n, out[n])
+                yield from keys.combine_chunks().to_batches()
+
+    kind = dict(cell.dtypes)["table_id"]
+    return cell.select("table_id", "row", "column", "value").mapInArrow(run, f"table_id {kind}, row int, column int, order int, {TOKEN}")
 
 
 def ids(token_rows: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -257,9 +257,9 @@ def test_header_trees(spark):
 
 
 def test_tokens(spark):
-    assert Z.basic_tokens("Crème 3,000.5-x 1.2.3") == [("creme", False), ("3000.5", True), ("-", False), ("x", False), ("1", True), ("2", True), ("3", True)]
     vocab = {"[UNK]": 0, "[SEP]": 1, "[EMP]": 2, "un": 3, "##able": 4, "##a": 5, "[MASK]": 6, "[CLS]": 7}
-    assert Z.word_pieces("unable", vocab) == ["un", "##able"] and Z.word_pieces("zz", vocab) == ["[UNK]"]
+    assert Z.cell_tokens("unable 7 12.5", vocab | {"7": 9, "[VAL]": 10}) == [("[SEP]", 1, *Z.NO_NUMBER), ("un", 3, *Z.NO_NUMBER), ("##able", 4, *Z.NO_NUMBER), ("7", 9, 1, 0, 7, 7), ("[VAL]", 10, 2, 1, 1, 5)]
+    assert [t[0] for t in Z.cell_tokens("a " * 20, vocab)] == ["[SEP]"] + ["[UNK]"] * 7
     assert [t[0] for t in Z.cell_tokens("", vocab)] == ["[SEP]", "[EMP]"]
     cell = spark.createDataFrame([("t", 0, 0, "unable"), ("t", 0, 1, "12.5"), ("t", 1, 0, None)], "table_id string, row int, column int, value string")
     toks = Z.tokens(cell, vocab)

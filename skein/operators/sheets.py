@@ -284,7 +284,7 @@ def assembled(
     cell: DataFrame, vocabulary: dict[str, int], snippets: DataFrame | None = None, most: int = 512, pairs: int = 4,
     context: int = 8, seed: int = 43, permuted: bool = True,
 ) -> DataFrame:
-    """(table_id, length, tokens, indicator, rows, columns, blanks, choices): a sequence for each
+    """(table_id, length, tokens, indicator, rows, columns, labels, blanks, choices): a sequence for each
     table of ``cell`` (``marked``), of ``most`` tokens at most (longer ones are left out).
 
     It has a start token and the table's first snippet (``context`` tokens); the cells that aren't
@@ -300,23 +300,21 @@ def assembled(
     """
     sep, empty, mask, start = (vocabulary[t] for t in (Z.SEPARATOR, Z.EMPTY, Z.MASK, Z.CLS))
     lit = lambda *x: F.array(*[F.lit(i) for i in x])
+    none = F.lit(-1)
     used = cell.where(F.col("mark") != LEFT_OUT)
     shown = (
         F.when(F.col("mark") == BLANK, lit(sep, empty))
         .when(F.col("mark") == HIDDEN, F.transform("ids", lambda x, i: F.when(i == 0, x).otherwise(mask)))
         .otherwise(F.col("ids"))
     )
-    part = lambda stage, order, tokens, row="row", column="column", mark="mark", own="ids": F.struct(
-        F.lit(stage).alias("stage"), order.alias("order"), tokens.alias("tokens"), F.col(row).alias("row"), F.col(column).alias("column"), F.col(mark).alias("mark"))
     place = (F.col("row").cast("long") * (1 << 31) + F.col("column")).alias("place")
-    body = used.select("table_id", F.struct(F.lit(1).alias("stage"), place.alias("order"), F.col("row").alias("r"), F.col("column").alias("c"), F.col("mark"), shown.alias("tokens"), place.alias("at"), F.lit(-1).alias("truth")).alias("p"))
+    body = used.select("table_id", F.struct(F.lit(1).alias("stage"), place.alias("order"), F.col("row").alias("r"), F.col("column").alias("c"), F.col("mark"), shown.alias("tokens"), place.alias("at"), none.alias("truth"), F.col("ids").alias("own")).alias("p"))
     pasted = used.where(F.col("mark") == BLANK)
     order = Z._number_of("table_id", "row", "column", F.lit("paste"), seed=seed) if permuted else place
-    paste = pasted.select("table_id", F.struct(F.lit(2).alias("stage"), order.alias("order"), F.lit(-1).alias("r"), F.lit(-1).alias("c"), F.lit(BLANK).alias("mark"), F.col("ids").alias("tokens"), place.alias("at"), F.lit(-1).alias("truth")).alias("p"))
+    paste = pasted.select("table_id", F.struct(F.lit(2).alias("stage"), order.alias("order"), F.lit(-1).alias("r"), F.lit(-1).alias("c"), F.lit(BLANK).alias("mark"), F.col("ids").alias("tokens"), place.alias("at"), none.alias("truth"), F.col("ids").alias("own")).alias("p"))
     every = body.union(paste)
-    none = F.lit(-1)
     if snippets is not None:
-        first = snippets.where("k = 0").select("table_id", F.struct(F.lit(0).alias("stage"), F.lit(0).cast("long").alias("order"), none.alias("r"), none.alias("c"), F.lit(PLAIN).alias("mark"), F.slice("ids", 2, context).alias("tokens"), F.lit(-1).cast("long").alias("at"), none.alias("truth")).alias("p"))
+        first = snippets.where("k = 0").select("table_id", F.struct(F.lit(0).alias("stage"), F.lit(0).cast("long").alias("order"), none.alias("r"), none.alias("c"), F.lit(PLAIN).alias("mark"), F.slice("ids", 2, context).alias("tokens"), F.lit(-1).cast("long").alias("at"), none.alias("truth"), F.col("ids").alias("own")).alias("p"))
         every = every.union(first.join(used.select("table_id").distinct(), "table_id", "left_semi"))
     length = every.groupBy("table_id").agg((F.sum(F.size("p.tokens")) + 1).alias("_used"))
     if snippets is not None:
@@ -326,7 +324,7 @@ def assembled(
         offered = offered.where((F.col("_nth") <= pairs) & (F.col("_used") + F.col("_sum") <= most))
         each = offered.select("table_id", "k", F.explode(F.array(F.struct(F.col("ids").alias("t"), F.lit(1).alias("truth")), F.struct(F.col("other").alias("t"), F.lit(0).alias("truth")))).alias("e"))
         mixed = Z._number_of("table_id", "k", F.col("e.truth"), F.lit("choice"), seed=seed)
-        every = every.union(each.select("table_id", F.struct(F.lit(3).alias("stage"), mixed.alias("order"), none.alias("r"), none.alias("c"), F.lit(PLAIN).alias("mark"), F.col("e.t").alias("tokens"), F.lit(-1).cast("long").alias("at"), F.col("e.truth").alias("truth")).alias("p")))
+        every = every.union(each.select("table_id", F.struct(F.lit(3).alias("stage"), mixed.alias("order"), none.alias("r"), none.alias("c"), F.lit(PLAIN).alias("mark"), F.col("e.t").alias("tokens"), F.lit(-1).cast("long").alias("at"), F.col("e.truth").alias("truth"), F.col("e.t").alias("own")).alias("p")))
     # Places in the sequence are running totals of the parts' lengths.
     line = Window.partitionBy("table_id").orderBy("p.stage", "p.order", "p.at")
     fill = lambda x: F.transform("p.tokens", lambda t, i: x(i))
@@ -337,17 +335,18 @@ def assembled(
     every = every.withColumn("hole", hole)
     number = (F.col("n") + 1) * 2
     sign = F.when(F.col("p.stage") >= 2, -1).otherwise(1)
+    hidden = F.transform("p.tokens", lambda t, i: F.when((F.col("p.mark") == HIDDEN) & (F.col("p.stage") == 1) & (i > 0), F.get("p.own", i)).otherwise(-1))
     every = every.select(
-        "table_id", "begin", "p.tokens",
+        "table_id", "begin", "p.tokens", hidden.alias("labels"),
         fill(lambda i: F.when(F.col("p.stage") == 0, -2).otherwise(sign * (number - F.when(i == 0, 1).otherwise(0)))).alias("indicator"),
         fill(lambda i: F.col("p.r")).alias("rows"), fill(lambda i: F.col("p.c")).alias("columns"),
         fill(lambda i: F.when((F.col("p.mark") == BLANK) & (F.col("p.stage") == 1), -(F.col("begin") + i)).when((F.col("p.mark") == BLANK) & (F.col("p.stage") == 2) & (i < 2), F.col("hole") + i).otherwise(0)).alias("blanks"),
         fill(lambda i: F.when(i < 2, F.col("p.truth")).otherwise(-1)).alias("choices"),
     )
-    names = ["tokens", "indicator", "rows", "columns", "blanks", "choices"]
+    names = ["tokens", "indicator", "rows", "columns", "labels", "blanks", "choices"]
     item = F.struct("begin", *names)
     whole = every.groupBy("table_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    head = {"tokens": start, "indicator": -1, "rows": -1, "columns": -1, "blanks": 0, "choices": -1}
-    joined = [F.concat(F.array(F.lit(head[c]).cast("long")), F.flatten(F.transform("all", lambda x, c=c: x[c])).cast("array<long>")).alias(c) for c in names]
+    head = {"tokens": start, "indicator": -1, "rows": -1, "columns": -1, "labels": -1, "blanks": 0, "choices": -1}
+    joined = [F.concat(F.array(F.lit(head[c]).cast("long")), F.flatten(f"all.{c}").cast("array<long>")).alias(c) for c in names]
     out = whole.select("table_id", *joined)
     return out.select("table_id", F.size("tokens").alias("length"), *names).where(F.col("length") <= most)

@@ -924,50 +924,6 @@ def table_json(s, d):
     return table_lines(_table(s, d, "region"), "region")
 
 
-def _nation_table(s: SparkSession, d: str) -> DataFrame:
-    n = _table(s, d, "nation")
-    cells = F.array(F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string"))
-    body = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", cells.alias("c")))), lambda x: x["c"])
-    header = F.array(F.array(F.lit("key"), F.lit("name"), F.lit("region")))
-    return n.agg(F.concat(header, body).alias("texts")).select(F.lit("nation").alias("table_id"), "texts")
-
-
-SHEET = """SELECT 'nation' AS table_id, (row_number() OVER (PARTITION BY c ORDER BY k))::INT AS "row", c AS "column", v AS value FROM (
-    SELECT n_nationkey AS k, 0 AS c, n_nationkey::VARCHAR AS v FROM nation UNION ALL SELECT n_nationkey, 1, n_name FROM nation UNION ALL SELECT n_nationkey, 2, n_regionkey::VARCHAR FROM nation)
-UNION ALL SELECT 'nation', 0, c, v FROM (VALUES (0, 'key'), (1, 'name'), (2, 'region')) h(c, v)"""
-
-
-@query("sheet_cells", SHEET)
-def sheet_cells(s, d):
-    return Z.cells(_nation_table(s, d))
-
-
-#: A small vocabulary for the token queries.
-TOKENS = {t: i for i, t in enumerate([Z.UNKNOWN, Z.SEPARATOR, Z.EMPTY, Z.MASK, Z.CLS, "nation", "##_", "key", "name", "region", *"abcdefghijklmnopqrstuvwxyz", *("##" + c for c in "abcdefghijklmnopqrstuvwxyz")])}
-
-
-@query("sheet_tokens")
-def sheet_tokens(s, d):
-    return Z.tokens(Z.cells(_nation_table(s, d)), TOKENS)
-
-
-@query("masked_tokens")
-def masked_tokens(s, d):
-    return Z.masked(Z.tokens(Z.cells(_nation_table(s, d)), TOKENS), TOKENS).select("table_id", "row", "column", "order", "id", "label")
-
-
-@query("token_sequences")
-def token_sequences(s, d):
-    q = Z.sequences(Z.tokens(Z.cells(_nation_table(s, d)), TOKENS), TOKENS)
-    return q.select("table_id", "length", F.array_join("tokens", " ").alias("tokens"), F.array_join("indicator", " ").alias("indicator"))
-
-
-@query("sampled_cells", rf"""SELECT *, (('0x' || substr(md5('43|' || table_id || '|' || "row" || '|' || "column"), 1, 8))::BIGINT / 4294967296.0
-    < CASE WHEN regexp_matches(value, '^\s*[-+]?[\d.,]+%?\s*$') THEN 0.1 ELSE 0.5 END)::INT AS valid FROM ({SHEET})""")
-def sampled_cells(s, d):
-    return Z.sampled_cells(Z.cells(_nation_table(s, d)))
-
-
 @query("pooled_vectors", f"WITH {EMB}, {DIMS} SELECT label, pos::INT AS pos, round(sum(x), 4) AS m FROM dims GROUP BY ALL")
 def pooled_vectors(s, d):
     e = _table(s, d, "embeddings").select(F.lit("t").alias("table_id"), F.col("label").alias("indicator"), F.transform("embedding", lambda x: x.cast("double")).alias("state"))
@@ -982,3 +938,6 @@ def representative_records(s, d):
 @query("projected_vectors")
 def projected_vectors(s, d):
     return _r(N.projected(_table(s, d, "embeddings"), "vec_id"), "x0", "x1", digits=4)
+
+
+from . import sheet_queries  # noqa: E402, F401  its queries use the parts above

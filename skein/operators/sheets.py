@@ -88,12 +88,12 @@ def placed(sheets: DataFrame, rows: int = 256, columns: int = 256) -> DataFrame:
     A tree without a node, or one with too many children in a level, gives way to the cell's own
     column (row) number in the last place, if that level has so many. A tree of more levels than
     a path has leaves all paths empty. A sheet is left out, and no other with it, if a tree can't
-    be read, a node or a leaf's merged region lies outside the sheet, or the sheet is larger than
-    ``rows`` x ``columns``. Of several regions over one cell the first counts, of several nodes
+    be read, a node or a leaf's merged region lies outside the sheet, it has no id, or the sheet is
+    larger than ``rows`` x ``columns``; the first row says how wide it is. Ids tell sheets apart. Of several regions over one cell the first counts, of several nodes
     over one cell the last, depth first.
     """
     height, width = F.size("texts"), F.size(F.try_element_at("texts", F.lit(1)))
-    sized = sheets.where((F.size("texts") > 0)).select(
+    sized = sheets.where((F.size("texts") > 0) & F.col("table_id").isNotNull()).select(
         "table_id", "texts", F.coalesce("regions", F.array().cast(REGION)).alias("regions"), height.alias("height"), width.alias("width"),
         nodes(F.col("top_tree")).alias("top"), nodes(F.col("left_tree")).alias("left"),
     )
@@ -105,21 +105,21 @@ def placed(sheets: DataFrame, rows: int = 256, columns: int = 256) -> DataFrame:
     out = lambda c: ~empty(c) & (low(c) | (c["row_to"] >= F.col("height")) | (c["column_to"] >= F.col("width")))
     bad = [(F.col(side)["state"] == "broken") | F.exists(f"{side}_of", out) for side in ("top", "left")]
     good = sized.where(~(bad[0] | bad[1]))
-    cell = Z.cells(good)
-    for side, along, across in (("top", "column", "row"), ("left", "row", "column")):
-        lines = good.select("table_id", F.explode(f"{side}_of").alias("r")).select("table_id", "r.*")
+    facts = [F.col(f"{side}.state").alias(f"_{side}") for side in ("top", "left")]
+    cell = good.select("table_id", "height", "width", *facts, F.posexplode("texts").alias("row", "line"))
+    cell = cell.select("table_id", "row", F.posexplode("line").alias("column", "value"), "height", "width", "_top", "_left")
+    cell = cell.where(F.col("column") < F.col("width"))
+    none = F.array(*[F.lit(-1)] * LEVELS)
+    for side, along, across, size in (("top", "column", "row", "width"), ("left", "row", "column", "height")):
+        lines = good.select(F.col("table_id").alias("_id"), F.explode(f"{side}_of").alias("r")).select("_id", "r.*")
         lines = lines.where(F.col("row_from") <= F.col("row_to")).where(F.col("column_from") <= F.col("column_to"))
         # Intervals along the header become equal keys; those across it stay a range.
-        lines = lines.select("table_id", F.explode(F.sequence(f"{along}_from", f"{along}_to")).alias(along), F.col(f"{across}_from").alias("_from"), F.col(f"{across}_to").alias("_to"), "path", "order")
-        grid = good.select("table_id", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row"), "width").select("table_id", "row", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("column"))
-        covered = grid.join(lines, ["table_id", along]).where(F.col(across).between(F.col("_from"), F.col("_to")))
-        found = covered.groupBy("table_id", "row", "column").agg(F.max_by("path", "order").alias("_path"))
-        state = good.select("table_id", F.col(f"{side}.state").alias("_state"), F.col("width" if side == "top" else "height").alias("_size"))
-        none = F.array(*[F.lit(-1)] * LEVELS)
-        flat = F.when(F.col("_state").isin("none", "wide") & (F.col("_size") <= DEGREES[-1]), F.array(*[F.lit(-1)] * (LEVELS - 1), F.col(along))).otherwise(none)
-        joined = cell.join(state, "table_id").join(found, ["table_id", "row", "column"], "left")
-        cell = joined.select(*cell.columns, F.coalesce("_path", flat).alias(side))
-    return cell
+        lines = lines.select("_id", F.explode(F.sequence(f"{along}_from", f"{along}_to")).alias("_along"), F.col(f"{across}_from").alias("_from"), F.col(f"{across}_to").alias("_to"), "path", "order")
+        covers = (F.col("_id") == F.col("table_id")) & (F.col("_along") == F.col(along)) & F.col(across).between(F.col("_from"), F.col("_to"))
+        flat = F.when(F.col(f"_{side}").isin("none", "wide") & (F.col(size) <= DEGREES[-1]), F.array(*[F.lit(-1)] * (LEVELS - 1), F.col(along))).otherwise(none)
+        found = cell.join(lines, covers, "left").groupBy(*cell.columns).agg(F.max_by("path", "order").alias("_path"))
+        cell = found.select(*cell.columns, F.coalesce("_path", flat).alias(side))
+    return cell.select("table_id", "row", "column", "value", "top", "left")
 
 
 def pivoted(facts: DataFrame, table_id: str, rows: tuple[str, str], columns: tuple[str, str], value: Column) -> DataFrame:
@@ -128,13 +128,15 @@ def pivoted(facts: DataFrame, table_id: str, rows: tuple[str, str], columns: tup
     and the merged regions of the upper levels. Header values are shown as text, in order."""
     r, c = [F.col(x) for x in rows], [F.col(x) for x in columns]
     body = facts.groupBy(table_id, *rows, *columns).agg(value.cast("string").alias("_v"))
-    side = lambda a, b, start: F.array_sort(F.collect_set(F.struct(a.alias("a"), b.alias("b"))))
-    whole = body.groupBy(table_id).agg(side(*r, 2).alias("r"), side(*c, 2).alias("c"), F.map_from_entries(F.collect_list(F.struct(F.struct(r[0].alias("a"), r[1].alias("b"), c[0].alias("c"), c[1].alias("d")).alias("k"), F.col("_v").alias("v")))).alias("m"))
+    side = lambda a, b: F.array_sort(F.collect_set(F.struct(a.alias("a"), b.alias("b"))))
+    whole = body.groupBy(table_id).agg(side(*r).alias("r"), side(*c).alias("c"), F.map_from_entries(F.collect_list(F.struct(F.struct(r[0].alias("a"), r[1].alias("b"), c[0].alias("c"), c[1].alias("d")).alias("k"), F.col("_v").alias("v")))).alias("m"))
     text = lambda x: F.coalesce(x.cast("string"), F.lit(""))
     blank = F.array(F.lit(""), F.lit(""))
-    first = lambda xs, k: F.transform(xs, lambda x, i: F.when((i == 0) | ~F.get(xs, i - 1)["a"].eqNullSafe(x["a"]), text(x["a"])).otherwise(""))
-    line = lambda x, i: F.concat(F.array(F.get(first(F.col("r"), 0), i), text(x["b"])), F.transform("c", lambda y: text(F.try_element_at(F.col("m"), F.struct(x["a"].alias("a"), x["b"].alias("b"), y["a"].alias("c"), y["b"].alias("d"))))))
-    texts = F.concat(F.array(F.concat(blank, first(F.col("c"), 0)), F.concat(blank, F.transform("c", lambda y: text(y["b"])))), F.transform("r", line))
+    first = lambda xs: F.transform(xs, lambda x, i: F.when((i == 0) | ~F.get(xs, i - 1)["a"].eqNullSafe(x["a"]), text(x["a"])).otherwise(""))
+    whole = whole.withColumns({"_r": first(F.col("r")), "_c": first(F.col("c"))})
+    value = lambda x, y: text(F.try_element_at("m", F.struct(x["a"].alias("a"), x["b"].alias("b"), y["a"].alias("c"), y["b"].alias("d"))))
+    line = lambda x, i: F.concat(F.array(F.get("_r", i), text(x["b"])), F.transform("c", lambda y: value(x, y)))
+    texts = F.concat(F.array(F.concat(blank, "_c"), F.concat(blank, F.transform("c", lambda y: text(y["b"])))), F.transform("r", line))
 
     def groups(name: str) -> Column:
         """(start, stop) of each run of equal first values, in cells."""

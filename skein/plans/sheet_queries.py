@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions import tokens as K
 from ..operators import sheets as H
 from ..operators import tables_etl as Z
+from ..operators.rounds import settled
 from .registry import _table, query
 
 #: Customers of a page, tokens of a window, suppliers of a sheet.
@@ -207,6 +208,7 @@ def header_paths(s, d):
         F.expr(f"l_suppkey div {GROUP}").alias("sheet"), F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q"),
         F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s"), "l_quantity",
     )
-    sheets = H.pivoted(items, "sheet", ("y", "q"), ("f", "s"), F.sum("l_quantity").cast("long"))
+    # Far smaller than the items, and read by three branches of the plan.
+    sheets = settled(H.pivoted(items, "sheet", ("y", "q"), ("f", "s"), F.sum("l_quantity").cast("long")))
     path = lambda c: F.array_join(c, " ").alias(c)
     return H.placed(sheets).select("table_id", "row", "column", "value", path("top"), path("left"))

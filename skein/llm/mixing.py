@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, cut, packed, partitions, table, unpacked, word_count
+from .common import SPACE_CLASS, cut, packed, partitions, salted_join, stored, table, unpacked, word_count
 
 CHUNK = 4096
 
@@ -205,16 +205,15 @@ def mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     mix = mix or Mix()
     rows, parts = _taken(docs, mix)
     piece = F.struct("at", "words", "times")
-    # Repeated rows are told apart by their start in the source's stream.
+    # Repeated rows are told apart by their start in the source's stream, and stay apart.
     chosen = parts.groupBy("doc_id", "hash", "start", "size").agg(F.array_sort(F.collect_set(piece)).alias("_pieces"))
-    chosen = chosen.groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).agg(
-        F.array_sort(F.collect_list(F.struct("start", "size", "_pieces"))).alias("_all")
-    )
-    whole = packed(docs, "doc_id", "text", _hash().alias("_h"))
-    joined = whole.join(chosen, (F.col("_h") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    # The join's partitioning serves the removal of repeated rows as well.
-    joined = joined.dropDuplicates(["_h", "doc_id"])
-    joined = joined.select("text", "_row", F.explode("_all").alias("_one")).select("text", "_row", "_one.*")
+    named = F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")
+    key = ["_none", "_id", "_hash"]
+    chosen = stored(chosen.select(*named, F.col("hash").alias("_hash"), "start", "size", "_pieces"))
+    # One copy of each text, to which every row of its own that is taken is joined.
+    one = packed(docs, *named, _hash().alias("_hash"), F.col("text").alias("text")).dropDuplicates(key)
+    sizes = chosen.groupBy(*key).agg(F.count("*").alias("n"))
+    joined = salted_join(chosen, one, key, sizes, "n", chosen.count(), F.xxhash64("start"))
     joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(mix.cap)))).withColumn(
         "_p", F.filter("_pieces", lambda p: p["times"] >= F.col("_copy"))
     )

@@ -6,14 +6,21 @@ word (sixteen segments) of that vector sends both sides to the grid cells at dis
 most from their own, and pairs that meet in a cell are verified by their exact Hamming distance.
 
 Of 64-bit fingerprints that differ in four bits at most, one half differs in two at most, so the
-two joins find every pair. Wider fingerprints (several longs) take a wider limit, that of a given
-similarity of the shingles: the share of differing bits is the angle between the texts' shingle
-vectors over pi. A pair within it is found if any of its halves is close, which has to be
-measured. Of random fingerprints about 4 pairs in 100,000 meet in a half.
+two joins find every pair.
+
+Documents of a given similarity need wider fingerprints and a wider limit: the share of differing
+bits is the angle between the texts' shingle vectors over pi, so at a similarity of 0.8 some 15% of
+all bits differ, and a half is as close as the grid asks in 15% of the pairs alone. There, pairs
+meet by samples of bits instead: all fingerprints that agree in a sample are a bucket, in the order
+of their bits, and each is compared with the bucket's first; unless both are near that, it is also
+compared with the few before it. One rule holds for buckets of any size, what a bucket links is at
+most ``NEXT`` + 1 rows a member, and the pairs found are verified by their exact distance. Samples
+are as many as are needed for a pair at the limit to agree in one of them, by construction.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import acos, pi
 
 import numpy as np
@@ -22,15 +29,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, packed, partitions, salted_join, stored, table, unpacked
+from .common import MANY, arrow_map, cut, packed, partitions, salted_join, stored, table, unpacked
 from .components import components
 
 BLOCK = 1 << 17
-#: The pipeline's stage: shingles of five words, alike from a Jaccard similarity of 0.8 on.
-#: Bits are counted with an error, so a few more than expected are let pass.
-WIDTH, LONGS, SIMILARITY, SLACK = 5, 3, 0.8, 3
-#: Samples of bits, and fingerprints that agree in one from which on a star joins them.
-SAMPLES, DENSE = 32, 8
+#: The pipeline's stage: shingles of five words, alike from a Jaccard similarity of 0.8 on. The
+#: number of differing bits varies around what is expected, so ``SLACK`` standard deviations more
+#: are let pass.
+WIDTH, LONGS, SIMILARITY, SLACK = 5, 6, 0.8, 1.6
+#: Samples and bits of each. A pair of similarity 0.8 agrees in a sample with a chance of 4.4%, so
+#: in one at least with 94%; two unrelated ones do with 1 in 500,000. A corpus far beyond ten
+#: million documents needs wider samples, and 18% more of them for each bit.
+SAMPLES, BITS, NEXT = 64, 19, 4
+#: Members of a salted part of a hot bucket, and the share of documents by which hot ones are told.
+PART, SHARE = 2_048, 64
 U = np.uint64
 
 
@@ -106,30 +118,70 @@ def _distance(names: list[str]) -> str:
     return " + ".join(f"bit_count(a{f} ^ b{f})" for f in names)
 
 
-def stars(fps: DataFrame, limit: int, total: int) -> DataFrame:
-    """(a, b): links of ``fps`` (``total`` rows node, f0, ...) to the least node among those that
-    agree with them in a sample of bits. Samples are so wide that few fingerprints agree at
-    random; ``DENSE`` or more come from a large group of near copies, all others are left to
-    ``links``. Rows are as many as samples of all fingerprints at most, while all pairs would be
-    the square of a group."""
+def _compared(limit: int, longs: int):
+    """Pairs within ``limit`` of the sorted rows (w, node, f0, ...) of each bucket ``w``, batch by
+    batch: what is kept of the batches before is the bucket's first row and its last few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, node, bits, near = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, longs), U), np.zeros(0, bool)
+        head: tuple | None = None  # the first row of the last bucket
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new_w, new_node = b.column(0).to_numpy(), b.column(1).to_numpy()
+            new_bits = np.stack([b.column(2 + i).to_numpy() for i in range(longs)], axis=1).view(U)
+            k, n = len(w), len(new_w)
+            w, node, bits = np.concatenate([w, new_w]), np.concatenate([node, new_node]), np.concatenate([bits, new_bits])
+            first = np.maximum.accumulate(np.where(np.concatenate([[not k or w[k - 1] != w[k]], new_w[1:] != new_w[:-1]]), np.arange(k, k + n), 0))
+            of_head = first == 0 if k else np.zeros(n, bool)
+            start_node, start_bits = node[first], bits[first]
+            if of_head.any():
+                start_node[of_head], start_bits[of_head] = head
+            close = np.bitwise_count(new_bits ^ start_bits).sum(axis=1) <= limit
+            near = np.concatenate([near, close])
+            found = [(new_node[close & (new_node != start_node)], start_node[close & (new_node != start_node)])]
+            for lag in range(1, NEXT + 1):
+                at = np.arange(max(k, lag), k + n)
+                at = at[(w[at] == w[at - lag]) & ~(near[at] & near[at - lag])]
+                at = at[np.bitwise_count(bits[at] ^ bits[at - lag]).sum(axis=1) <= limit]
+                found.append((node[at], node[at - lag]))
+            head = (start_node[-1], start_bits[-1])
+            w, node, bits, near = w[-NEXT:], node[-NEXT:], bits[-NEXT:], near[-NEXT:]
+            pairs = [np.concatenate(x) for x in zip(*found, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
+
+    return run
+
+
+def alike(fps: DataFrame, limit: int, total: int, samples: int = SAMPLES, bits: int = BITS) -> DataFrame:
+    """(a, b): pairs of ``fps`` (``total`` rows node, f0, ..., no two fingerprints equal) at
+    Hamming distance ``limit`` or less that meet in a bucket, some several times.
+
+    A bucket that holds more than a thousandth of all is told from every 64th fingerprint, and
+    split in parts by a hash; the first ones of its parts are a bucket of their own. So the list
+    of hot buckets is bounded, and a task has no more of one than a part.
+    """
     names = [c for c in fps.columns if c != "node"]
-    draw = np.random.default_rng(SAMPLES)
-    wide = min(64, max(24, total.bit_length() + 4))
+    draw = np.random.default_rng(samples)
 
     def sample(i: int) -> str:
-        bits = np.zeros(64 * len(names), np.uint8)
-        bits[draw.choice(len(bits), wide, replace=False)] = 1
-        masks = np.packbits(bits).view(np.int64).tolist()
-        return f"xxhash64({i}, {', '.join(f'{f} & {m}L' for f, m in zip(names, masks, strict=True))})"
-
-    each = fps.selectExpr("node", f"explode(array({', '.join(map(sample, range(SAMPLES)))})) AS w")
-    dense = cut(each.groupBy("w").agg(F.min("node").alias("b"), F.count("*").alias("n")).where(F.col("n") >= DENSE))
-    members = dense.agg(F.sum("n")).first()[0] or 0
-    near = salted_join(each, dense.drop("n"), ["w"], dense, "n", members, F.col("node"))
-    near = cut(near.where("node <> b").select(F.col("node").alias("a"), "b").distinct())
-    a, b = (fps.selectExpr(f"node AS {k}", *[f"{f} AS {k}{f}" for f in names]) for k in "ab")
-    hubs = near.groupBy("b").agg(F.count("*").alias("n"))
-    return salted_join(near.join(a, "a"), b, ["b"], hubs, "n", near.count(), F.col("a")).where(f"{_distance(names)} <= {limit}").select("a", "b")
+        chosen = np.zeros(64 * len(names), np.uint8)
+        chosen[draw.choice(len(chosen), bits, replace=False)] = 1
+        masks = np.packbits(chosen).view(np.int64).tolist()
+        return f"xxhash64({i}, {', '.join(f'{f} & {m}L' for f, m in zip(names, masks, strict=True) if m)})"
+
+    each = fps.selectExpr(f"explode(array({', '.join(map(sample, range(samples)))})) AS w", "node", *names)
+    some = each.where(f"pmod(xxhash64({', '.join(names)}), {SHARE}) = 0").groupBy("w").count()
+    hot = cut(some.where(F.col("count") > max(8, total // (MANY * SHARE))).select("w", F.expr(f"count * {SHARE} div {PART} + 1").alias("parts")))
+    if hot.limit(1).count():
+        part = F.expr(f"xxhash64(w, pmod(xxhash64(0, {', '.join(names)}), parts))")
+        dealt = each.join(F.broadcast(hot), "w", "left")
+        least = F.min(F.struct(*names, "node")).alias("first")
+        firsts = each.join(F.broadcast(hot), "w").groupBy("w", part.alias("_p")).agg(least)
+        each = dealt.select(F.when(F.col("parts").isNull(), F.col("w")).otherwise(part).alias("w"), "node", *names)
+        each = each.union(firsts.select("w", "first.node", *[f"first.{f}" for f in names]))
+    sorted_rows = each.repartition(partitions(each), "w").sortWithinPartitions("w", *names)
+    return sorted_rows.mapInArrow(_compared(limit, len(names)), "a long, b long")
 
 
 def links(fps: DataFrame, limit: int = 4) -> DataFrame:
@@ -141,24 +193,20 @@ def links(fps: DataFrame, limit: int = 4) -> DataFrame:
     cell of a's counts, else in each cell between them (two at most). Of one long, it is taken
     in the low half if that differs in 2 bits at most; else the high half differs in one at most,
     and a needs no cell but its own there.
-
-    With a column ``star``, pairs of one star are left out, as they are connected already.
     """
-    names = [c for c in fps.columns if c not in ("node", "star")]
-    carried = [c for c in fps.columns if c != "node"]
+    names = [c for c in fps.columns if c != "node"]
     fps = fps.repartition(partitions(fps), "node")
     single = len(names) == 1 and limit == 4
-    apart = "astar <> bstar AND " if "star" in carried else ""
     found = None
     for half in range(2 * len(names)):
         f, side = names[half // 2], half % 2
-        own = fps.selectExpr("node", *carried, f"{_counts(f, side)} AS own")
+        own = fps.selectExpr("node", *names, f"{_counts(f, side)} AS own")
         a, b = (
-            own.selectExpr(f"{cells} AS cell", f"node AS {k}", *[f"{x} AS {k}{x}" for x in carried])
+            own.selectExpr(f"{cells} AS cell", f"node AS {k}", *[f"{x} AS {k}{x}" for x in names])
             for k, cells in (("a", "own" if single and side else f"explode({_cells('own')})"), ("b", f"explode({_cells('own')})"))
         )
         own_a, own_b = _counts(f"a{f}", side), _counts(f"b{f}", side)
-        verify = f"a < b AND {apart}{_distance(names)} <= {limit} AND ({own_a} = cell OR ({own_b} <> cell AND {own_a} <> {own_b}))"
+        verify = f"a < b AND {_distance(names)} <= {limit} AND ({own_a} = cell OR ({own_b} <> cell AND {own_a} <> {own_b}))"
         if single:
             verify += f" AND bit_count((a{f} ^ b{f}) & 4294967295L) {'>' if side else '<='} 2"
         pairs = a.join(b, "cell").where(verify).select("a", "b")
@@ -166,9 +214,11 @@ def links(fps: DataFrame, limit: int = 4) -> DataFrame:
     return found
 
 
-def limit_of(similarity: float, longs: int) -> int:
-    """Differing bits that shingle vectors of this Jaccard similarity are expected to have."""
-    return int(64 * longs * acos(2 * similarity / (1 + similarity)) / pi)
+def limit_of(similarity: float, longs: int, slack: float = SLACK) -> int:
+    """Differing bits that shingle vectors of this Jaccard similarity are expected to have, and
+    ``slack`` standard deviations more."""
+    n, share = 64 * longs, acos(2 * similarity / (1 + similarity)) / pi
+    return int(n * share + slack * (n * share * (1 - share)) ** 0.5)
 
 
 def near_duplicates(
@@ -190,14 +240,7 @@ def near_duplicates(
     classes = rows.groupBy(*names).agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     classes = cut(classes.withColumn("node", node))
     found = classes.select("node", *names)
-    if longs == 1:
-        found = links(found, limit)
-    else:
-        # Near copies have many wide fingerprints, so large groups are joined up by stars first.
-        near = cut(stars(found, limit, classes.count()))
-        star = components(near).withColumnRenamed("node", "member")
-        starred = found.join(star, F.col("node") == F.col("member"), "left").withColumn("star", F.coalesce("root", "node"))
-        found = links(starred.select("node", *names, "star"), limit).union(near)
+    found = links(found, limit) if longs == 1 else alike(found, limit, classes.count())
     joined = components(found).withColumnRenamed("node", "member")
     rooted = classes.join(joined, F.col("node") == F.col("member"), "left")
     rooted = cut(rooted.select(*names, "first", "copies", F.coalesce("root", "node").alias("root")))
@@ -212,7 +255,7 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, longs: int = LONGS, similar
     the one with the smallest doc_id stays (null ids come last; of several texts with that id
     the one of least hash, of rows that repeat it one). Texts without a word are one group. An
     empty table gives an empty result; columns of any name stay."""
-    found = near_duplicates(docs, width=width, longs=longs, limit=limit_of(similarity, longs) + SLACK)
+    found = near_duplicates(docs, width=width, longs=longs, limit=limit_of(similarity, longs))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("f")
     keep = found.groupBy("root").agg(first).select(F.col("f.key").alias("_key"))
     keyed = packed(docs, "doc_id", F.xxhash64("doc_id", "text").alias("_key"))

@@ -114,9 +114,10 @@ def identity_error(x: DataFrame, fit: Fit, most: int) -> float | None:
     if not kept:
         return None
     w = _projected(x, fit, most)
-    mean = list(w.selectExpr(*[f"avg(w{k})" for k in kept]).first())
-    centred = w.selectExpr(f"array({', '.join(f'w{k} - {m!r}D' for k, m in zip(kept, mean, strict=True))}) AS y")
-    cov = centred_products(centred, len(kept), "double").astype(np.float64) / fit.n
+    # A last entry of 1 gives the sums as well: what rounding has left of the means.
+    own = w.selectExpr(f"array({', '.join(f'w{k}' for k in kept)}, 1D) AS y")
+    sums = centred_products(own, len(kept) + 1, "double").astype(np.float64) / fit.n
+    cov = sums[:-1, :-1] - np.outer(sums[:-1, -1], sums[:-1, -1])
     return float(np.abs(cov - np.eye(len(kept))).max())
 
 

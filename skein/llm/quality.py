@@ -104,6 +104,7 @@ def judged(docs: DataFrame, rules: Rules | None = None, text_col: str = "text")
         | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.most_repeated),
     )
     counted = f"transform(_lines, x -> struct(x AS x, regexp_count(x, '{_sql(WORD_CLASS)}') AS n))"
+    every = f"transform(split(_t, '\\n'), x -> struct(x AS x, regexp_count(x, '{_sql(WORD_CLASS)}') AS n))"
     fails = line_fails(rules, "p.x", "p.n")
     df = df.withColumn("_bad", F.expr(f"transform(filter({counted}, p -> {fails}), p -> p.x)"))
     df = df.withColumn(
@@ -116,7 +117,7 @@ def judged(docs: DataFrame, rules: Rules | None = None, text_col: str = "text")
         ),
     )
     clean = F.when(F.size("_bad") == 0, F.col("_text")).otherwise(
-        F.expr("array_join(filter(split(_t, '\\n'), x -> NOT array_contains(_bad, x)), '\\n')")
+        F.expr(f"array_join(transform(filter({every}, p -> NOT (p.n > 0 AND {fails})), p -> p.x), '\\n')")
     )
     new = {k: F.col(k) for k in [*BASE[:-1], "lost"]}
     new |= {"clean_text": clean, "kept": ~F.col("base_failed") & (F.col("lost") <= rules.most_lost)}

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, stored, table
@@ -172,17 +172,19 @@ def searched(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, g: Gra
             yield lo + i, found
 
 
-def _nodes(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(node, v, n): classes of equal usable vectors, by their smallest id, and their sizes.
-    Usable vectors have the length that most have (the longer one in a tie)."""
-    bad = F.exists(vec_col, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    common = vectors.where(F.size(vec_col) > 0).groupBy(F.size(vec_col).alias("d")).agg(F.count("*").alias("k"))
-    common = common.orderBy(F.desc("k"), F.desc("d")).limit(1).collect()
-    vectors = vectors.where(F.size(vec_col) == (common[0]["d"] if common else 0))
-    norm = F.sqrt(F.aggregate(F.col(vec_col), F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
-    usable = vectors.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).where(~bad).where(norm > 0)
+def _scaled(vec_col: str) -> Column:
+    """The vector over its largest component, so that no square leaves the range of doubles; null
+    for one that links with nothing (null, zero, or with a null or a number that isn't finite)."""
     v = F.transform(vec_col, lambda c: c.cast("double"))
-    return usable.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("n"))
+    most = F.array_max(F.transform(v, F.abs))
+    bad = F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    return F.when(~bad & (most > 0), F.transform(v, lambda c: c / most))
+
+
+def _nodes(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(node, v, n): classes of equal usable vectors, by their smallest id, and their sizes."""
+    usable = vectors.select(F.col(id_col).cast("long").alias("id"), _scaled(vec_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    return usable.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("n"))
 
 
 def _assigned(nodes: DataFrame, centre: np.ndarray, g: Graph) -> DataFrame:
@@ -215,34 +217,37 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     """(id, n_links, component_id, kept), a row for each row of ``vectors``.
 
     Vectors that are null, zero, or hold a null or a number that isn't finite link with nothing
-    (0 links, their own component), and so does a row with a null id, or a vector of another
-    length than most have. Rows that repeat an id and a vector count each. Ids are integers.
-    An empty table gives an empty result, and a table of one vector no links.
+    (0 links, their own component), and so does a row with a null id. Vectors of several lengths
+    are linked within each length. Rows that repeat an id and a vector count each. Ids are
+    integers. An empty table gives an empty result, and a table of one vector no links.
     """
     g = graph or Graph()
     nodes = cut(_nodes(vectors, id_col, vec_col))
-    total = nodes.count()
-    if total:
-        rate = min(1.0, g.sample / total)
-        draw = F.pmod(F.xxhash64(F.lit(g.seed), "node"), F.lit(1 << 30)) / float(1 << 30)
-        some = nodes.where(draw < rate).orderBy("node").select("v").limit(int(1.2 * g.sample) + 1).toPandas()
-        few = unit(np.array(some["v"].tolist())) if len(some) else unit(np.array([nodes.first()["v"]]))
-        centre = centroids(few, max(1, min(total // g.shard, len(few) // 8)), g.seed)
-        shards = cut(_assigned(nodes, centre, g))
-        found = _walked(shards, *_united(shards, g), g)
-        total_links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
-        joined = components(found.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")))
-        joined = joined.withColumnRenamed("node", "member")
-        named = nodes.join(total_links, "node", "left").join(joined, F.col("node") == F.col("member"), "left")
-        named = named.select("v", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
-    else:
-        named = nodes.select("v", F.col("n").alias("n_links"), F.col("node").alias("root"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda c: c.cast("double")).alias("w"))
+    named = nodes.select("v", F.col("n").alias("n_links"), F.col("node").alias("root")).where("false")
+    for d, total in sorted(map(tuple, nodes.groupBy(F.size("v")).count().collect())):  # a row for each length
+        named = named.union(_named(nodes.where(F.size("v") == d), total, g))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), _scaled(vec_col).alias("w"))
     joined = rows.join(named, (F.col("w") == F.col("v")) & F.col("id").isNotNull(), "left")
     component = F.coalesce("root", "id")
     return joined.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def _named(nodes: DataFrame, total: int, g: Graph) -> DataFrame:
+    """(v, n_links, root) of ``nodes`` (``total`` rows, of one length)."""
+    rate = min(1.0, g.sample / total)
+    draw = F.pmod(F.xxhash64(F.lit(g.seed), "node"), F.lit(1 << 30)) / float(1 << 30)
+    some = nodes.where(draw < rate).orderBy("node").select("v").limit(int(1.2 * g.sample) + 1).toPandas()
+    few = unit(np.array(some["v"].tolist())) if len(some) else unit(np.array([nodes.first()["v"]]))
+    centre = centroids(few, max(1, min(total // g.shard, len(few) // 8)), g.seed)
+    shards = cut(_assigned(nodes, centre, g))
+    found = _walked(shards, *_united(shards, g), g)
+    total_links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    joined = components(found.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    joined = joined.withColumnRenamed("node", "member")
+    both = nodes.join(total_links, "node", "left").join(joined, F.col("node") == F.col("member"), "left")
+    return both.select("v", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
+
+
 def _lists(near: pa.ChunkedArray, ids: np.ndarray) -> list[np.ndarray]:
     """Lists of ids as places in ``ids``, without what isn't there."""
     flat = near.combine_chunks()
@@ -342,15 +347,19 @@ def audit(vectors: DataFrame, found: DataFrame, id_col: str = "vec_id", vec_col:
     some = nodes.orderBy(F.xxhash64(F.lit(g.seed), "node")).limit(g.audit).select("node", "v").collect()
     if not some:
         return 1.0
-    ids, q = np.array([r["node"] for r in some]), unit(np.array([r["v"] for r in some]))
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, q))
+    asked: dict[int, list] = {}
+    for r in some:
+        asked.setdefault(len(r["v"]), []).append((r["node"], r["v"]))
+    sent = vectors.sparkSession.sparkContext.broadcast({d: (np.array([i for i, _ in x]), unit(np.array([v for _, v in x]))) for d, x in asked.items()})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = sent.value
         for b in batches:
-            if b.num_rows:
-                hit = (unit(np.array(b.column(1).to_pylist())) @ q.T >= g.threshold).T
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hit @ b.column(0).to_numpy())], ["id", "k"])
+            size = b.column(1).value_lengths().to_numpy()
+            for d, (ids, q) in sent.value.items():
+                own = np.flatnonzero(size == d)
+                if len(own):
+                    hit = (unit(np.array(b.column(1).take(pa.array(own)).to_pylist())) @ q.T >= g.threshold).T
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hit @ b.column(0).to_numpy()[own])], ["id", "k"])
 
     true = nodes.select("n", "v").mapInArrow(count, "id long, k long").groupBy("id").agg((F.sum("k") - 1).alias("true"))
     both = true.join(found.select("id", "n_links"), "id").agg(F.sum("true"), F.sum(F.least("true", "n_links"))).first()

@@ -630,10 +630,19 @@ def test_vectors_of_a_dense_third(spark):
     assert vectors.audited(df, found) >= 0.9
 
 
-def test_vectors_of_another_length_link_with_nothing(spark):
-    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.0]), (6, []), (7, [0.0, 1.0])]
-    found = vectors.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    assert {r.id: r.n_links for r in found} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0}
+def test_vectors_link_within_their_length(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.0]), (6, []), (7, [0.0, 1.0]), (8, [-2.0]), (9, [5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = vectors.linked(df)
+    got = {r.id: (r.n_links, r.component_id) for r in found.collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7), 8: (0, 8), 9: (1, 3)}
+    assert vectors.audit(df, found) == 1.0
+
+
+def test_vectors_of_any_magnitude(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.0001e200]), (3, [1e-200, 0.0]), (4, [2e-200, 0.0]), (5, [5e-324, 0.0]), (6, [0.0, 1.7e308]), (7, [0.0, 0.0])]
+    got = {r.id: (r.n_links, r.component_id) for r in vectors.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (0, 6), 7: (0, 7)}
 
 
 def test_vectors_audit_raises(spark):
@@ -791,6 +800,13 @@ def test_clean_text_keeps_repeated_good_lines(spark):
     assert quality.judged(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().clean_text == want
 
 
+def test_quality_of_a_text_of_many_failing_lines(spark):
+    nav = [f"Home | News | Page {i} | More" for i in range(60_000)]
+    good = "This is a line of plain prose that ends as it should."
+    found = quality.judged(spark.createDataFrame([(1, "\n".join([good, "", *nav, good]))], "doc_id long, text string")).first()
+    assert found.clean_text == "\n".join([good, "", good]) and not found.kept
+
+
 def test_quality_odd_rows(odd):
     found = quality.judged(clashing(odd)).collect()
     assert len(found) == len(ODD)

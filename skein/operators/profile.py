@@ -21,17 +21,25 @@ def unpivoted(df: DataFrame, table: str) -> DataFrame:
     return df.select(F.lit(table).alias("table_name"), F.explode(cells).alias("c")).select("table_name", "c.*")
 
 
-def column_entropy(df: DataFrame, table: str) -> DataFrame:
-    """Shannon entropy in bits of each column's values; nulls are left out. The counts are
-    partially aggregated before the one shuffle."""
-    counts = unpivoted(df, table).where("value IS NOT NULL").groupBy("table_name", "column_name", "value").count()
+def _entropy(cells: DataFrame) -> DataFrame:
+    """Shannon entropy in bits of each column's values; nulls are left out. Long values are
+    counted by their digest, and counts are partially aggregated before the one shuffle."""
+    short = F.when(F.length("value") > 32, F.md5("value")).otherwise(F.col("value")).alias("value")
+    counts = cells.where("value IS NOT NULL").select("table_name", "column_name", short).groupBy("table_name", "column_name", "value").count()
     # -sum(p log p) = log n - sum(c log c) / n
     h = F.log2(F.sum("count").cast("double")) - F.sum(F.col("count") * F.log2(F.col("count").cast("double"))) / F.sum("count")
     return counts.groupBy("table_name", "column_name").agg(F.greatest(h, F.lit(0.0)).alias("entropy"))
 
 
+def column_entropy(df: DataFrame, table: str) -> DataFrame:
+    """(table_name, column_name, entropy) of one table's columns."""
+    return _entropy(unpivoted(df, table))
+
+
 def entropies(catalog: Catalog, tables: list[str]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [column_entropy(catalog.scan(t), t) for t in tables])
+    """``column_entropy`` of all tables: their cells are put together first, so they share one
+    shuffle."""
+    return _entropy(reduce(DataFrame.unionByName, [unpivoted(catalog.scan(t), t) for t in tables]))
 
 
 def information_content(entropy: DataFrame, row_counts: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import DEGREES
+from ..functions.text import DEGREES, tree_index
 from . import tables_etl as Z
 
 LEVELS = len(DEGREES)
@@ -224,12 +224,12 @@ def cell_kinds(token_rows: DataFrame) -> DataFrame:
 
 def marked(
     cell: DataFrame, header_rows: int, header_columns: int, text_rate: float = 0.5, value_rate: float = 0.1,
-    rate: float = 0.2, most: int = 20, blank_rate: float = 0.3, seed: int = 43,
+    rate: float = 0.2, most: int = 20, blank_rate: float = 0.3, seed: int = 43, always: Column | None = None,
 ) -> DataFrame:
     """``cell`` (of ``cell_kinds``) with ``mark``: left out, plain, blank or hidden.
 
     Empty cells are left out; of the others headers stay, and data by chance: text at
-    ``text_rate``, any with a number at ``value_rate``. At most ``most`` cells of a table, and
+    ``text_rate``, any with a number at ``value_rate``, all for which ``always`` holds (such as a label that is to be learned). At most ``most`` cells of a table, and
     ``rate`` of its weight (a text cell weighs 2, one of numbers 1), are blanked or hidden,
     numbers never. Hidden ones are drawn first, two fifths to three fifths of that. Blanks are
     drawn without replacement from each header row, each header column, their corner and the
@@ -239,6 +239,8 @@ def marked(
     key = ("table_id", "row", "column")
     in_header = (F.col("row") < header_rows) | (F.col("column") < header_columns)
     chance = Z._chance(*key, seed=seed)
+    if always is not None:
+        in_header = in_header | F.coalesce(always, F.lit(False))
     taken = (F.col("kind") > 0) & (in_header | (chance < F.when(F.col("kind") == 2, text_rate).otherwise(value_rate)))
     weight = F.when(~taken, 0).when(F.col("kind") == 1, 1).otherwise(2)
     share = 0.4 + Z._chance("table_id", F.lit("share"), seed=seed) / 5
@@ -352,3 +354,119 @@ def assembled(
     joined = [F.concat(F.array(F.lit(head[c]).cast("long")), F.flatten(f"all.{c}").cast("array<long>")).alias(c) for c in names]
     out = whole.select("table_id", *joined)
     return out.select("table_id", F.size("tokens").alias("length"), *names).where(F.col("length") <= most)
+
+
+def titled(cell: DataFrame, titles: DataFrame, vocabulary: dict[str, int], most: int = 256, context: int = 7) -> DataFrame:
+    """(table_id, length, tokens, indicator, rows, columns): sequences to tell a table's type by.
+
+    After the start token come ``context`` tokens of the title (``titles``: table_id, ids,
+    separator first; a table may have none), then every cell of ``cell`` (``cell_kinds``) that
+    isn't empty, in reading order. Longer sequences than ``most`` are left out."""
+    plain = cell.withColumn("mark", F.when(F.col("kind") > 0, PLAIN).otherwise(LEFT_OUT))
+    first = titles.select("table_id", F.lit(0).alias("k"), "ids")
+    return assembled(plain, vocabulary, first, most, 0, context).select("table_id", "length", "tokens", "indicator", "rows", "columns")
+
+
+def batches(sequences: DataFrame, size: int, fill: dict[str, int], multiple: int = 8, seed: int = 43) -> DataFrame:
+    """``sequences`` (table_id, length, arrays) with ``batch`` and ``width``, each array in ``fill``
+    padded with its value there to the batch's width: its longest length, rounded up to a
+    multiple.
+
+    Batches have ``size`` sequences of nearly one length, so little is padding. They are numbered
+    along one order of all sequences, by length and a seeded hash: parts of that order are
+    counted, offsets of parts added up (parts are as many as lengths times 256 at most), and only
+    a part is sorted in one task.
+    """
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("table_id").cast("string")))
+    each = sequences.withColumn("_draw", draw).withColumn("_part", F.substring("_draw", 1, 2))
+    parts = each.groupBy("length", "_part").agg(F.count("*").alias("_n"))
+    parts = parts.withColumn("_base", F.sum("_n").over(Window.orderBy("length", "_part")) - F.col("_n")).drop("_n")
+    rank = F.row_number().over(Window.partitionBy("length", "_part").orderBy("_draw", "table_id")) - 1
+    numbered = each.withColumn("_rank", rank).join(parts, ["length", "_part"])
+    numbered = numbered.withColumn("batch", F.floor((F.col("_base") + F.col("_rank")) / size).cast("long"))
+    longest = F.max("length").over(Window.partitionBy("batch"))
+    out = numbered.withColumn("width", (F.ceil(longest / multiple) * multiple).cast("int"))
+    padded = {c: F.concat(c, F.array_repeat(F.lit(v).cast("long"), F.col("width") - F.size(c))) for c, v in fill.items()}
+    return out.withColumns(padded).select(*sequences.columns, "batch", "width")
+
+
+def room_for(counts: dict[int, int], most: int) -> list[tuple[int, int, int, int]]:
+    """(length, from, to, new length): ranks of strings that move to a shorter length, which has
+    fewer than ``most`` of its own: longest strings first, to the nearest length with room."""
+    room = {n: max(0, most - c) for n, c in counts.items()}
+    out = []
+    for n in sorted(counts, reverse=True):
+        rank = most
+        for k in range(n - 1, min(counts) - 1, -1):
+            moved = min(counts[n] - rank, room.get(k, 0))
+            if moved > 0:
+                out.append((n, rank, rank + moved, k))
+                rank, room[k] = rank + moved, room[k] - moved
+    return out
+
+
+def string_repository(strings: DataFrame, most: int = 500, shortest: int = 2, longest: int = 8, seed: int = 43) -> DataFrame:
+    """(length, id, ids): up to ``most`` token strings of each length, from ``strings`` (id, ids).
+
+    Strings of fewer tokens than ``shortest`` are left out, longer ones than ``longest`` are cut.
+    Each length keeps those with the least seeded hashes; what is left over goes on to shorter
+    lengths that have room, by a piece of it at a seeded offset. The samples are bounded and
+    mergeable: parts of a length keep their least hashes first, so no task sorts a whole one, and
+    the driver gets one number a length.
+    """
+    lengths = longest - shortest + 1
+    own = strings.where(F.size("ids") >= shortest).select(F.least(F.size("ids"), F.lit(longest)).alias("n"), "id", F.slice("ids", 1, longest).alias("ids"))
+    own = own.withColumn("draw", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))))
+    counts = {n: 0 for n in range(shortest, longest + 1)} | {r[0]: r[1] for r in own.groupBy("n").count().collect()}
+    part = F.substring("draw", 3, 2)
+    nth = lambda w: F.row_number().over(w.orderBy("draw", "id")) - 1
+    least = own.withColumn("_p", part).withColumn("_k", nth(Window.partitionBy("n", "_p"))).where(F.col("_k") < most * lengths).drop("_p", "_k")
+    ranked = least.withColumn("k", nth(Window.partitionBy("n"))).where(F.col("k") < most * lengths)
+    moves = room_for(counts, most)
+    target = F.when(F.col("k") < most, F.col("n"))
+    for n, lo, hi, new in moves:
+        target = target.when((F.col("n") == n) & (F.col("k") >= lo) & (F.col("k") < hi), new)
+    kept = ranked.withColumn("length", target).where("length IS NOT NULL")
+    spare = F.size("ids") - F.col("length") + 1
+    offset = F.pmod(F.conv(F.substring("draw", 9, 8), 16, 10).cast("long"), spare).cast("int") + 1
+    return kept.select("length", "id", F.slice("ids", offset, F.col("length")).alias("ids"))
+
+
+#: Distance that separates what mustn't see each other. Fixed value.
+FAR = 100
+
+
+def _bits(path: Column) -> Column:
+    """A path's nodes as a bit map over all nodes of all levels, in longs."""
+    index = F.filter(tree_index(path), lambda i: i < sum(DEGREES))
+    word = lambda w: F.aggregate(F.filter(index, lambda i: F.floor(i / 64) == w), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int"))))
+    return F.array(*[word(w) for w in range(-(-sum(DEGREES) // 64))])
+
+
+def attention(tokens: DataFrame, both: str = "max") -> DataFrame:
+    """(table_id, place, distances): how far each token of a sequence is from every other, in
+    order of their places; ``tokens`` has (table_id, place, indicator, top, left).
+
+    Two cells are as far as the nodes that only one of their header paths has, in the top tree or
+    the left one, the larger of both (or their sum: ``both`` = "add"). The start token (indicator
+    -1) is near all, padding (0) is ``FAR`` from all. Only separators of cells (odd, above 0) see
+    each other as they are; any other pair is ``FAR`` + 1 times as far, so a token sees what has no
+    distance from it, its own cell. A row has an array, so pairs of tokens are never joined;
+    sequences, not tables, must fit in a task.
+    """
+    bits = tokens.select("table_id", "place", "indicator", _bits(F.col("top")).alias("top"), _bits(F.col("left")).alias("left"))
+    item = F.struct("place", "indicator", "top", "left")
+    whole = bits.groupBy("table_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    each = whole.select("table_id", F.explode("all").alias("a"), "all")
+    apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, n: a + n)
+    separator = lambda i: (i > 0) & (i % 2 == 1)
+
+    def distance(b: Column) -> Column:
+        a = F.col("a")
+        top, left = apart(a["top"], b["top"]), apart(a["left"], b["left"])
+        far = F.greatest(top, left) if both == "max" else top + left
+        i, j = a["indicator"], b["indicator"]
+        far = F.when((i == -1) | (j == -1), 0).otherwise(far) + F.when((i == 0) | (j == 0), FAR).otherwise(0)
+        return (far * F.when(separator(i) & separator(j), 1).otherwise(FAR + 1)).cast("int")
+
+    return each.select("table_id", "a.place", F.transform("all", distance).alias("distances"))

@@ -3,7 +3,7 @@ and sums of line items by supplier with headers of two levels."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -48,15 +48,21 @@ def document_tokens(s: SparkSession, d: str) -> DataFrame:
 
 # Pages of customers
 
-CELLS = f"""pages AS (SELECT 'page-' || (c_custkey // {PAGE}) AS table_id, row_number() OVER (PARTITION BY c_custkey // {PAGE} ORDER BY c_custkey)::INT AS r,
+
+
+def cells_sql(page: int = PAGE) -> str:
+    return f"""pages AS (SELECT 'page-' || (c_custkey // {page}) AS table_id, row_number() OVER (PARTITION BY c_custkey // {page} ORDER BY c_custkey)::INT AS r,
     [c_custkey::VARCHAR, c_name, c_acctbal::VARCHAR, c_mktsegment] AS line FROM customer),
 lines AS (SELECT * FROM pages UNION ALL SELECT DISTINCT table_id, 0, {list(HEADER)} FROM pages),
 cells AS (SELECT table_id, r AS "row", unnest(range(4))::INT AS "column", unnest(line) AS value FROM lines)"""
 
 
-def _pages(s: SparkSession, d: str) -> DataFrame:
+CELLS = cells_sql()
+
+
+def _pages(s: SparkSession, d: str, size: int = PAGE) -> DataFrame:
     line = F.array(F.col("c_custkey").cast("string"), "c_name", F.col("c_acctbal").cast("string"), "c_mktsegment")
-    page = F.concat(F.lit("page-"), F.expr(f"c_custkey div {PAGE}").cast("string")).alias("table_id")
+    page = F.concat(F.lit("page-"), F.expr(f"c_custkey div {size}").cast("string")).alias("table_id")
     body = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "line"))), lambda x: x["line"])
     rows = _table(s, d, "customer").select(page, "c_custkey", line.alias("line"))
     return rows.groupBy("table_id").agg(F.concat(F.array(F.array(*map(F.lit, HEADER))), body).alias("texts"))
@@ -70,7 +76,7 @@ def sheet_cells(s, d):
 _FIRST = "CASE " + " ".join(f"WHEN starts_with(w, '{x}') THEN '{x}'" for x in ("customer", *HEADER)) + " ELSE w[1] END"
 _VOCABULARY = f"vocabulary AS (SELECT {list(TOKENS)} AS v)"
 _ID = "list_position(v, {0}) - 1"
-TOKEN_SQL = f"""{CELLS}, {_VOCABULARY},
+_TOKENS_OF_CELLS = f"""{_VOCABULARY},
 words AS (SELECT table_id, "row", "column", unnest({words_sql("value")}) AS w, generate_subscripts({words_sql("value")}, 1) AS k FROM cells),
 cut AS (SELECT *, w[1] BETWEEN '0' AND '9' AS number, list_prepend({_FIRST}, list_transform(string_split(substr(w, length({_FIRST}) + 1), ''), lambda c: '##' || c)) AS p,
     list_filter(string_split(w, '.'), lambda y: y <> '') AS q FROM words),
@@ -85,9 +91,11 @@ tokens AS (SELECT table_id, "row", "column", o AS "order", token, ({_ID.format("
     (CASE WHEN number THEN least(10, CASE WHEN len(q) = 1 THEN 0 ELSE length(q[2]) END) ELSE 11 END)::INT AS precision,
     (CASE WHEN number THEN q[1][1]::INT ELSE 11 END)::INT AS first, (CASE WHEN number THEN q[-1][-1]::INT ELSE 11 END)::INT AS last FROM numbered, vocabulary WHERE o < 8)"""
 
+TOKEN_SQL = f"{CELLS}, {_TOKENS_OF_CELLS}"
+
 
-def _page_tokens(s: SparkSession, d: str) -> DataFrame:
-    return Z.tokens(Z.cells(_pages(s, d)), TOKENS)
+def _page_tokens(s: SparkSession, d: str, size: int = PAGE) -> DataFrame:
+    return Z.tokens(Z.cells(_pages(s, d, size)), TOKENS)
 
 
 @query("sheet_tokens", f"WITH {TOKEN_SQL} SELECT * FROM tokens")
@@ -186,6 +194,49 @@ def table_sequences(s, d):
     return out.select("table_id", "length", *[F.array_join(c, " ").alias(c) for c in ("tokens", "indicator", "labels", "blanks", "choices")])
 
 
+SEQUENCE_SQL = f"""{TOKEN_SQL}, seqs AS (SELECT table_id, (count(*) + 1)::INT AS length, list_prepend({TOKENS[Z.CLS]}, list(id ORDER BY "row", "column", "order")) AS tokens FROM tokens GROUP BY table_id)"""
+
+
+@query(
+    "padded_batches",
+    f"""WITH {SEQUENCE_SQL}, n AS (SELECT *, (row_number() OVER (ORDER BY length, md5('43|' || table_id)) - 1) // 8 AS batch FROM seqs WHERE length <= 2048),
+    w AS (SELECT *, (ceil(max(length) OVER (PARTITION BY batch) / 8.0) * 8)::INT AS width FROM n)
+    SELECT table_id, length, batch, width, array_to_string(list_concat(tokens, list_transform(range(width - length), lambda x: 0)), ' ') AS tokens FROM w""",
+)
+def padded_batches(s, d):
+    seqs = Z.sequences(_page_tokens(s, d), TOKENS).select("table_id", "length", F.col("tokens").cast("array<long>").alias("tokens"))
+    return H.batches(seqs, 8, {"tokens": 0}).withColumn("tokens", F.array_join("tokens", " "))
+
+
+#: Customers of a small page.
+SMALL = 8
+
+
+@query(
+    "titled_sequences",
+    f"""WITH {cells_sql(SMALL)}, {_TOKENS_OF_CELLS},
+    full_cells AS (SELECT table_id, "row", "column", dense_rank() OVER (PARTITION BY table_id ORDER BY "row", "column") AS n, "order", id FROM tokens
+        SEMI JOIN (SELECT table_id, "row", "column" FROM tokens WHERE token NOT IN ('[SEP]', '[EMP]')) USING (table_id, "row", "column")),
+    titles AS (SELECT table_id, list(id ORDER BY "order")[2:8] AS t FROM tokens WHERE "row" = 1 AND "column" = 3 GROUP BY table_id),
+    body AS (SELECT table_id, list(id ORDER BY n, "order") AS ids, list(2 * (n + 1) - CASE WHEN "order" = 0 THEN 1 ELSE 0 END ORDER BY n, "order") AS ind FROM full_cells GROUP BY table_id)
+    SELECT table_id, (1 + len(t) + len(ids))::INT AS length, array_to_string(list_concat([{TOKENS[Z.CLS]}], t, ids), ' ') AS tokens,
+    array_to_string(list_concat([-1], list_transform(t, lambda x: -2), ind), ' ') AS indicator FROM body JOIN titles USING (table_id) WHERE 1 + len(t) + len(ids) <= 256""",
+)
+def titled_sequences(s, d):
+    """Small pages, titled by the segment of their first customer."""
+    cells = H.cell_kinds(_page_tokens(s, d, SMALL))
+    titles = cells.where("row = 1 AND column = 3").select("table_id", "ids")
+    return H.titled(cells, titles, TOKENS).select("table_id", "length", *[F.array_join(c, " ").alias(c) for c in ("tokens", "indicator")])
+
+
+@query("string_repository")
+def string_repository(s, d):
+    """Names of parts as token strings, a bounded sample of each length."""
+    names = _table(s, d, "part").select(F.col("p_partkey").alias("table_id"), F.lit(0).alias("row"), F.lit(0).alias("column"), F.concat_ws(" ", "p_name", "p_type").alias("value"))
+    strings = H.cell_kinds(Z.tokens(names, TOKENS, 33)).select(F.col("table_id").alias("id"), F.slice("ids", 2, 32).alias("ids"))
+    return H.string_repository(strings).select("length", "id", F.array_join("ids", " ").alias("ids"))
+
+
 # Sums of line items with headers of two levels
 
 _SIDE = """{0} AS (SELECT DISTINCT sheet, {1} AS a, {2} AS b FROM facts), {0}s AS (SELECT sheet, a, b, (row_number() OVER (PARTITION BY sheet ORDER BY a, b) + 1)::INT AS at,
@@ -194,21 +245,47 @@ _SIDE = """{0} AS (SELECT DISTINCT sheet, {1} AS a, {2} AS b FROM facts), {0}s A
 _PATH = """CASE WHEN {0}.i IS NULL THEN '-1 -1 -1 -1' WHEN {1}.at >= 1 THEN '-1 -1 ' || {0}.i || ' ' || {0}.j WHEN {0}.j = 0 THEN '-1 -1 ' || {0}.i || ' -1' ELSE '-1 -1 -1 -1' END"""
 
 
-@query(
-    "header_paths",
-    f"""WITH facts AS (SELECT l_suppkey // {GROUP} AS sheet, year(l_shipdate)::INT AS y, quarter(l_shipdate)::INT AS q, l_returnflag AS f, l_linestatus AS s, sum(l_quantity)::BIGINT AS v FROM lineitem GROUP BY ALL),
-{_SIDE.format("r", "y", "q")}, {_SIDE.format("c", "f", "s")}
-SELECT r.sheet::VARCHAR AS table_id, r.at AS "row", c.at AS "column", CASE WHEN r.at = 0 THEN CASE WHEN c.j = 0 THEN c.a ELSE '' END WHEN r.at = 1 THEN coalesce(c.b, '')
+HEADER_SQL = f"""facts AS (SELECT l_suppkey // {GROUP} AS sheet, year(l_shipdate)::INT AS y, quarter(l_shipdate)::INT AS q, l_returnflag AS f, l_linestatus AS s, sum(l_quantity)::BIGINT AS v FROM lineitem GROUP BY ALL),
+{_SIDE.format("r", "y", "q")}, {_SIDE.format("c", "f", "s")},
+placed AS (SELECT r.sheet::VARCHAR AS table_id, r.at AS "row", c.at AS "column", CASE WHEN r.at = 0 THEN CASE WHEN c.j = 0 THEN c.a ELSE '' END WHEN r.at = 1 THEN coalesce(c.b, '')
     WHEN c.at = 0 THEN CASE WHEN r.j = 0 THEN r.a::VARCHAR ELSE '' END WHEN c.at = 1 THEN r.b::VARCHAR ELSE coalesce(v::VARCHAR, '') END AS value,
     {_PATH.format("c", "r")} AS top, {_PATH.format("r", "c")} AS "left"
-FROM r_all r JOIN c_all c ON r.sheet = c.sheet LEFT JOIN facts f ON f.sheet = r.sheet AND f.y = r.a AND f.q = r.b AND f.f = c.a AND f.s = c.b""",
-)
-def header_paths(s, d):
+FROM r_all r JOIN c_all c ON r.sheet = c.sheet LEFT JOIN facts f ON f.sheet = r.sheet AND f.y = r.a AND f.q = r.b AND f.f = c.a AND f.s = c.b)"""
+
+
+def _placed(s: SparkSession, d: str) -> DataFrame:
     items = _table(s, d, "lineitem").select(
         F.expr(f"l_suppkey div {GROUP}").alias("sheet"), F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q"),
         F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s"), "l_quantity",
     )
     # Far smaller than the items, and read by three branches of the plan.
     sheets = settled(H.pivoted(items, "sheet", ("y", "q"), ("f", "s"), F.sum("l_quantity").cast("long")))
+    return H.placed(sheets)
+
+
+@query("header_paths", f"WITH {HEADER_SQL} SELECT * FROM placed")
+def header_paths(s, d):
     path = lambda c: F.array_join(c, " ").alias(c)
-    return H.placed(sheets).select("table_id", "row", "column", "value", path("top"), path("left"))
+    return _placed(s, d).select("table_id", "row", "column", "value", path("top"), path("left"))
+
+
+_AWAY = " + ".join("CASE WHEN a.{0}[%d] = b.{0}[%d] THEN 0 ELSE (a.{0}[%d] >= 0)::INT + (b.{0}[%d] >= 0)::INT END" % (k, k, k, k) for k in range(1, 5))
+
+
+@query(
+    "attention_distances",
+    f"""WITH {HEADER_SQL}, cells AS (SELECT table_id, row_number() OVER (PARTITION BY table_id ORDER BY "row", "column") AS n, string_split(top, ' ')::INT[] AS t, string_split("left", ' ')::INT[] AS l FROM placed WHERE value <> ''),
+    tokens AS (SELECT table_id, 2 * n - 1 + k AS place, 2 * n - 1 + k AS i, t, l FROM cells, (VALUES (0), (1)) s(k) UNION ALL SELECT DISTINCT table_id, 0, -1, [-1, -1, -1, -1], [-1, -1, -1, -1] FROM cells),
+    pairs AS (SELECT a.table_id, a.place, b.place AS other, CASE WHEN a.i = -1 OR b.i = -1 THEN 0 ELSE greatest({_AWAY.format("t")}, {_AWAY.format("l")}) END * CASE WHEN a.i > 0 AND b.i > 0 AND a.i % 2 = 1 AND b.i % 2 = 1 THEN 1 ELSE 101 END AS d
+        FROM tokens a JOIN tokens b USING (table_id))
+    SELECT table_id, place::BIGINT AS place, sum(d)::BIGINT AS total, md5(string_agg(d, ' ' ORDER BY other)) AS digest FROM pairs GROUP BY table_id, place""",
+)
+def attention_distances(s, d):
+    """Sums by supplier as sequences: a start token, and two tokens for each cell with a value."""
+    cells = _placed(s, d).where("value <> ''").withColumn("n", F.row_number().over(Window.partitionBy("table_id").orderBy("row", "column")))
+    tokens = cells.select("table_id", F.explode(F.array(2 * F.col("n") - 1, 2 * F.col("n"))).alias("place"), "top", "left")
+    start = cells.select("table_id").distinct().select("table_id", F.lit(0).alias("place"), *[F.array(*[F.lit(-1)] * 4).alias(c) for c in ("top", "left")])
+    tokens = tokens.unionByName(start).withColumn("indicator", F.when(F.col("place") == 0, -1).otherwise(F.col("place")))
+    found = H.attention(tokens)
+    total = F.aggregate("distances", F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select("table_id", F.col("place").cast("long").alias("place"), total.alias("total"), F.md5(F.array_join("distances", " ")).alias("digest"))

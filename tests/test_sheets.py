@@ -252,3 +252,62 @@ def test_sequences_equal_a_plain_version(spark):
     alone = H.assembled(cells.where("table_id = 't0'"), VOCABULARY).collect()
     assert len(alone) == 1 and alone[0].tokens[0] == 4 and set(alone[0].choices) == {-1}
     assert H.assembled(cells.where("false"), VOCABULARY, snip).collect() == []
+
+
+def test_batches_pad_little(spark):
+    draw = random.Random(2)
+    rows = [(f"t{i}", n, [1] * n, [2] * n) for i in range(100) for n in [draw.randint(1, 90)]]
+    df = spark.createDataFrame(rows, "table_id string, length int, tokens array<long>, labels array<long>")
+    found = H.batches(df, 8, {"tokens": 0, "labels": -1}).collect()
+    groups = defaultdict(list)
+    for r in found:
+        groups[r.batch].append(r)
+        assert r.tokens == [1] * r.length + [0] * (r.width - r.length) and r.labels == [2] * r.length + [-1] * (r.width - r.length)
+    assert sorted(groups) == list(range(13)) and [len(groups[k]) for k in sorted(groups)] == [8] * 12 + [4]
+    assert all(g[0].width == -(-max(r.length for r in g) // 8) * 8 for g in groups.values())
+    for k in range(12):
+        assert max(r.length for r in groups[k]) <= min(r.length for r in groups[k + 1])
+    again = {r.table_id: r.batch for r in H.batches(df.repartition(5), 8, {}).collect()}
+    assert again == {r.table_id: r.batch for r in found} and H.batches(df.where("false"), 8, {}).count() == 0
+
+
+def plain_repository(strings, most):
+    import hashlib
+
+    draw = lambda i: hashlib.md5(f"43|{i}".encode()).hexdigest()
+    pools = defaultdict(list)
+    for i, ids in strings:
+        if len(ids) >= 2:
+            pools[min(8, len(ids))].append((draw(i), i, ids[:8]))
+    out = {n: [(x[1], x[2]) for x in sorted(pools[n])[:most]] for n in range(2, 9)}
+    for n in range(8, 1, -1):
+        for d, i, ids in sorted(pools[n])[most:]:
+            k = next((k for k in range(n - 1, 1, -1) if len(out[k]) < most), None)
+            if k is not None:
+                at = int(d[8:16], 16) % (len(ids) - k + 1)
+                out[k].append((i, ids[at : at + k]))
+    return sorted((n, i, ids) for n, rows in out.items() for i, ids in rows)
+
+
+@pytest.mark.parametrize("most", [1, 5, 30, 500])
+def test_repository_equals_a_plain_version(spark, most):
+    draw = random.Random(most)
+    strings = [(i, [draw.randint(0, 99) for _ in range(draw.choice([0, 1, 2, 5, 5, 5, 8, 9, 20]))]) for i in range(400)]
+    df = spark.createDataFrame(strings, "id long, ids array<int>")
+    assert sorted((r.length, r.id, r.ids) for r in H.string_repository(df, most).collect()) == plain_repository(strings, most)
+    assert H.string_repository(df.where("false"), most).collect() == []
+
+
+def test_attention(spark):
+    draw = random.Random(4)
+    path = lambda: [draw.choice([-1, 0, 31]), draw.choice([-1, 1]), draw.choice([-1, 63]), draw.choice([-1, 0, 255])]
+    rows = [("t", k, i, path() if i else NONE, path() if i else NONE) for k, i in enumerate([-1, -2, 1, 2, 3, 4, 4, -5, -6, 0, 0])]
+    nodes = lambda p: {(k, x) for k, x in enumerate(p) if x >= 0}
+    for both, join in (("max", max), ("add", lambda x, y: x + y)):
+        found = {r.place: r.distances for r in H.attention(spark.createDataFrame(rows, "table_id string, place int, indicator int, top array<int>, left array<int>"), both).collect()}
+        for _, a, i, t, l in rows:
+            for _, b, j, u, m in rows:
+                want = 0 if -1 in (i, j) else join(len(nodes(t) ^ nodes(u)), len(nodes(l) ^ nodes(m)))
+                want += 100 * (0 in (i, j))
+                want *= 1 if i > 0 and j > 0 and i % 2 and j % 2 else 101
+                assert found[a][b] == want

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import settled
+
 
 def key_columns(foreign_keys: DataFrame) -> DataFrame:
     """(table_name, fk_columns): key columns, counted once for each key that has them."""
@@ -31,19 +32,28 @@ def reference_groups(references: DataFrame, foreign_keys: DataFrame) -> DataFram
 
 def entity_tables(ranked: DataFrame, references: DataFrame, neighbours: DataFrame) -> DataFrame:
     """(table_name): taken greedily by position, each removing its neighbours; reference tables
-    and those without a neighbour are never taken. Catalog-sized, in one grouped call."""
-    free = ranked.join(references, "table_name", "left_anti").join(neighbours.select("table_name").distinct(), "table_name", "left_semi")
-    rows = free.join(neighbours.groupBy("table_name").agg(F.collect_set("neighbour").alias("near")), "table_name")
+    and those without a neighbour are never taken.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, gone = [], set()
-        for r in pdf.sort_values("position").itertuples():
-            if r.table_name not in gone:
-                taken.append(r.table_name)
-                gone.update(r.near, [r.table_name])
-        return pd.DataFrame({"table_name": taken})
-
-    return rows.select("table_name", "position", "near").groupBy().applyInPandas(run, "table_name string")
+    The greedy order is a matter of neighbours alone: a round takes every table that comes before
+    all its neighbours that are left, and removes theirs. Rounds are joins, as many as the longest
+    chain of tables that wait for each other; ties of a position go by name.
+    """
+    free = ranked.join(references, "table_name", "left_anti").join(neighbours.select("table_name").distinct(), "table_name", "left_semi")
+    left = settled(free.select("table_name", "position"))
+    other = left.select(F.col("table_name").alias("neighbour"))
+    pairs = neighbours.where("table_name <> neighbour").select("table_name", "neighbour").distinct()
+    pairs = settled(pairs.join(left, "table_name", "left_semi").join(other, "neighbour", "left_semi").select("table_name", "neighbour"))
+    taken = left.select("table_name").where("false")
+    while left.limit(1).count():
+        at = left.select(F.col("table_name").alias("neighbour"), F.struct("position", F.col("table_name").alias("name")).alias("at"))
+        least = pairs.join(at, "neighbour").groupBy("table_name").agg(F.min("at").alias("least"))
+        first = F.coalesce(F.struct("position", F.col("table_name").alias("name")) < F.col("least"), F.lit(True))
+        now = settled(left.join(least, "table_name", "left").select("table_name", "position", first.alias("first")))
+        new = now.where("first").select("table_name")
+        taken = taken.union(new)
+        removed = pairs.join(new, "table_name").select(F.col("neighbour").alias("table_name")).distinct()
+        left = settled(now.where("NOT first").join(removed, "table_name", "left_anti").select("table_name", "position"))
+    return taken
 
 
 def detail_tables(entities: DataFrame, references: DataFrame, foreign_keys: DataFrame, primary: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""From sheets and web tables to token sequences: header trees, formats, tokens, masks.
+"""From sheets and web tables to token sequences: cells, formats, tokens, masks.
 
 A table is (table_id, texts, regions, tree JSON); its cells and tokens are rows. Text rules that
 built-in functions can't express run in Arrow-batched pandas functions.
@@ -6,11 +6,9 @@ built-in functions can't express run in Arrow-batched pandas functions.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +17,6 @@ from ..functions import text as T
 from ..functions import tokens as K
 
 UNKNOWN, SEPARATOR, EMPTY, MASK, CLS, VALUE = "[UNK]", "[SEP]", "[EMP]", "[MASK]", "[CLS]", "[VAL]"
-LEVELS = 4
-TREE_SCHEMA = "row int, column int, position array<int>"
 
 
 def cells(tables: DataFrame) -> DataFrame:
@@ -52,40 +48,6 @@ def merged_cells(cell: DataFrame, regions: DataFrame) -> DataFrame:
     return joined.select(*cell.columns, F.coalesce("r.row_from", "row").alias("first_row"), F.coalesce("r.column_from", "column").alias("first_column"))
 
 
-def tree_positions(tree: dict | None, levels: int = LEVELS) -> list[tuple[int, int, list[int]]]:
-    """(row, column, position) of each node below the root, depth first. A position has the
-    child number at each level, -1 below the node; trees deeper than ``levels`` are an error."""
-    out: list[tuple[int, int, list[int]]] = []
-    stack = [(child, [i]) for i, child in reversed(list(enumerate((tree or {}).get("Cd") or [])))]
-    while stack:
-        node, path = stack.pop()
-        if len(path) > levels:
-            raise ValueError("the tree is too deep")
-        out.append((int(node["RI"]), int(node["CI"]), path + [-1] * (levels - len(path))))
-        stack += [(child, [*path, i]) for i, child in reversed(list(enumerate(node.get("Cd") or [])))]
-    return out
-
-
-@F.udtf(returnType=TREE_SCHEMA)
-class TreePositions:
-    """Table function: nodes of a header tree in JSON."""
-
-    def eval(self, tree: str):
-        if tree is not None:
-            yield from tree_positions(json.loads(tree))
-
-
-def header_positions(tables: DataFrame, tree_col: str) -> DataFrame:
-    """(table_id, row, column, position) of each header node."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(r.table_id, *p) for r in pdf.itertuples() if r.tree for p in tree_positions(json.loads(r.tree))]
-            yield pd.DataFrame(rows, columns=["table_id", "row", "column", "position"])
-
-    return tables.select("table_id", F.col(tree_col).alias("tree")).mapInPandas(run, f"table_id string, {TREE_SCHEMA}")
-
-
 def format_features(cell: DataFrame) -> DataFrame:
     """``cell`` (with data_type, bold, borders and colours) and ``format``: 0/1 flags."""
     flag = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(0))
@@ -214,36 +176,6 @@ def sequences(token_rows: DataFrame, vocabulary: dict[str, int], most: int = 204
     return out.where(F.col("length") <= most)
 
 
-def windows(cell: DataFrame, most_rows: int, overlap: int = 3) -> DataFrame:
-    """``cell`` in windows of rows: each restarts up to ``overlap`` rows before the last one's
-    end; ``repeated`` marks cells that an earlier window has."""
-    step = max(1, most_rows - overlap)
-    last = F.expr(f"row div {step}").cast("int")
-    first = F.greatest(F.lit(0), F.ceil((F.col("row") - most_rows + 1) / step).cast("int"))
-    each = cell.withColumn("window", F.explode(F.sequence(first, last)))
-    return each.withColumn("repeated", F.col("window") > first)
-
-
-def padded(seqs: DataFrame, batch: int, multiple: int = 8, fill: int = 0) -> DataFrame:
-    """Sequences in batches by table_id, ``tokens`` padded to the batch's longest length, rounded
-    up to a multiple."""
-    place = F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("table_id"), F.lit(64))).orderBy("table_id")) - 1
-    numbered = seqs.withColumn("batch", F.struct(F.pmod(F.xxhash64("table_id"), F.lit(64)).alias("part"), F.expr("1").alias("_"), (place / batch).cast("int").alias("k")))
-    top = F.max("length").over(Window.partitionBy("batch"))
-    width = (F.ceil(top / multiple) * multiple).cast("int")
-    return numbered.withColumn("width", width).withColumn("tokens", F.concat("tokens", F.array_repeat(F.lit(fill), F.col("width") - F.col("length"))))
-
-
-def tree_distance(positions: DataFrame) -> DataFrame:
-    """(table_id, a, b, distance): L1 distance of two cells' header paths, each a set of nodes
-    (level, child path). Rows share a table, so the join is by table."""
-    path = F.filter(F.transform("position", lambda p, i: F.when(p >= 0, F.concat_ws(".", F.transform(F.slice("position", 1, i + 1), lambda x: x.cast("string"))))), lambda x: x.isNotNull())
-    nodes = positions.select("table_id", F.concat_ws(",", "row", "column").alias("cell"), path.alias("path"))
-    a, b = nodes.select("table_id", F.col("cell").alias("a"), F.col("path").alias("pa")), nodes.select("table_id", F.col("cell").alias("b"), F.col("path").alias("pb"))
-    both = a.join(b, "table_id").where("a < b")
-    return both.select("table_id", "a", "b", (F.size("pa") + F.size("pb") - 2 * F.size(F.array_intersect("pa", "pb"))).alias("distance"))
-
-
 def pooled(states: DataFrame, how: str = "avg") -> DataFrame:
     """(table_id, indicator, vector): token states (table_id, indicator, state) of a cell summed
     or averaged."""

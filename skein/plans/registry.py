@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from ..operators import cluster_number as B
 from ..operators import clustering as C
 from ..operators import ensemble as E
 from ..operators import graph as G
@@ -406,6 +407,19 @@ def document_terms(s, d):
     return counts.groupBy("source").agg(F.sum("n").alias("words"), F.count("*").alias("terms"))
 
 
+@query(
+    "record_tfidf",
+    """WITH w AS (SELECT p_partkey, unnest(regexp_extract_all(lower(concat_ws(' ', p_name, p_brand, p_type)), '[a-z0-9_]{2,}')) AS term FROM part),
+t AS (SELECT p_partkey, term, count(*) AS tf FROM w GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+r AS (SELECT p_partkey, term, tf * (ln((1 + (SELECT count(*) FROM part)) / (1 + df)::DOUBLE) + 1) AS x FROM t JOIN d USING (term))
+SELECT p_partkey, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY p_partkey)), 6) AS tfidf FROM r""",
+)
+def record_tfidf(s, d):
+    """Rows as documents."""
+    docs = _table(s, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("doc"))
+    return _r(S.tfidf(docs, T.word_tokens(F.col("doc")), "p_partkey"), "tfidf")
+
+
 @query("tfidf_cosine_pairs", f"WITH {ALL_SIMS} SELECT a, b, round(sim, 6) AS sim FROM sims")
 def tfidf_cosine_pairs(s, d):
     return _r(_sims(s, d), "sim")
@@ -449,10 +463,18 @@ def tree_index(s, d):
     return t.select("l_linenumber", *[F.get(i, F.lit(k)).alias(c) for k, c in enumerate("abcd")])
 
 
-@query("address_range", f"SELECT * FROM {_values([('A5:CB43', 4, 42, 0, 79), ('B2', 1, 1, 1, 1)])} v(address, row_from, row_to, column_from, column_to)")
+@query(
+    "address_range",
+    """SELECT p_partkey, chr(65 + p_size % 26) || (p_partkey % 500 + 1) || ':' || chr((65 + p_partkey % 26)::INT) || chr(65 + p_size % 26) || (p_partkey % 500 + p_size) AS address,
+    (p_partkey % 500)::INT AS row_from, (p_partkey % 500 + p_size - 1)::INT AS row_to, p_size % 26 AS column_from, ((p_partkey % 26 + 1) * 26 + p_size % 26)::INT AS column_to FROM part""",
+)
 def address_range(s, d):
-    t = s.createDataFrame([("A5:CB43",), ("B2",)], "address string")
-    return t.select("address", T.address_range(F.col("address")).alias("r")).select("address", "r.*")
+    """A range of a sheet for each part, written as a spreadsheet would."""
+    letter = lambda c: F.char(F.lit(65) + F.col(c) % 26)
+    row = F.col("p_partkey") % 500
+    address = F.concat(letter("p_size"), (row + 1).cast("string"), F.lit(":"), letter("p_partkey"), letter("p_size"), (row + F.col("p_size")).cast("string"))
+    t = _table(s, d, "part").select("p_partkey", address.alias("address"))
+    return t.select("p_partkey", "address", T.address_range(F.col("address")).alias("r")).select("p_partkey", "address", "r.*")
 
 
 @query("format_scaling", "SELECT p_partkey, round(least(p_size, 20) / 20.0, 6) AS size, round(least(p_retailprice, 1000) / 1000, 6) AS price FROM part")
@@ -813,11 +835,15 @@ def sim_quality(s, d):
     return _r(M.cut_quality(truth(s, STAR_TRUTH), dist), "quality")
 
 
-@query("missing_extra_tables", f"SELECT * FROM {_values([('nation', 'missing'), ('invented', 'extra')])} v(table_name, kind)")
+@query(
+    "missing_extra_tables",
+    """SELECT coalesce(c.k, o.k)::VARCHAR AS table_name, CASE WHEN o.k IS NULL THEN 'missing' ELSE 'extra' END AS kind
+    FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 > 0) c FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON c.k = o.k WHERE c.k IS NULL OR o.k IS NULL""",
+)
 def missing_extra_tables(s, d):
-    t = truth(s, STAR_TRUTH)
-    found = t.where("table_name <> 'nation'").select("table_name").union(s.createDataFrame([("invented",)], "table_name string"))
-    return M.missing_and_extra(t, found)
+    """Customers that should have orders and have none, or have some and shouldn't."""
+    t = _table(s, d, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").cast("string").alias("table_name"))
+    return M.missing_and_extra(t, _table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("table_name")).distinct())
 
 
 @query("confusion_f1", """WITH p AS (SELECT quality AS g, (n_chars >= 1500)::INT AS p FROM labels JOIN documents USING (doc_id)),
@@ -906,9 +932,10 @@ for _name, _f in Y.SYSTEMS.items():
 del _name, _f, _method
 
 
-@query("cluster_keys", f"WITH {TRUTH} SELECT cluster_id, md5(to_json(list(table_name ORDER BY table_name))::VARCHAR) AS key FROM truth GROUP BY cluster_id")
+@query("cluster_keys", "SELECT o_custkey AS cluster_id, md5(to_json(list(o_orderkey::VARCHAR ORDER BY o_orderkey::VARCHAR))::VARCHAR) AS key FROM orders GROUP BY o_custkey")
 def cluster_keys(s, d):
-    return G.cluster_key(truth(s, STAR_TRUTH))
+    """Each customer's orders as a cluster."""
+    return G.cluster_key(_table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("table_name"), F.col("o_custkey").alias("cluster_id")))
 
 
 @query("given_clusters", f"WITH {COLS}, {NAMES} SELECT table_name, CASE WHEN table_name IN ('orders', 'customer') THEN 0 WHEN table_name = 'part' THEN 1 ELSE 2 END::INT AS cluster_id FROM names")
@@ -940,4 +967,10 @@ def projected_vectors(s, d):
     return _r(N.projected(_table(s, d, "embeddings"), "vec_id"), "x0", "x1", digits=4)
 
 
+@query("cluster_numbers")
+def cluster_numbers(s, d):
+    """How well every number of clusters from 2 to 19 fits the vectors."""
+    return _r(B.cluster_numbers(_table(s, d, "embeddings"), "vec_id", "embedding"), "silhouette")
+
+
 from . import sheet_queries  # noqa: E402, F401  its queries use the parts above

@@ -79,16 +79,17 @@ def salted_join(many: DataFrame, one: DataFrame, key: list[str], sizes: DataFram
     """Inner join of ``many`` to ``one``, which has a row a key (no nulls). ``sizes``, best a
     materialised frame, has each key's number of rows in ``many`` in ``size``; ``total`` is their
     sum. The rows of a hot key are dealt by ``spread`` (an integer) over several tasks, each with
-    its copy of the row of ``one``; without hot keys it is a plain join."""
+    its copy of the row of ``one``; without hot keys it is a plain join. ``one`` is never sent to
+    every executor, as it would pass through the driver."""
     hot = sizes.where(F.col(size) > max(HOT, total // MANY)).select(*key, F.lit(1).alias("_hot"))
     if not hot.limit(1).count():
-        return many.join(one, key)
+        return many.join(one.hint("merge"), key)
     hot = F.broadcast(hot)
     salt = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(spread, F.lit(SALTS))).cast("int").alias("_salt")
     salts = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     left = many.join(hot, key, "left").select(*many.columns, salt)
     right = one.join(hot, key, "left").select(*one.columns, F.explode(salts).alias("_salt"))
-    return left.join(right, [*key, "_salt"]).drop("_salt")
+    return left.join(right.hint("merge"), [*key, "_salt"]).drop("_salt")
 
 
 def packed(df: DataFrame, *columns: Column) -> DataFrame:

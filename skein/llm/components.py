@@ -64,10 +64,11 @@ def components(edges: DataFrame) -> DataFrame:
         own = labels.select(F.col("u").alias("v"), "l")
         near = salted_join(both, own, ["v"], degrees, "d", total, F.col("u"))
         near = near.groupBy("u").agg(F.min("l").alias("m"))
-        lower = labels.join(near, "u").select("u", F.col("l").alias("was"), F.least("l", "m").alias("l"))
+        lower = labels.join(near.hint("merge"), "u").select("u", F.col("l").alias("was"), F.least("l", "m").alias("l"))
+        # Labels pass by no driver: hints keep joins from becoming broadcasts.
         # Many nodes come to have one label: a join of slim rows, split by AQE where it is skewed.
         jump = own.select(F.col("v").alias("l"), F.col("l").alias("j"))
-        new = cut(lower.join(jump, "l").select("u", "was", F.least("l", "j").alias("l")))
+        new = cut(lower.join(jump.hint("merge"), "l").select("u", "was", F.least("l", "j").alias("l")))
         changed = new.where("l <> was").limit(1).count()
         labels = new.select("u", "l")
         if not changed:

@@ -209,7 +209,7 @@ def links(fps: DataFrame, limit: int = 4) -> DataFrame:
         verify = f"a < b AND {_distance(names)} <= {limit} AND ({own_a} = cell OR ({own_b} <> cell AND {own_a} <> {own_b}))"
         if single:
             verify += f" AND bit_count((a{f} ^ b{f}) & 4294967295L) {'>' if side else '<='} 2"
-        pairs = a.join(b, "cell").where(verify).select("a", "b")
+        pairs = a.join(b.hint("merge"), "cell").where(verify)  # no broadcast: it would be built on the driver.select("a", "b")
         found = pairs if found is None else found.union(pairs)
     return found
 
@@ -242,7 +242,7 @@ def near_duplicates(
     found = classes.select("node", *names)
     found = links(found, limit) if longs == 1 else alike(found, limit, classes.count())
     joined = components(found).withColumnRenamed("node", "member")
-    rooted = classes.join(joined, F.col("node") == F.col("member"), "left")
+    rooted = classes.join(joined.hint("merge"), F.col("node") == F.col("member"), "left")
     rooted = cut(rooted.select(*names, "first", "copies", F.coalesce("root", "node").alias("root")))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("kinds"))
     named = salted_join(rooted, ids, ["root"], ids, "kinds", total, F.xxhash64(*names))

@@ -93,9 +93,13 @@ def cut_cell(value: Column, width: int = 20) -> Column:
 
 def snippets(text: Column, n: int = 10) -> Column:
     """The text's words in snippets of ``n`` at most."""
-    words = F.array_remove(F.split(text, r"\s+"), "")
-    starts = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words), F.lit(n))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+
+    def of(words: Column) -> Column:
+        starts = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words), F.lit(n))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+
+    # As a lambda's variable the words are split once a text, not once for every snippet.
+    return F.get(F.transform(F.array(F.array_remove(F.split(text, r"\s+"), "")), of), F.lit(0))
 
 
 def cell_index(row: Column, column: Column, width: Column) -> Column:

@@ -11,11 +11,10 @@ two joins find every pair.
 Documents of a given similarity need wider fingerprints and a wider limit: the share of differing
 bits is the angle between the texts' shingle vectors over pi, so at a similarity of 0.8 some 15% of
 all bits differ, and a half is as close as the grid asks in 15% of the pairs alone. There, pairs
-meet by samples of bits instead: all fingerprints that agree in a sample are a bucket, in the order
-of their bits, and each is compared with the bucket's first; unless both are near that, it is also
-compared with the few before it. One rule holds for buckets of any size, what a bucket links is at
-most ``NEXT`` + 1 rows a member, and the pairs found are verified by their exact distance. Samples
-are as many as are needed for a pair at the limit to agree in one of them, by construction.
+meet by samples of bits instead: all fingerprints that agree in a sample are a bucket, and all pairs
+of a bucket are compared by their exact distance, save those that the distances to its first member
+decide. A bucket gives the links of a spanning forest, at most one a member. Samples are as many as
+are needed for a pair at the limit to agree in one of them, by construction.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import MANY, arrow_map, cut, packed, partitions, salted_join, stored, table, unpacked
-from .components import components
+from .components import components, forest
 
 BLOCK = 1 << 17
 #: The pipeline's stage: shingles of five words, alike from a Jaccard similarity of 0.8 on. The
@@ -40,7 +39,7 @@ WIDTH, LONGS, SIMILARITY, SLACK = 5, 6, 0.8, 1.6
 #: Samples and bits of each. A pair of similarity 0.8 agrees in a sample with a chance of 4.4%, so
 #: in one at least with 94%; two unrelated ones do with 1 in 500,000. A corpus far beyond ten
 #: million documents needs wider samples, and 18% more of them for each bit.
-SAMPLES, BITS, NEXT = 64, 19, 4
+SAMPLES, BITS = 64, 19
 #: Members of a salted part of a hot bucket, and the share of documents by which hot ones are told.
 PART, SHARE = 2_048, 64
 U = np.uint64
@@ -118,48 +117,133 @@ def _distance(names: list[str]) -> str:
     return " + ".join(f"bit_count(a{f} ^ b{f})" for f in names)
 
 
+def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the edges a-b between 0..n-1 to keep so that they join what all of them join: in
+    rounds, each group's earliest edge to another."""
+    label, kept = np.arange(n), []
+    while True:
+        x, y = label[a], label[b]
+        live = np.flatnonzero(x != y)
+        if not len(live):
+            return np.sort(np.concatenate(kept)) if kept else live
+        first = np.full(n, len(a))
+        np.minimum.at(first, x[live], live)
+        np.minimum.at(first, y[live], live)
+        kept.append(np.unique(first[first < len(a)]))
+        nodes, root = forest(x[kept[-1]], y[kept[-1]])
+        new = np.arange(n)
+        new[nodes] = root
+        label = new[label]
+
+
+def _within(w: np.ndarray, bits: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (places a, b) that join what all pairs within ``limit`` of whole buckets ``w`` join.
+
+    Every pair is compared, except those that distances to the bucket's first row decide: two rows
+    near it are joined by it, and two whose distances to it differ by more than the limit are
+    further apart than that."""
+    n = len(w)
+    start = np.concatenate([[True], w[1:] != w[:-1]])
+    first = np.maximum.accumulate(np.where(start, np.arange(n), 0))
+    rank = np.arange(n) - first
+    away = np.bitwise_count(bits ^ bits[first]).sum(axis=1, dtype=np.int64)
+    near = away <= limit
+    at = np.flatnonzero(near & (rank > 0))
+    a, b, some = at, first[at], [(at[:0], at[:0])]
+    at, lag = np.flatnonzero(rank > 0), 1
+    while len(at) or len(some) > 1:
+        other = at - lag
+        maybe = ~(near[at] & near[other]) & (np.abs(away[at] - away[other]) <= limit)
+        x, y = at[maybe], other[maybe]
+        hit = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= limit
+        some.append((x[hit], y[hit]))
+        lag += 1
+        at = at[rank[at] >= lag]
+        if not len(at) or sum(len(x) for x, _ in some) > BLOCK:
+            a, b = (np.concatenate([k, *[x[side] for x in some]]) for side, k in enumerate((a, b)))
+            kept, some = _spanning(a, b, n), [(at[:0], at[:0])]
+            a, b = a[kept], b[kept]
+    return a, b
+
+
+def _whole(batches: Iterator[pa.RecordBatch], longs: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The sorted rows (w, node, f0, ...) of ``batches``, cut between buckets."""
+    rest: list[tuple] = []
+    joined = lambda: tuple(map(np.concatenate, zip(*rest, strict=True)))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        w, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        bits = np.stack([batch.column(2 + i).to_numpy() for i in range(longs)], axis=1).view(U)
+        other = np.flatnonzero(w != w[-1])
+        k = int(other[-1]) + 1 if len(other) else 0
+        if k or rest and rest[0][0][0] != w[0]:
+            rest.append((w[:k], node[:k], bits[:k]))
+            yield joined()
+            rest = []
+        rest.append((w[k:], node[k:], bits[k:]))
+    if rest:
+        yield joined()
+
+
 def _compared(limit: int, longs: int):
-    """Pairs within ``limit`` of the sorted rows (w, node, f0, ...) of each bucket ``w``, batch by
-    batch: what is kept of the batches before is the bucket's first row and its last few."""
+    """Pairs within ``limit`` of the sorted rows (w, node, f0, ...) that join what all such pairs
+    of a bucket ``w`` join; a bucket must fit in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, node, bits, near = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, longs), U), np.zeros(0, bool)
-        head: tuple | None = None  # the first row of the last bucket
-        for b in batches:
-            if not b.num_rows:
+        for w, node, bits in _whole(batches, longs):
+            a, b = _within(w, bits, limit)
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    return run
+
+
+def _crossed(limit: int, longs: int):
+    """Pairs within ``limit`` of rows of different roots, one at least of each two roots: of the
+    sorted rows (w, part, side, node, root, f0, ...) those of side 1 against all of side 0 of the
+    same part, which come first and are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            new_w, new_node = b.column(0).to_numpy(), b.column(1).to_numpy()
-            new_bits = np.stack([b.column(2 + i).to_numpy() for i in range(longs)], axis=1).view(U)
-            k, n = len(w), len(new_w)
-            w, node, bits = np.concatenate([w, new_w]), np.concatenate([node, new_node]), np.concatenate([bits, new_bits])
-            first = np.maximum.accumulate(np.where(np.concatenate([[not k or w[k - 1] != w[k]], new_w[1:] != new_w[:-1]]), np.arange(k, k + n), 0))
-            of_head = first == 0 if k else np.zeros(n, bool)
-            start_node, start_bits = node[first], bits[first]
-            if of_head.any():
-                start_node[of_head], start_bits[of_head] = head
-            close = np.bitwise_count(new_bits ^ start_bits).sum(axis=1) <= limit
-            near = np.concatenate([near, close])
-            found = [(new_node[close & (new_node != start_node)], start_node[close & (new_node != start_node)])]
-            for lag in range(1, NEXT + 1):
-                at = np.arange(max(k, lag), k + n)
-                at = at[(w[at] == w[at - lag]) & ~(near[at] & near[at - lag])]
-                at = at[np.bitwise_count(bits[at] ^ bits[at - lag]).sum(axis=1) <= limit]
-                found.append((node[at], node[at - lag]))
-            head = (start_node[-1], start_bits[-1])
-            w, node, bits, near = w[-NEXT:], node[-NEXT:], bits[-NEXT:], near[-NEXT:]
-            pairs = [np.concatenate(x) for x in zip(*found, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
+            w, part, side, node, root = (batch.column(i).to_numpy() for i in range(5))
+            bits = np.stack([batch.column(5 + i).to_numpy() for i in range(longs)], axis=1).view(U)
+            new = np.flatnonzero((w[1:] != w[:-1]) | (part[1:] != part[:-1]) | (side[1:] != side[:-1])) + 1
+            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(w)], strict=True):
+                if (w[lo], part[lo]) != key:
+                    key, held = (w[lo], part[lo]), []
+                if not side[lo]:
+                    held.append((node[lo:hi], root[lo:hi], bits[lo:hi]))
+                    continue
+                if not held:
+                    continue
+                held = [tuple(map(np.concatenate, zip(*held, strict=True)))]
+                other, theirs, those = held[0]
+                step = max(1, BLOCK // len(other))
+                for k in range(lo, hi, step):
+                    own = slice(k, min(hi, k + step))
+                    near = np.bitwise_count(bits[own, None] ^ those[None]).sum(axis=2) <= limit
+                    i, j = np.nonzero(near & (root[own, None] != theirs[None]))
+                    _, one = np.unique(np.stack([root[own][i], theirs[j]]), axis=1, return_index=True)
+                    if len(one):
+                        yield pa.RecordBatch.from_arrays([pa.array(node[own][i[one]]), pa.array(other[j[one]])], ["a", "b"])
 
     return run
 
 
 def alike(fps: DataFrame, limit: int, total: int, samples: int = SAMPLES, bits: int = BITS) -> DataFrame:
     """(a, b): pairs of ``fps`` (``total`` rows node, f0, ..., no two fingerprints equal) at
-    Hamming distance ``limit`` or less that meet in a bucket, some several times.
+    Hamming distance ``limit`` or less that join whatever the pairs that meet in a bucket join;
+    some come several times.
 
     A bucket that holds more than a thousandth of all is told from every 64th fingerprint, and
     split in parts by a hash; the first ones of its parts are a bucket of their own. So the list
-    of hot buckets is bounded, and a task has no more of one than a part.
+    of hot buckets is bounded. What its parts leave apart is compared across them: the rows outside
+    the bucket's largest group so far go to each part. A group of near copies, of any size, is one
+    by then; only for texts that agree in a sample without being alike does this grow with the
+    square of their number (over ``PART``).
     """
     names = [c for c in fps.columns if c != "node"]
     draw = np.random.default_rng(samples)
@@ -170,18 +254,35 @@ def alike(fps: DataFrame, limit: int, total: int, samples: int = SAMPLES, bits:
         masks = np.packbits(chosen).view(np.int64).tolist()
         return f"xxhash64({i}, {', '.join(f'{f} & {m}L' for f, m in zip(names, masks, strict=True) if m)})"
 
+    def compared(rows: DataFrame) -> DataFrame:
+        rows = rows.select("w", "node", *names)
+        return rows.repartition(partitions(rows), "w").sortWithinPartitions("w", *names).mapInArrow(_compared(limit, len(names)), "a long, b long")
+
     each = fps.selectExpr(f"explode(array({', '.join(map(sample, range(samples)))})) AS w", "node", *names)
     some = each.where(f"pmod(xxhash64({', '.join(names)}), {SHARE}) = 0").groupBy("w").count()
     hot = cut(some.where(F.col("count") > max(8, total // (MANY * SHARE))).select("w", F.expr(f"count * {SHARE} div {PART} + 1").alias("parts")))
-    if hot.limit(1).count():
-        part = F.expr(f"xxhash64(w, pmod(xxhash64(0, {', '.join(names)}), parts))")
-        dealt = each.join(F.broadcast(hot), "w", "left")
-        least = F.min(F.struct(*names, "node")).alias("first")
-        firsts = each.join(F.broadcast(hot), "w").groupBy("w", part.alias("_p")).agg(least)
-        each = dealt.select(F.when(F.col("parts").isNull(), F.col("w")).otherwise(part).alias("w"), "node", *names)
-        each = each.union(firsts.select("w", "first.node", *[f"first.{f}" for f in names]))
-    sorted_rows = each.repartition(partitions(each), "w").sortWithinPartitions("w", *names)
-    return sorted_rows.mapInArrow(_compared(limit, len(names)), "a long, b long")
+    if not hot.limit(1).count():
+        return compared(each)
+    part = F.expr(f"pmod(xxhash64(0, {', '.join(names)}), parts)")
+    dealt = each.join(F.broadcast(hot), "w", "left")
+    crowd = dealt.where("parts IS NOT NULL").withColumn("part", part)
+    least = F.min(F.struct(*names, "node")).alias("first")
+    firsts = crowd.groupBy("w", "part").agg(least).select("w", "first.node", *[f"first.{f}" for f in names])
+    split = dealt.withColumn("w", F.when(F.col("parts").isNull(), F.col("w")).otherwise(F.xxhash64("w", part)))
+    found = cut(compared(split.select("w", "node", *names).union(firsts)))
+    roots = components(found).withColumnRenamed("node", "_node")
+    rooted = crowd.where("parts > 1").join(roots.hint("merge"), F.col("node") == F.col("_node"), "left")
+    rooted = stored(rooted.select("w", "parts", "part", "node", F.coalesce("root", "node").alias("root"), *names))
+    sizes = rooted.groupBy("w", "root").count().groupBy("w").agg(F.max_by("root", "count").alias("main"), F.count("*").alias("groups"))
+    apart = cut(sizes.where("groups > 1").select("w", "main"))  # of hot buckets, so bounded
+    if not apart.limit(1).count():
+        return found
+    left = rooted.join(F.broadcast(apart), "w")
+    held = left.select("w", F.col("part").cast("long").alias("part"), F.lit(0).alias("side"), "node", "root", *names)
+    sent = left.where("root <> main").select("w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "node", "root", *names)
+    both = held.union(sent)
+    both = both.repartition(partitions(both), "w", "part").sortWithinPartitions("w", "part", "side")
+    return found.union(both.mapInArrow(_crossed(limit, len(names)), "a long, b long"))
 
 
 def links(fps: DataFrame, limit: int = 4) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,6 +124,27 @@ def tokens(cell: DataFrame, vocabulary: dict[str, int], most: int = 8) -> DataFr
     return cell.select("table_id", "row", "column", "value").mapInArrow(run, f"table_id {kind}, row int, column int, order int, {TOKEN}")
 
 
+def kinds(cell: DataFrame, vocabulary: dict[str, int], most: int = 8) -> DataFrame:
+    """(table_id, row, column, kind, ids): what ``sheets.cell_kinds`` makes of ``tokens``, where
+    (table_id, row, column) tells cells apart. A row for each cell, as its tokens are made, so no
+    token is shuffled."""
+    sent = cell.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                at, out = _of_cells(b.column(3), sent.value, most)
+                number = out["magnitude"].to_numpy() != NO_NUMBER[0]
+                text = ~number & ~pc.is_in(out["token"], pa.array([SEPARATOR, EMPTY])).to_numpy()
+                has = [np.bincount(at[x], minlength=b.num_rows) > 0 for x in (number, text)]
+                bounds = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=b.num_rows))])
+                of_cell = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), out["id"].combine_chunks())
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array((has[0] + 2 * has[1]).astype(np.int32)), of_cell], ["table_id", "row", "column", "kind", "ids"])
+
+    kind = dict(cell.dtypes)["table_id"]
+    return cell.select("table_id", "row", "column", "value").mapInArrow(run, f"table_id {kind}, row int, column int, kind int, ids array<int>")
+
+
 def ids(token_rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Tokens with their ids from (token, id); unknown ones have the id of ``[UNK]``."""
     unk = vocabulary.where(F.col("token") == UNKNOWN).agg(F.coalesce(F.max("id"), F.lit(0)).alias("_unk"))

@@ -98,6 +98,10 @@ def _page_tokens(s: SparkSession, d: str, size: int = PAGE) -> DataFrame:
     return Z.tokens(Z.cells(_pages(s, d, size)), TOKENS)
 
 
+def _page_kinds(s: SparkSession, d: str, size: int = PAGE) -> DataFrame:
+    return Z.kinds(Z.cells(_pages(s, d, size)), TOKENS)
+
+
 @query("sheet_tokens", f"WITH {TOKEN_SQL} SELECT * FROM tokens")
 def sheet_tokens(s, d):
     return _page_tokens(s, d)
@@ -176,7 +180,7 @@ g AS (SELECT *, least(count(*) FILTER (drawn) OVER (PARTITION BY table_id), most
 
 
 def _page_marks(s: SparkSession, d: str) -> DataFrame:
-    return H.marked(H.cell_kinds(_page_tokens(s, d)), 1, 1)
+    return H.marked(_page_kinds(s, d), 1, 1)
 
 
 @query("cell_marks", f"""WITH {MARK_SQL} SELECT table_id, "row", "column", kind, CASE WHEN NOT taken THEN 0 WHEN hidden THEN 3 WHEN drawn AND allowed > 1 AND place <= allowed THEN 2 ELSE 1 END AS mark FROM g""")
@@ -188,8 +192,7 @@ def cell_marks(s, d):
 def table_sequences(s, d):
     """Pages as sequences with blanks, and snippets of the document of the same number."""
     docs = _table(s, d, "documents").select(F.concat(F.lit("page-"), F.col("doc_id").cast("string")).alias("table_id"), F.posexplode(T.snippets(F.col("text"))).alias("row", "value"))
-    tokens = Z.tokens(docs.withColumn("column", F.lit(0)), TOKENS, 20)
-    snippets = H.cell_kinds(tokens).select("table_id", F.col("row").alias("k"), "ids")
+    snippets = Z.kinds(docs.withColumn("column", F.lit(0)), TOKENS, 20).select("table_id", F.col("row").alias("k"), "ids")
     out = H.assembled(_page_marks(s, d), TOKENS, snippets)
     return out.select("table_id", "length", *[F.array_join(c, " ").alias(c) for c in ("tokens", "indicator", "labels", "blanks", "choices")])
 
@@ -224,7 +227,7 @@ SMALL = 8
 )
 def titled_sequences(s, d):
     """Small pages, titled by the segment of their first customer."""
-    cells = H.cell_kinds(_page_tokens(s, d, SMALL))
+    cells = _page_kinds(s, d, SMALL)
     titles = cells.where("row = 1 AND column = 3").select("table_id", "ids")
     return H.titled(cells, titles, TOKENS).select("table_id", "length", *[F.array_join(c, " ").alias(c) for c in ("tokens", "indicator")])
 
@@ -233,7 +236,7 @@ def titled_sequences(s, d):
 def string_repository(s, d):
     """Names of parts as token strings, a bounded sample of each length."""
     names = _table(s, d, "part").select(F.col("p_partkey").alias("table_id"), F.lit(0).alias("row"), F.lit(0).alias("column"), F.concat_ws(" ", "p_name", "p_type").alias("value"))
-    strings = H.cell_kinds(Z.tokens(names, TOKENS, 33)).select(F.col("table_id").alias("id"), F.slice("ids", 2, 32).alias("ids"))
+    strings = Z.kinds(names, TOKENS, 33).select(F.col("table_id").alias("id"), F.slice("ids", 2, 32).alias("ids"))
     return H.string_repository(strings).select("length", "id", F.array_join("ids", " ").alias("ids"))
 
 

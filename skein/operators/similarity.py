@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vector as V
 
-BLOCK = 2048
+#: Rows of a block at most, and blocks at least once there are ``SMALL`` rows in each.
+BLOCK, BLOCKS, SMALL = 32_768, 16, 2048
+#: Rows whose products are taken at once.
+STRIP = 128
 
 
 def tfidf(docs: DataFrame, tokens: Column, key: str = "table_name") -> DataFrame:
@@ -86,16 +89,34 @@ def average_similarity(vectors: DataFrame, key: str, vec: str = "embedding") ->
 
 
 def _blocks(vectors: DataFrame, key: str, vec: str, extra: list[str]) -> DataFrame:
-    """Pairs of row blocks (i, j): each row as left in all j and as right in all i."""
+    """Pairs of row blocks (i, j): each row as left in all j and as right in all i. Up to
+    ``BLOCK`` x ``BLOCKS`` rows each is sent to a fixed number of blocks, so what is shuffled grows
+    with the rows; beyond, blocks stay as large, so that two of them fit in a task."""
     n = vectors.count()
-    k = max(1, -(-n // BLOCK))
-    rows = vectors.select(F.col(key).alias("id"), V.doubles(F.col(vec)).alias("v"), *extra).withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(k)).cast("int"))
+    k = max(1, min(BLOCKS, -(-n // SMALL)), -(-n // BLOCK))
+    rows = vectors.select(F.col(key).alias("id"), F.col(vec).alias("v"), *extra).withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(k)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(k - 1))
     left = rows.select(F.col("blk").alias("i"), F.explode(every).alias("j"), F.lit(0).alias("side"), "id", "v", *extra)
     right = rows.select(F.explode(every).alias("i"), F.col("blk").alias("j"), F.lit(1).alias("side"), "id", "v", *extra)
     return left.select("i", "j", "side", "id", "v", *extra).union(right.select("i", "j", "side", "id", "v", *extra))
 
 
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.array(list(vectors), np.float64)
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of x to those of y, by their products; those of which
+    products leave too few digits are taken from the differences."""
+    size = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None]
+    square = size - 2 * (x @ y.T)
+    i, j = np.nonzero(~(square > 1e-6 * size))
+    for k in range(0, len(i), 1 << 16):
+        p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+        square[p, q] = ((x[p] - y[q]) ** 2).sum(axis=1)
+    return np.sqrt(square)
+
+
 def nearest(vectors: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
     """(id, nearest, sim): the other vector of largest cosine; ties go to the smaller id."""
 
@@ -103,13 +124,16 @@ def nearest(vectors: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
         a, b = pdf[pdf.side == 0].sort_values("id"), pdf[pdf.side == 1].sort_values("id")
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "near": [], "sim": []})
-        x, y = np.array(a.v.tolist()), np.array(b.v.tolist())
+        x, y = _matrix(a.v), _matrix(b.v)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
-        s = np.round(x @ y.T, 12)
-        s[a.id.to_numpy()[:, None] == b.id.to_numpy()[None]] = -2
-        at = s.argmax(axis=1)
-        out = pd.DataFrame({"id": a.id.to_numpy(), "near": b.id.to_numpy()[at], "sim": s[np.arange(len(a)), at]})
+        own, other, found = a.id.to_numpy(), b.id.to_numpy(), []
+        for k in range(0, len(x), STRIP):
+            s = np.round(x[k : k + STRIP] @ y.T, 12)
+            s[own[k : k + STRIP, None] == other[None]] = -2
+            at = s.argmax(axis=1)
+            found.append(pd.DataFrame({"id": own[k : k + STRIP], "near": other[at], "sim": s[np.arange(len(at)), at]}))
+        out = pd.concat(found)
         return out[out.sim > -2]
 
     found = _blocks(vectors, key, vec, []).groupBy("i", "j").applyInPandas(best, "id long, near long, sim double")
@@ -125,11 +149,11 @@ def label_distances(vectors: DataFrame, key: str, label: str, vec: str = "embedd
         a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "own": [], "label": [], "total": [], "n": []})
-        x, y = np.array(a.v.tolist()), np.array(b.v.tolist())
+        x, y = _matrix(a.v), _matrix(b.v)
         out = []
         for lab, rows in b.reset_index(drop=True).groupby(label).groups.items():
             z = y[np.array(rows)]
-            d = np.concatenate([np.sqrt(((x[k : k + 128, None] - z[None]) ** 2).sum(axis=2)).sum(axis=1) for k in range(0, len(x), 128)])
+            d = np.concatenate([distances(x[k : k + STRIP], z).sum(axis=1) for k in range(0, len(x), STRIP)])
             out.append(pd.DataFrame({"id": a.id.to_numpy(), "own": a[label].to_numpy(), "label": lab, "total": d, "n": len(z)}))
         return pd.concat(out)
 

@@ -159,7 +159,7 @@ kept AS (SELECT i.table_id, "row", "column", n AS length, w AS "window" FROM wal
 SELECT table_id, "row", "column", length, "window"::INT AS "window", "window" > min("window") OVER (PARTITION BY table_id, "row", "column") AS repeated FROM kept""",
 )
 def token_windows(s, d):
-    lengths = _page_tokens(s, d).groupBy("table_id", "row", "column").agg(F.count("*").alias("length"))
+    lengths = _page_kinds(s, d).select("table_id", "row", "column", F.size("ids").cast("long").alias("length"))
     return H.budget_windows(lengths, BUDGET)
 
 

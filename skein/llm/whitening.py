@@ -85,26 +85,29 @@ def fitted(x: DataFrame, d: int) -> Fit:
     return Fit(n, sums, values, vectors * signs, float(np.trace(cov)))
 
 
-def _sum(terms: list[str]) -> str:
-    """Terms added pairwise, so that a long sum isn't a deep expression."""
-    while len(terms) > 1:
-        terms = [f"({' + '.join(terms[k : k + 2])})" for k in range(0, len(terms), 2)]
-    return terms[0]
+def _array(values: list[str], kind: str) -> str:
+    """Numbers as one array constant in SQL."""
+    return f"CAST(array({', '.join(values)}) AS array<{kind}>)"
 
 
 def _projected(x: DataFrame, fit: Fit, most: int, *columns: str) -> DataFrame:
-    """``columns`` of ``x`` and ``w``: its centred entries on the first components, each over the
-    root of its variance (null for a component without variance)."""
+    """``columns`` of ``x`` and ``w``: an array of its centred entries on the first components,
+    each over the root of its variance (null for a component without variance).
+
+    Components are constants of a few nested expressions. An expression for each of the products
+    gives the same sums, but its generated code takes hundreds of MB of the driver's memory."""
     d, shown = len(fit.sums), min(most, len(fit.sums))
-    centred = x.selectExpr(*columns, *[f"(x[{i}] * {fit.n}L - {s}L) / {fit.n}D AS c{i}" for i, s in enumerate(fit.sums)])
     w = []
     for k in range(shown):
         if fit.values[k] <= NOISE * fit.trace or fit.trace <= 0:
-            w.append("CAST(NULL AS DOUBLE)")
+            w.append("NULL")
             continue
         scale = 1 / np.sqrt(fit.values[k])
-        w.append(_sum([f"c{i} * {float(fit.vectors[i, k] * scale)!r}D" for i in range(d)]))
-    return centred.selectExpr(*columns, *[f"{e} AS w{k}" for k, e in enumerate(w)])
+        w.append(_array([f"{float(fit.vectors[i, k] * scale)!r}D" for i in range(d)], "double"))
+    centred = f"zip_with(x, {_array([f'{s}L' for s in fit.sums], 'bigint')}, (v, s) -> (v * {fit.n}L - s) / {fit.n}D)"
+    product = "aggregate(zip_with(c, p, (a, b) -> a * b), 0D, (s, v) -> s + v)"
+    # As an argument ``c`` is made once a row, as a column it would be for each component.
+    return x.selectExpr(*columns, f"get(transform(array({centred}), c -> transform({_array(w, 'array<double>')}, p -> {product})), 0) AS w")
 
 
 def identity_error(x: DataFrame, fit: Fit, most: int) -> float | None:
@@ -115,7 +118,7 @@ def identity_error(x: DataFrame, fit: Fit, most: int) -> float | None:
         return None
     w = _projected(x, fit, most)
     # A last entry of 1 gives the sums as well: what rounding has left of the means.
-    own = w.selectExpr(f"array({', '.join(f'w{k}' for k in kept)}, 1D) AS y")
+    own = w.selectExpr("concat(filter(w, c -> c IS NOT NULL), array(1D)) AS y")
     sums = centred_products(own, len(kept) + 1, "double").astype(np.float64) / fit.n
     cov = sums[:-1, :-1] - np.outer(sums[:-1, -1], sums[:-1, -1])
     return float(np.abs(cov - np.eye(len(kept))).max())
@@ -146,13 +149,12 @@ def whitened(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
         shown = min(most, d)
         explained = [float(max(v, 0) / fit.trace) if fit.trace > 0 else None for v in fit.values[:shown]]
         rows = usable.where(F.size("x") == d) if d else usable.where("false")
-        deviation = _sum([f"(x[{i}] * {fit.n}L - {s}L) * (x[{i}] * {fit.n}L - {s}L)" for i, s in enumerate(fit.sums)] or ["0L"])
-        own = _projected(rows.selectExpr("id", "x", f"{deviation} AS deviation"), fit, most, "id", "deviation")
-        each = [F.struct(F.lit(k + 1).alias("component"), F.col(f"w{k}").alias("w"), F.lit(explained[k]).cast("double").alias("e")) for k in range(shown)]
-        each = F.array(*each) if each else F.array().cast("array<struct<component: int, w: double, e: double>>")
-        part = own.select("id", "deviation", F.explode(each).alias("c")).select(
-            "id", "c.component", F.lit(fit.n).cast("long").alias("n"), "deviation", F.col("c.w").alias("whitened"),
-            F.col("c.e").alias("explained"), F.lit(error).cast("double").alias("identity_error"),
+        deviation = f"aggregate(zip_with(x, {_array([f'{s}L' for s in fit.sums], 'bigint')}, (v, s) -> v * {fit.n}L - s), 0L, (a, v) -> a + v * v) AS deviation"
+        own = _projected(rows.selectExpr("id", "x", deviation), fit, most, "id", "deviation")
+        share = F.get(F.expr(_array(["NULL" if e is None else f"{e!r}D" for e in explained], "double")), F.col("k"))
+        part = own.select("id", "deviation", "w", F.explode(F.lit(list(range(shown))).cast("array<int>")).alias("k")).select(
+            "id", (F.col("k") + 1).alias("component"), F.lit(fit.n).cast("long").alias("n"), "deviation", F.get("w", "k").alias("whitened"),
+            share.alias("explained"), F.lit(error).cast("double").alias("identity_error"),
         )
         out = part if out is None else out.union(part)
     return out

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from . import vector as V
 
 
 class Encoder(Protocol):
@@ -21,17 +22,21 @@ class Encoder(Protocol):
         """An encoder adapted to (anchor, positive, negative) names."""
 
 
-def hashed_tfidf(docs: DataFrame, key: str, tokens, size: int) -> DataFrame:
-    """(key, embedding): TF-IDF weights of the tokens, summed with hashed signs in hashed slots."""
+def hashed_entries(docs: DataFrame, key: str, tokens, size: int) -> DataFrame:
+    """(key, entries): TF-IDF weights of the tokens, summed with hashed signs in hashed slots;
+    entries are (slot, x) by slot, null for a row without tokens."""
     from ..operators.similarity import tfidf
 
     terms = tfidf(docs, tokens, key)
     slot = F.pmod(F.xxhash64("term"), F.lit(size)).cast("int")
     sign = F.when(F.xxhash64(F.lit("sign"), "term").bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
     sums = terms.groupBy(key, slot.alias("slot")).agg(F.sum(F.col("tfidf") * sign).alias("x"))
-    packed = docs.select(key).join(sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m")), key, "left")
-    values = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return packed.select(key, values.alias("embedding"))
+    return docs.select(key).join(sums.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slot", "x"))).alias("entries")), key, "left")
+
+
+def hashed_tfidf(docs: DataFrame, key: str, tokens, size: int) -> DataFrame:
+    """(key, embedding): ``hashed_entries`` as vectors of all ``size`` entries."""
+    return hashed_entries(docs, key, tokens, size).select(key, V.dense(F.col("entries"), size).alias("embedding"))
 
 
 class HashedTfidf:

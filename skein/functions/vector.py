@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, where ``f`` uses the value for each entry of an array: as an argument it is
+    computed once a row, not once an entry."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def doubles(v: Column | str) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
@@ -20,8 +28,17 @@ def norm(v: Column) -> Column:
 
 def l2_normalized(v: Column) -> Column:
     """v / max(norm, 1e-10)."""
-    n = F.greatest(norm(v), F.lit(1e-10))
-    return F.transform(v, lambda x: x.cast("double") / n)
+    return once(F.greatest(norm(v), F.lit(1e-10)), lambda n: F.transform(v, lambda x: x.cast("double") / n))
+
+
+def dense(entries: Column, size: int) -> Column:
+    """The vector of ``size`` entries that ``entries`` (structs of slot and x, by slot) says, 0
+    elsewhere; all 0 for null."""
+    entries = F.coalesce(entries, F.array().cast("array<struct<slot: int, x: double>>"))
+    slot = lambda i: F.coalesce(F.get(entries, i)["slot"], F.lit(-1))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    parts = F.transform(entries, lambda e, i: F.concat(zeros(e["slot"] - slot(i - 1) - 1), F.array(e["x"])))
+    return F.concat(F.flatten(parts), zeros(size - 1 - slot(F.size(entries) - 1)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -9,7 +9,9 @@ the data that it heads as well, and a cell takes the last rectangle that covers
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -436,11 +438,27 @@ def string_repository(strings: DataFrame, most: int = 500, shortest: int = 2, lo
 FAR = 100
 
 
-def _bits(path: Column) -> Column:
-    """A path's nodes as a bit map over all nodes of all levels, in longs."""
-    index = F.filter(tree_index(path), lambda i: i < sum(DEGREES))
-    word = lambda w: F.aggregate(F.filter(index, lambda i: F.floor(i / 64) == w), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int"))))
-    return F.array(*[word(w) for w in range(-(-sum(DEGREES) // 64))])
+#: Distances that a batch of rows has at most, unless one row has more.
+PAIRS = 1 << 20
+
+
+def _apart(paths: list[list[int] | None]) -> Callable[[slice], np.ndarray]:
+    """A function of a part of the ``paths`` (each the nodes on it): by how many nodes they differ
+    from all paths, -1 if one is null. Each distinct path is compared once."""
+    codes: dict[tuple[int, ...] | None, int] = {}
+    which = np.array([codes.setdefault(None if p is None else tuple(p), len(codes)) for p in paths])
+    on = np.zeros((len(codes), sum(DEGREES)), np.float32)
+    for p, k in codes.items():
+        on[k, list(p or ())] = 1
+    size, null = on.sum(axis=1), np.array([p is None for p in codes])
+
+    def rows(part: slice) -> np.ndarray:
+        own = which[part]
+        found = (size[own, None] + size - 2 * on[own] @ on.T).astype(np.int32)
+        found[null[own]] = found[:, null] = -1
+        return found[:, which]
+
+    return rows
 
 
 def attention(tokens: DataFrame, both: str = "max") -> DataFrame:
@@ -452,21 +470,31 @@ def attention(tokens: DataFrame, both: str = "max") -> DataFrame:
     -1) is near all, padding (0) is ``FAR`` from all. Only separators of cells (odd, above 0) see
     each other as they are; any other pair is ``FAR`` + 1 times as far, so a token sees what has no
     distance from it, its own cell. A row has an array, so pairs of tokens are never joined;
-    sequences, not tables, must fit in a task.
+    sequences, not tables, must fit in a task, their distances needn't.
     """
-    bits = tokens.select("table_id", "place", "indicator", _bits(F.col("top")).alias("top"), _bits(F.col("left")).alias("left"))
-    item = F.struct("place", "indicator", "top", "left")
-    whole = bits.groupBy("table_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    each = whole.select("table_id", F.explode("all").alias("a"), "all")
-    apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, n: a + n)
-    separator = lambda i: (i > 0) & (i % 2 == 1)
-
-    def distance(b: Column) -> Column:
-        a = F.col("a")
-        top, left = apart(a["top"], b["top"]), apart(a["left"], b["left"])
-        far = F.greatest(top, left) if both == "max" else top + left
-        i, j = a["indicator"], b["indicator"]
-        far = F.when((i == -1) | (j == -1), 0).otherwise(far) + F.when((i == 0) | (j == 0), FAR).otherwise(0)
-        return (far * F.when(separator(i) & separator(j), 1).otherwise(FAR + 1)).cast("int")
-
-    return each.select("table_id", "a.place", F.transform("all", distance).alias("distances"))
+    # By number, as a few small sequences are much work.
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    path = lambda c: F.filter(tree_index(F.col(c)), lambda i: i < sum(DEGREES)).alias(c)
+    each = tokens.select("table_id", "place", "indicator", path("top"), path("left")).repartition(parts, "table_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        rows = sorted(zip(*(t[c].to_pylist() for c in ("place", "indicator", "top", "left")), range(len(t)), strict=True), key=lambda r: [(x is not None, x) if x is not None else (False,) for x in r])
+        top, left = (_apart([r[k] for r in rows]) for k in (2, 3))
+        i = np.array([2 if r[1] is None else r[1] for r in rows])  # null is neither start, padding nor separator
+        start, padding, separator = i == -1, i == 0, (i > 0) & (i % 2 == 1)
+        places = t["place"].take([r[4] for r in rows]).combine_chunks()
+        step = max(1, PAIRS // len(rows))
+        for at in range(0, len(rows), step):
+            part = slice(at, at + step)
+            a, b = top(part), left(part)
+            far = np.maximum(a, b) if both == "max" else a + b
+            null = far < 0 if both == "max" else (a < 0) | (b < 0)
+            near = start[part, None] | start
+            far = (np.where(near, 0, far) + FAR * (padding[part, None] | padding)) * np.where(separator[part, None] & separator, 1, FAR + 1)
+            values = pa.array(far.astype(np.int32).ravel(), mask=(null & ~near).ravel())
+            lists = pa.ListArray.from_arrays(np.arange(len(far) + 1, dtype=np.int32) * len(rows), values)
+            yield pa.RecordBatch.from_arrays([t["table_id"].slice(at, len(far)).combine_chunks(), places[part], lists], ["table_id", "place", "distances"])
+
+    kind = {c: tokens.schema[c].dataType.simpleString() for c in ("table_id", "place")}
+    return each.groupBy("table_id").applyInArrow(run, f"table_id {kind['table_id']}, place {kind['place']}, distances array<int>")

@@ -8,6 +8,9 @@ scanned in turn, and then each block is run from its entry state. State and clas
 tell where a token starts. Slices not seen before are merged together, one merge a round in
 each; results are cached by slice.
 
+An executor keeps several Python workers alive, idle ones too, and each holds a vocabulary of its
+own. So the pairs are in arrays, and texts are taken a bounded part at a time.
+
 Texts are UTF-8; invalid bytes become U+FFFD. Null texts count as empty: no ids. Texts and
 slices of any length are encoded whole.
 """
@@ -18,6 +21,7 @@ import base64
 import hashlib
 import heapq
 import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, table
 
 RANKS = "byte_bpe_50k.tiktoken"
-CACHE = 150_000
+CACHE = 100_000
 SCAN = 128
-PART = 1 << 20
+PART = 1 << 17
 LONG = 96
 NONE = np.int64(1 << 40)
 
@@ -152,6 +156,19 @@ def boundaries(codes: np.ndarray, seps: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts[before, kind])
 
 
+def parts(texts: Iterable[str]) -> Iterator[list[str]]:
+    """``texts`` in turn, of ``PART`` characters together at most; a longer text stands alone."""
+    some, size = [], 0
+    for text in texts:
+        if some and size + len(text) > PART:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
+
+
 class Vocabulary:
     """Ranks of a byte-level vocabulary, with a table of the pairs that merge."""
 
@@ -160,23 +177,23 @@ class Vocabulary:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         size = max(self.ranks.values()) + 1
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.text = {b"%d" % i: t for t, i in self.ranks.items()}
         self.decimal = [b"%d" % i for i in range(size)]
+        self.text = {self.decimal[i]: t for t, i in self.ranks.items()}
         self.length = np.zeros(size, np.int64)
         self.bytes = [b""] * size
         for t, i in self.ranks.items():
             self.length[i], self.bytes[i] = len(t), t
-        self.pairs = {
-            (x, y): i
+        pairs = (
+            z
             for t, i in self.ranks.items()
             for k in range(1, len(t))
             if (x := self.ranks.get(t[:k])) is not None and (y := self.ranks.get(t[k:])) is not None
-        }
-        self.bits = max(12, (4 * len(self.pairs)).bit_length())
+            for z in ((x << 32) | y, i)
+        )
+        keys, values = np.fromiter(pairs, np.int64).reshape(-1, 2).T
+        self.bits = max(12, (4 * len(keys)).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int64)
-        self.merged = np.full(1 << self.bits, NONE, np.int64)
-        keys = np.array([(x << 32) | y for x, y in self.pairs], np.int64)
-        values = np.array(list(self.pairs.values()), np.int64)
+        self.merged = np.full(1 << self.bits, -1, np.int32)
         at = self._hash(keys)
         while len(keys):
             free = self.slots[at] < 0
@@ -189,6 +206,16 @@ class Vocabulary:
     def _hash(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def _pair(self, x: int, y: int) -> int | None:
+        """Id that two neighbours merge to, if any."""
+        key = (x << 32) | y
+        at = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - self.bits)
+        while (slot := self.slots.item(at)) >= 0:
+            if slot == key:
+                return self.merged.item(at)
+            at = (at + 1) & (len(self.slots) - 1)
+        return None
+
     def _rank(self, keys: np.ndarray) -> np.ndarray:
         at = self._hash(keys)
         slot = self.slots[at]
@@ -232,10 +259,11 @@ class Vocabulary:
 
     def merge_long(self, piece: bytes) -> list[int]:
         """Ids of one slice, in time near-linear in its length."""
-        ids = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
+        first = self.byte_id[np.frombuffer(piece, np.uint8)]
+        ranks = self._rank((first[:-1] << 32) | first[1:])
+        ids, n = first.tolist(), len(first)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pairs.get((ids[i], ids[i + 1]))) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(ranks.tolist()) if r != NONE]
         heapq.heapify(heap)
         while heap:
             r, i, x, y = heapq.heappop(heap)
@@ -246,9 +274,9 @@ class Vocabulary:
             nxt[i] = k = nxt[j]
             if k < n:
                 prv[k] = i
-                if (q := self.pairs.get((r, ids[k]))) is not None:
+                if (q := self._pair(r, ids[k])) is not None:
                     heapq.heappush(heap, (q, i, r, ids[k]))
-            if (h := prv[i]) >= 0 and (q := self.pairs.get((ids[h], r))) is not None:
+            if (h := prv[i]) >= 0 and (q := self._pair(ids[h], r)) is not None:
                 heapq.heappush(heap, (q, h, ids[h], r))
         return [x for x in ids if x >= 0]
 
@@ -271,18 +299,9 @@ class Vocabulary:
             for s, ids in zip(short, self.merge([raw[s] for s in short]), strict=True):
                 self.cache[s] = b" ".join([dec[i] for i in ids])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text as decimal numbers joined by spaces."""
-        out: list[bytes] = []
-        lo = 0
-        while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= PART):
-                size += len(texts[hi])
-                hi += 1
-            out += self._encode(texts[lo:hi])
-            lo = hi
-        return out
+        return [ids for some in parts(texts) for ids in self._encode(some)]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         joined = "\n".join(texts) + "\n"
@@ -307,8 +326,8 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [(x.as_py() or b"").decode("utf-8", "replace") for x in column]
+def _texts(column: pa.Array) -> Iterator[str]:
+    return ((x.as_py() or b"").decode("utf-8", "replace") for x in column)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -353,13 +372,13 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         v = vocabulary(path)
-        ids = v.encode(_texts(b.column(1)))
-        columns = [
-            b.column(0),
-            pa.array([x.count(b" ") + bool(x) for x in ids], pa.int64()),
-            pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-            pa.array([hashlib.sha256(v.decode(x)).hexdigest() for x in ids]),
-        ]
+        n_tokens, encoded, decoded = [], [], []
+        for some in parts(_texts(b.column(1))):  # the ids of a whole batch are never held
+            for ids in v.encode(some):
+                n_tokens.append(ids.count(b" ") + bool(ids))
+                encoded.append(hashlib.sha256(ids).hexdigest())
+                decoded.append(hashlib.sha256(v.decode(ids)).hexdigest())
+        columns = [b.column(0), pa.array(n_tokens, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
         return pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary"))

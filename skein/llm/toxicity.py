@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, arrow_map, table
 
 PUNCTUATION = ".,;:!?\"'()[]{}|*#$%&<>-_…»«"
-CACHE = 200_000
+CACHE = 50_000
 
 
 @dataclass(frozen=True)

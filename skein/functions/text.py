@@ -91,6 +91,10 @@ def cut_cell(value: Column, width: int = 20) -> Column:
     return F.substring(value.cast("string"), 1, width)
 
 
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(text, r"\s+"), "")
+
+
 def snippets(text: Column, n: int = 10) -> Column:
     """The text's words in snippets of ``n`` at most."""
 
@@ -99,7 +103,22 @@ def snippets(text: Column, n: int = 10) -> Column:
         return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
 
     # As a lambda's variable the words are split once a text, not once for every snippet.
-    return F.get(F.transform(F.array(F.array_remove(F.split(text, r"\s+"), "")), of), F.lit(0))
+    return F.get(F.transform(F.array(_split(text)), of), F.lit(0))
+
+
+def snippet_count(text: Column, n: int = 10) -> Column:
+    """How many ``snippets`` a text has; null for null."""
+    return F.ceil(F.size(_split(text)) / n).cast("int")
+
+
+def with_snippets(text: Column, wanted: Column, n: int = 10) -> Column:
+    """``wanted``, an array of structs, each with ``value``: the snippet of the text that its
+    ``at`` numbers from 0, empty beyond the last."""
+
+    def of(words: Column) -> Column:
+        return F.transform(wanted, lambda w: w.withField("value", F.array_join(F.slice(words, w["at"] * n + 1, F.lit(n)), " ")))
+
+    return F.get(F.transform(F.array(_split(text)), of), F.lit(0))
 
 
 def cell_index(row: Column, column: Column, width: Column) -> Column:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.text import DEGREES, tree_index
 from . import tables_etl as Z
 
@@ -274,18 +275,55 @@ def marked(
     return a.select(*cell.columns, mark.alias("mark"))
 
 
+def _next_in_ring(item: Column, *order: str) -> Column:
+    """``item`` of the next row by ``order``, which begins with a hash ``_h``, in rings of rows
+    whose hash shares its first bits: after a ring's last row comes its first."""
+    ring = Window.partitionBy(F.shiftrightunsigned("_h", 52)).orderBy(*order)
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.coalesce(F.lead(item).over(ring), F.first(item).over(whole))
+
+
 def choices(snippets: DataFrame, seed: int = 43) -> DataFrame:
     """(table_id, k, ids, other): each snippet beyond a table's first with one of another table:
     the next by a seeded hash, in rings of snippets whose hash shares its first bits. Alone in
     its ring, or next to its own table, it has none and is left out."""
     many = snippets.where("k > 0").withColumn("_h", F.xxhash64(F.lit(seed), "table_id", "k"))
-    ring = Window.partitionBy(F.shiftrightunsigned("_h", 52)).orderBy("_h", "table_id", "k")
-    whole = Window.partitionBy(F.shiftrightunsigned("_h", 52)).orderBy("_h", "table_id", "k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    other = F.coalesce(F.lead(F.struct("table_id", "ids")).over(ring), F.first(F.struct("table_id", "ids")).over(whole))
+    other = _next_in_ring(F.struct("table_id", "ids"), "_h", "table_id", "k", "ids")
     paired = many.withColumn("_o", other).where(F.col("_o.table_id") != F.col("table_id"))
     return paired.select("table_id", "k", "ids", F.col("_o.ids").alias("other"))
 
 
+def wanted_snippets(texts: DataFrame, tables: DataFrame, pairs: int = 4, seed: int = 43) -> DataFrame:
+    """(table_id, row, column, value): those snippets of ``texts`` (table_id, text) that sequences
+    of ``tables`` (table_id) may have, as ``choices`` would pair all of them. Row 0 is a table's
+    first snippet, in column 0; rows k its first ``pairs`` others that have a partner, in column 1,
+    with the partner in column 0.
+
+    Rings take every snippet's key, but no text. Texts are counted and then meet the few keys
+    that are left, so only what is wanted needs to be cut into tokens. Texts with the same id are
+    told apart by their hash.
+    """
+    own = tables.select("table_id").distinct()
+    sized = texts.select("table_id", T.snippet_count(F.col("text")).alias("_n"), F.xxhash64("text").alias("_text"))
+    rest = F.when(F.col("_n") > 1, F.sequence(F.lit(1), F.col("_n") - 1))
+    keys = sized.join(own.withColumn("_own", F.lit(True)), "table_id", "left").select("table_id", "_text", "_own", F.explode(rest).alias("k"))
+    keys = keys.withColumn("_h", F.xxhash64(F.lit(seed), "table_id", "k"))
+    paired = keys.withColumn("_o", _next_in_ring(F.struct("table_id", "_text", "k"), "_h", "table_id", "k", "_text")).where(F.col("_own") & (F.col("_o.table_id") != F.col("table_id")))
+    few = paired.withColumn("_nth", F.row_number().over(Window.partitionBy("table_id").orderBy("k"))).where(F.col("_nth") <= pairs)
+    want = lambda text, at, k, column: F.struct(text.alias("text"), at.alias("at"), F.col("table_id"), k.alias("row"), F.lit(column).alias("column"))
+    mine = F.struct(F.col("table_id").alias("source"), want(F.col("_text"), F.col("k"), F.col("k"), 1).alias("w"))
+    others = F.struct(F.col("_o.table_id").alias("source"), want(F.col("_o._text"), F.col("_o.k"), F.col("k"), 0).alias("w"))
+    first = own.select(F.col("table_id").alias("source"), want(F.lit(None).cast("long"), F.lit(0), F.lit(0), 0).alias("w"))
+    wants = few.select(F.explode(F.array(mine, others)).alias("e")).select("e.*").union(first).groupBy("source").agg(F.collect_list("w").alias("wants"))
+    # The keys are hashed, so that texts needn't be sorted.
+    met = texts.join(wants.hint("shuffle_hash"), F.col("table_id") == F.col("source"))
+    asked = F.filter("wants", lambda w: w["text"].isNull() | (w["text"] == F.xxhash64("text")))
+    found = met.select(F.explode(T.with_snippets(F.col("text"), asked)).alias("s")).where("s.value <> ''")
+    # Equal rows of texts are a partner once.
+    each = found.groupBy("s.table_id", "s.row", "s.column", "s.value").count()
+    return each.select("table_id", "row", "column", F.explode(F.array_repeat("value", F.when(F.col("row") == 0, F.col("count").cast("int")).otherwise(1))).alias("value"))
+
+
 def assembled(
     cell: DataFrame, vocabulary: dict[str, int], snippets: DataFrame | None = None, most: int = 512, pairs: int = 4,
     context: int = 8, seed: int = 43, permuted: bool = True,
@@ -302,40 +340,57 @@ def assembled(
     belongs there. ``choices`` is 1 for the first two tokens of a snippet of this table, 0 of
     another, -1 elsewhere. ``indicator`` is twice the cell's number (its separator one less),
     negative where a part has no place in the table; rows and columns are -1 there.
-    ``snippets`` has (table_id, k, ids), numbered from 0, separator first.
+    ``snippets`` has (table_id, k, ids), numbered from 0, separator first, and ``choices`` pairs
+    all of them; or it has ``truth`` too, 1 for a snippet of this table and 0 for its partner, and
+    only those that may be taken.
+
+    All parts of a table meet once, so ``cell`` is computed once.
     """
     sep, empty, mask, start = (vocabulary[t] for t in (Z.SEPARATOR, Z.EMPTY, Z.MASK, Z.CLS))
     lit = lambda *x: F.array(*[F.lit(i) for i in x])
-    none = F.lit(-1)
+    none, nowhere = F.lit(-1), F.lit(-1).cast("long")
+
+    def part(stage: int, order: Column, tokens: Column, r: Column = none, c: Column = none, mark: Column = F.lit(PLAIN), at: Column = nowhere, truth: Column = none, own: Column | None = None, k: Column = F.lit(0)) -> Column:
+        own = F.lit(None).cast("array<int>") if own is None else own
+        return F.struct(
+            F.lit(stage).alias("stage"), order.alias("order"), r.alias("r"), c.alias("c"), mark.alias("mark"), tokens.alias("tokens"),
+            at.alias("at"), truth.alias("truth"), own.alias("own"), k.alias("k"),
+        )
+
     used = cell.where(F.col("mark") != LEFT_OUT)
     shown = (
         F.when(F.col("mark") == BLANK, lit(sep, empty))
         .when(F.col("mark") == HIDDEN, F.transform("ids", lambda x, i: F.when(i == 0, x).otherwise(mask)))
         .otherwise(F.col("ids"))
     )
-    place = (F.col("row").cast("long") * (1 << 31) + F.col("column")).alias("place")
-    body = used.select("table_id", F.struct(F.lit(1).alias("stage"), place.alias("order"), F.col("row").alias("r"), F.col("column").alias("c"), F.col("mark"), shown.alias("tokens"), place.alias("at"), none.alias("truth"), F.col("ids").alias("own")).alias("p"))
-    pasted = used.where(F.col("mark") == BLANK)
+    place = F.col("row").cast("long") * (1 << 31) + F.col("column")
     order = Z._number_of("table_id", "row", "column", F.lit("paste"), seed=seed) if permuted else place
-    paste = pasted.select("table_id", F.struct(F.lit(2).alias("stage"), order.alias("order"), F.lit(-1).alias("r"), F.lit(-1).alias("c"), F.lit(BLANK).alias("mark"), F.col("ids").alias("tokens"), place.alias("at"), none.alias("truth"), F.col("ids").alias("own")).alias("p"))
-    every = body.union(paste)
-    if snippets is not None:
-        first = snippets.where("k = 0").select("table_id", F.struct(F.lit(0).alias("stage"), F.lit(0).cast("long").alias("order"), none.alias("r"), none.alias("c"), F.lit(PLAIN).alias("mark"), F.slice("ids", 2, context).alias("tokens"), F.lit(-1).cast("long").alias("at"), none.alias("truth"), F.col("ids").alias("own")).alias("p"))
-        every = every.union(first.join(used.select("table_id").distinct(), "table_id", "left_semi"))
-    length = every.groupBy("table_id").agg((F.sum(F.size("p.tokens")) + 1).alias("_used"))
+    body = part(1, place, shown, F.col("row"), F.col("column"), F.col("mark"), place, own=F.when(F.col("mark") == HIDDEN, F.col("ids")))
+    paste = part(2, order, F.col("ids"), mark=F.lit(BLANK), at=place)
+    every = used.select("table_id", F.explode(F.when(F.col("mark") == BLANK, F.array(body, paste)).otherwise(F.array(body))).alias("p"))
     if snippets is not None:
-        offered = choices(snippets, seed).join(length, "table_id")
-        run = Window.partitionBy("table_id").orderBy("k")
-        offered = offered.withColumn("_sum", F.sum(F.size("ids") + F.size("other")).over(run)).withColumn("_nth", F.row_number().over(run))
-        offered = offered.where((F.col("_nth") <= pairs) & (F.col("_used") + F.col("_sum") <= most))
-        each = offered.select("table_id", "k", F.explode(F.array(F.struct(F.col("ids").alias("t"), F.lit(1).alias("truth")), F.struct(F.col("other").alias("t"), F.lit(0).alias("truth")))).alias("e"))
-        mixed = Z._number_of("table_id", "k", F.col("e.truth"), F.lit("choice"), seed=seed)
-        every = every.union(each.select("table_id", F.struct(F.lit(3).alias("stage"), mixed.alias("order"), none.alias("r"), none.alias("c"), F.lit(PLAIN).alias("mark"), F.col("e.t").alias("tokens"), F.lit(-1).cast("long").alias("at"), F.col("e.truth").alias("truth"), F.col("e.t").alias("own")).alias("p")))
+        if "truth" not in snippets.columns:
+            first = snippets.where("k = 0").select("table_id", "k", none.alias("truth"), "ids")
+            both = F.array(F.struct(F.lit(1).alias("truth"), "ids"), F.struct(F.lit(0).alias("truth"), F.col("other").alias("ids")))
+            snippets = first.union(choices(snippets, seed).select("table_id", "k", F.explode(both).alias("e")).select("table_id", "k", "e.*")) if pairs else first
+        mixed = Z._number_of("table_id", "k", "truth", F.lit("choice"), seed=seed)
+        pair = part(3, mixed, F.col("ids"), truth=F.col("truth"), k=F.col("k"))
+        text = F.when(F.col("k") == 0, part(0, F.lit(0).cast("long"), F.slice("ids", 2, context))).otherwise(pair)
+        every = every.union(snippets.where("table_id IS NOT NULL").select("table_id", text.alias("p")))
+    # Pairs come in order of k, after all other parts, as long as there is room.
+    table, extra, size = Window.partitionBy("table_id"), F.col("p.stage") == 3, F.size("p.tokens")
+    run = table.orderBy("p.k")
+    every = every.withColumns({
+        "_used": F.sum(F.when(~extra, size)).over(table) + 1, "_cells": F.count_if(F.col("p.stage") == 1).over(table),
+        "_sum": F.sum(F.when(extra, size)).over(run), "_nth": F.dense_rank().over(run),
+    })
+    fits = ~extra | (F.col("_nth") <= pairs + 1) & (F.col("_used") + F.col("_sum") <= most)
+    every = every.where((F.col("_cells") > 0) & (F.col("_used") <= most) & fits).select("table_id", "p")
     # Places in the sequence are running totals of the parts' lengths.
-    line = Window.partitionBy("table_id").orderBy("p.stage", "p.order", "p.at")
+    line = table.orderBy("p.stage", "p.order", "p.at", "p.k", "p.truth", "p.tokens")
     fill = lambda x: F.transform("p.tokens", lambda t, i: x(i))
     n = F.row_number().over(line)
-    every = every.withColumn("n", n - F.count_if(F.col("p.stage") == 0).over(Window.partitionBy("table_id")))
+    every = every.withColumn("n", n - F.count_if(F.col("p.stage") == 0).over(table))
     every = every.withColumn("begin", F.coalesce(F.sum(F.size("p.tokens")).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
     hole = F.max(F.when((F.col("p.stage") == 1) & (F.col("p.mark") == BLANK), F.col("begin"))).over(Window.partitionBy("table_id", "p.at"))
     every = every.withColumn("hole", hole)

@@ -191,9 +191,9 @@ def cell_marks(s, d):
 @query("table_sequences")
 def table_sequences(s, d):
     """Pages as sequences with blanks, and snippets of the document of the same number."""
-    docs = _table(s, d, "documents").select(F.concat(F.lit("page-"), F.col("doc_id").cast("string")).alias("table_id"), F.posexplode(T.snippets(F.col("text"))).alias("row", "value"))
-    snippets = Z.kinds(docs.withColumn("column", F.lit(0)), TOKENS, 20).select("table_id", F.col("row").alias("k"), "ids")
-    out = H.assembled(_page_marks(s, d), TOKENS, snippets)
+    docs = _table(s, d, "documents").select(F.concat(F.lit("page-"), F.col("doc_id").cast("string")).alias("table_id"), "text")
+    snippets = Z.kinds(H.wanted_snippets(docs, _pages(s, d)), TOKENS, 20)
+    out = H.assembled(_page_marks(s, d), TOKENS, snippets.select("table_id", F.col("row").alias("k"), F.col("column").alias("truth"), "ids"))
     return out.select("table_id", "length", *[F.array_join(c, " ").alias(c) for c in ("tokens", "indicator", "labels", "blanks", "choices")])
 
 

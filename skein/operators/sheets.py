@@ -227,7 +227,7 @@ def cell_kinds(token_rows: DataFrame) -> DataFrame:
 
 def marked(
     cell: DataFrame, header_rows: int, header_columns: int, text_rate: float = 0.5, value_rate: float = 0.1,
-    rate: float = 0.2, most: int = 20, blank_rate: float = 0.3, seed: int = 43, always: Column | None = None,
+    rate: float = 0.2, most: int = 20, blank_rate: float = 0.3, seed: int = 43, always: Column | None = None, left_out: bool = True,
 ) -> DataFrame:
     """``cell`` (of ``cell_kinds``) with ``mark``: left out, plain, blank or hidden.
 
@@ -237,7 +237,8 @@ def marked(
     numbers never. Hidden ones are drawn first, two fifths to three fifths of that. Blanks are
     drawn without replacement from each header row, each header column, their corner and the
     data: 1 to 3 of each, about ``blank_rate``; then as many of them as are still allowed. All
-    draws are by a seeded hash, so they depend on neither order nor partitions.
+    draws are by a seeded hash, so they depend on neither order nor partitions. Cells that are
+    left out have no part in that; without ``left_out`` they go before anything is shuffled.
     """
     key = ("table_id", "row", "column")
     in_header = (F.col("row") < header_rows) | (F.col("column") < header_columns)
@@ -245,6 +246,8 @@ def marked(
     if always is not None:
         in_header = in_header | F.coalesce(always, F.lit(False))
     taken = (F.col("kind") > 0) & (in_header | (chance < F.when(F.col("kind") == 2, text_rate).otherwise(value_rate)))
+    if not left_out:
+        cell, taken = cell.where(taken), F.lit(True)
     weight = F.when(~taken, 0).when(F.col("kind") == 1, 1).otherwise(2)
     share = 0.4 + Z._chance("table_id", F.lit("share"), seed=seed) / 5
     bucket = (
@@ -306,7 +309,9 @@ def wanted_snippets(texts: DataFrame, tables: DataFrame, pairs: int = 4, seed: i
     own = tables.select("table_id").distinct()
     sized = texts.select("table_id", T.snippet_count(F.col("text")).alias("_n"), F.xxhash64("text").alias("_text"))
     rest = F.when(F.col("_n") > 1, F.sequence(F.lit(1), F.col("_n") - 1))
-    keys = sized.join(own.withColumn("_own", F.lit(True)), "table_id", "left").select("table_id", "_text", "_own", F.explode(rest).alias("k"))
+    # By number, as few bytes become many keys.
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = sized.repartition(parts, "table_id").join(own.withColumn("_own", F.lit(True)), "table_id", "left").select("table_id", "_text", "_own", F.explode(rest).alias("k"))
     keys = keys.withColumn("_h", F.xxhash64(F.lit(seed), "table_id", "k"))
     paired = keys.withColumn("_o", _next_in_ring(F.struct("table_id", "_text", "k"), "_h", "table_id", "k", "_text")).where(F.col("_own") & (F.col("_o.table_id") != F.col("table_id")))
     few = paired.withColumn("_nth", F.row_number().over(Window.partitionBy("table_id").orderBy("k"))).where(F.col("_nth") <= pairs)
@@ -316,8 +321,8 @@ def wanted_snippets(texts: DataFrame, tables: DataFrame, pairs: int = 4, seed: i
     first = own.select(F.col("table_id").alias("source"), want(F.lit(None).cast("long"), F.lit(0), F.lit(0), 0).alias("w"))
     wants = few.select(F.explode(F.array(mine, others)).alias("e")).select("e.*").union(first).groupBy("source").agg(F.collect_list("w").alias("wants"))
     # The keys are hashed, so that texts needn't be sorted.
-    met = texts.join(wants.hint("shuffle_hash"), F.col("table_id") == F.col("source"))
-    asked = F.filter("wants", lambda w: w["text"].isNull() | (w["text"] == F.xxhash64("text")))
+    met = texts.withColumn("_text", F.xxhash64("text")).join(wants.hint("shuffle_hash"), F.col("table_id") == F.col("source"))
+    asked = F.filter("wants", lambda w: w["text"].isNull() | (w["text"] == F.col("_text")))
     found = met.select(F.explode(T.with_snippets(F.col("text"), asked)).alias("s")).where("s.value <> ''")
     # Equal rows of texts are a partner once.
     each = found.groupBy("s.table_id", "s.row", "s.column", "s.value").count()

@@ -179,8 +179,8 @@ g AS (SELECT *, least(count(*) FILTER (drawn) OVER (PARTITION BY table_id), most
     row_number() OVER (PARTITION BY table_id, drawn {_ORDER}) AS place FROM f)"""
 
 
-def _page_marks(s: SparkSession, d: str) -> DataFrame:
-    return H.marked(_page_kinds(s, d), 1, 1)
+def _page_marks(s: SparkSession, d: str, left_out: bool = True) -> DataFrame:
+    return H.marked(_page_kinds(s, d), 1, 1, left_out=left_out)
 
 
 @query("cell_marks", f"""WITH {MARK_SQL} SELECT table_id, "row", "column", kind, CASE WHEN NOT taken THEN 0 WHEN hidden THEN 3 WHEN drawn AND allowed > 1 AND place <= allowed THEN 2 ELSE 1 END AS mark FROM g""")
@@ -193,7 +193,7 @@ def table_sequences(s, d):
     """Pages as sequences with blanks, and snippets of the document of the same number."""
     docs = _table(s, d, "documents").select(F.concat(F.lit("page-"), F.col("doc_id").cast("string")).alias("table_id"), "text")
     snippets = Z.kinds(H.wanted_snippets(docs, _pages(s, d)), TOKENS, 20)
-    out = H.assembled(_page_marks(s, d), TOKENS, snippets.select("table_id", F.col("row").alias("k"), F.col("column").alias("truth"), "ids"))
+    out = H.assembled(_page_marks(s, d, left_out=False), TOKENS, snippets.select("table_id", F.col("row").alias("k"), F.col("column").alias("truth"), "ids"))
     return out.select("table_id", "length", *[F.array_join(c, " ").alias(c) for c in ("tokens", "indicator", "labels", "blanks", "choices")])
 
 
